@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join
+from . import bpe, ngram_join, suffix_dedup
 from .sparkutil import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(folder, name) if folder else importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_ngram_jaccard_join, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}

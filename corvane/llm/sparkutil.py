@@ -64,3 +64,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components did not settle")
     return lab
+
+
+_written: list[tuple] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written as Parquet in the shared checkpoint folder and read again; deleted when the driver ends."""
+    import atexit
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written.append((sc, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for sc, path in _written:
+        try:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; its folder goes with the application
+            return
