@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, suffix_dedup
+from . import bpe, mixing, ngram_join, suffix_dedup, toxicity
 from .sparkutil import table
 
 
@@ -21,6 +21,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), mixing.Target(repeat=4.0, budget=1.0))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_ngram_jaccard_join, op8_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_ngram_jaccard_join, op8_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
