@@ -44,6 +44,22 @@ def _pack(values: np.ndarray, kind: str) -> bytes:
     return values.astype(kind).tobytes()
 
 
+def _pack_names(names: np.ndarray) -> bytes:
+    """Sorted names as the first one and 4-byte steps; 8-byte steps where one doesn't fit."""
+    steps = np.diff(names)
+    wide = len(steps) > 0 and int(steps.max()) >= 1 << 32
+    return bytes([wide]) + _pack(names[:1], "<u8") + _pack(steps, "<u8" if wide else "<u4")
+
+
+def _unpack_names(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, "<u8" if raw[0] else "<u4", offset=9)
+    out = np.empty(len(steps) + 1, _U)
+    out[0] = np.frombuffer(raw, "<u8", 1, 1)[0]
+    np.cumsum(steps, out=out[1:], dtype=_U)
+    out[1:] += out[0]
+    return out
+
+
 def _blocks(batches, width: int, ranges: int):
     """Per batch of texts: a row for each document (rng spread by doc), then the block's parts by range of names."""
     import os
@@ -62,16 +78,14 @@ def _blocks(batches, width: int, ranges: int):
         cut = np.concatenate([[0], np.searchsorted(names, bounds), [len(names)]])
         parts = [(r, a, b) for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         cols = [[r for r, _, _ in parts], [block] * len(parts), [None] * len(parts), [None] * len(parts), [None] * len(parts)]
-        # 6 bytes of name, 4 of place
-        raw = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        cols += [[raw[a:b].tobytes() for _, a, b in parts], [_pack(at[a:b], "<u4") for _, a, b in parts]]
+        cols += [[_pack_names(names[a:b]) for _, a, b in parts], [_pack(at[a:b], "<u2") for _, a, b in parts]]
         head = [[keys[0] % ranges], [block], [None], [None], [None], [_pack(np.array(keys), "<i8")], [_pack(np.array([len(s) for s in sets]), "<u4")]]
         return [h + c for h, c in zip([[-1], *head[1:]], cols)]
 
     sets: list[np.ndarray] = []
     keys: list[int] = []
     seen: set[int] = set()
-    held = 0
+    held, sent = 0, int.from_bytes(os.urandom(3), "little")
     for b in batches:
         raw, off = text_bytes(b.column(1))
         ids = b.column(0).to_pylist()
@@ -85,9 +99,10 @@ def _blocks(batches, width: int, ranges: int):
                     keys.append(key)
                     sets.append(np.unique(s >> _U(64 - NAME_BITS)))
                     held += len(s)
-        cols = [[k % ranges for _, _, k in docs], [0] * len(docs), [d for d, _, _ in docs], [n for _, n, _ in docs], [k for _, _, k in docs], [None] * len(docs), [None] * len(docs)]
+        cols = [[(sent + i) % ranges for i in range(len(docs))], [0] * len(docs), [d for d, _, _ in docs], [n for _, n, _ in docs], [k for _, _, k in docs], [None] * len(docs), [None] * len(docs)]
+        sent += len(docs)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-        if held >= BLOCK_SHINGLES:
+        if held >= BLOCK_SHINGLES or len(sets) > (1 << 15):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(flush(sets, keys), schema)], schema=schema)
             sets, keys, seen, held = [], [], set(), 0
     if (last := flush(sets, keys)) is not None:
@@ -97,12 +112,10 @@ def _blocks(batches, width: int, ranges: int):
 def _count_range(table: pa.Table) -> pa.Table:
     """The parts of all blocks in one range of names: for each block, the names that two or more sets hold."""
     schema = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("at", pa.binary()), ("df", pa.binary())])
-    blocks, parts, at = table.column("block").to_pylist(), table.column("names").to_pylist(), table.column("at").to_pylist()
-    sizes = [len(p) // 6 for p in parts]
-    raw = np.zeros((sum(sizes), 8), np.uint8)
-    raw[:, :6] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
-    names = raw.reshape(-1).view("<u8")
-    del parts, raw
+    blocks, parts, at = table.column("block").to_pylist(), [_unpack_names(p) for p in table.column("names").to_pylist()], table.column("at").to_pylist()
+    sizes = [len(p) for p in parts]
+    names = np.concatenate(parts)
+    del parts
     order = np.argsort(names, kind="stable")
     ordered = names[order]
     new = np.append(True, ordered[1:] != ordered[:-1])
@@ -114,7 +127,8 @@ def _count_range(table: pa.Table) -> pa.Table:
     for block, n, place in zip(blocks, sizes, at):
         hold = np.flatnonzero(df[lo : lo + n] > 1)
         if len(hold):
-            rows.append((block, _pack(names[lo : lo + n][hold], "<u8"), np.frombuffer(place, "<u4")[hold].tobytes(), df[lo : lo + n][hold].tobytes()))
+            # the order among names that 65,535 sets or more hold is the order of the names
+            rows.append((block, _pack_names(names[lo : lo + n][hold]), np.frombuffer(place, "<u2")[hold].tobytes(), _pack(np.minimum(df[lo : lo + n][hold], 65_535), "<u2")))
         lo += n
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -127,9 +141,9 @@ def _prefixes(table: pa.Table, num: int, den: int) -> pa.Table:
         if kind == 0:
             head = (np.frombuffer(nm, "<i8"), np.frombuffer(a, "<u4").astype(np.int64))
         else:
-            names.append(np.frombuffer(nm, "<u8"))
-            at.append(np.frombuffer(a, "<u4"))
-            df.append(np.frombuffer(d, "<u4"))
+            names.append(_unpack_names(nm))
+            at.append(np.frombuffer(a, "<u2"))
+            df.append(np.frombuffer(d, "<u2"))
     if not names:
         return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
     keys, n = head
