@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, suffix_dedup, toxicity
+from . import bpe, hamming, licenses, mixing, ngram_join, passages, quality, sharding, suffix_dedup, toxicity
 from .sparkutil import table
 
 
@@ -29,13 +29,49 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 100, against all rows."""
+    data = hamming.codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.top_k(data, data.where("id % 100 = 0"), 10)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_ngram_jaccard_join, op8_bpe, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup,
+        op2_source_mixing,
+        op3_ngram_jaccard_join,
+        op4_license_scan,
+        op5_sharding,
+        op6_quality_rules,
+        op7_hamming_top_k,
+        op8_bpe,
+        op9_repeated_passages,
+        op10_toxicity,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE_SQL, "op7_hamming_top_k": hamming.oracle_sql(10)}
