@@ -15,10 +15,11 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .sparkutil import prepare
 
@@ -187,9 +188,6 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The table with a column decoded: the text of an array of ids (null: null)."""
     name = give(df, path)
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(col: pd.Series) -> pd.Series:
         c = codec(name)
