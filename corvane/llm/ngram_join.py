@@ -13,15 +13,15 @@
 Equal sets (copies) count once, as one class, before anything is compared.
 
 Null, empty and wordless texts have no shingles, link with nothing and are components of their own.  Repeated rows give
-repeated rows; ties don't matter; an empty table gives an empty one; other columns are ignored.  A null doc_id is kept
-and is never the smallest of a component that has another.
+repeated rows; ties don't matter; an empty table gives an empty one; other columns are ignored.  A row with a null doc_id
+links like any other and is never the smallest of its component; a component of such rows alone has a null id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .sparkutil import components, filter_of, maybe_in, prepare
 from .textnum import chunks, set_key, shingle_sets, text_bytes
@@ -90,6 +90,7 @@ def _blocks(batches, width: int, ranges: int):
         raw, off = text_bytes(b.column(1))
         ids = b.column(0).to_pylist()
         docs: list[tuple] = []
+        nul = b.column(2)
         for i, j in chunks(off):
             for doc, s in zip(ids[i:j], shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)):
                 key = set_key(s)
@@ -99,7 +100,7 @@ def _blocks(batches, width: int, ranges: int):
                     keys.append(key)
                     sets.append(np.unique(s >> _U(64 - NAME_BITS)))
                     held += len(s)
-        cols = [[(sent + i) % ranges for i in range(len(docs))], [0] * len(docs), [d for d, _, _ in docs], [n for _, n, _ in docs], [k for _, _, k in docs], [None] * len(docs), [None] * len(docs)]
+        cols = [[(sent + i) % ranges for i in range(len(docs))], nul, [d for d, _, _ in docs], [n for _, n, _ in docs], [k for _, _, k in docs], [None] * len(docs), [None] * len(docs)]
         sent += len(docs)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
         if held >= BLOCK_SHINGLES or len(sets) > (1 << 15):
@@ -245,6 +246,8 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
     """doc_id, n_shingles, component_id of every document; sets link when den * |both| >= num * |either|."""
     spark = prepare(docs.sparkSession)
     src = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    # rows without an id are told apart by their text
+    src = src.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").isNull().cast("long").alias("nul"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-total // (7 * RANGE_SHINGLES)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = src.mapInArrow(lambda it: _blocks(it, width, ranges), "rng int, block long, doc_id long, n long, cls long, names binary, at binary")
@@ -264,7 +267,7 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
             t = pa.Table.from_batches([b])
             docs_ = t.filter(pa.compute.is_null(t.column("names")))
             if len(docs_):
-                yield give(2, doc_id=docs_.column("doc_id"), n=docs_.column("n"), cls=docs_.column("cls"))
+                yield give(2, doc_id=docs_.column("doc_id"), n=docs_.column("n"), cls=docs_.column("cls"), block=docs_.column("block"))
             t = t.filter(pa.compute.is_valid(t.column("names")))
             heads = t.filter(pa.compute.less(t.column("rng"), 0))
             if len(heads):
@@ -281,17 +284,17 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
 
     spread = F.when(F.col("rng") >= 0, F.col("rng").cast("long")).otherwise(F.col("block"))
     told = sent.repartition(ranges, spread).mapInArrow(reduce, meta_schema).checkpoint()
-    meta = told.where("kind = 2").select("doc_id", "n", "cls")
+    meta = told.where("kind = 2").select("doc_id", "n", "cls", F.col("block").alias("nul"))
     pre = told.where("kind < 2").select("kind", "block", "names", "at", "df").groupBy("block").applyInArrow(lambda t: _prefixes(t, num, den), "cls long, n long, name long")
     pre = pre.groupBy("name", "cls").agg(F.max("n").alias("n")).checkpoint()
     rep = pre.groupBy("name").agg(F.min("cls").alias("b"), F.max("cls").alias("top")).where("b <> top").select("name", "b")
     near = components(pre.join(rep, "name").groupBy(F.col("cls").alias("a"), "b").agg(F.lit(1).alias("one")))
     # whole sets of one document of each class that has candidates
     owner = meta.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    group = near.select(F.col("node").alias("cls"), F.col("comp").alias("grp")).join(owner, "cls").where("doc_id is not null").checkpoint()
+    group = near.select(F.col("node").alias("cls"), F.col("comp").alias("grp")).join(owner, "cls").checkpoint()
     parts = group.groupBy("grp").agg(F.sum("n").alias("mass")).select("grp", F.greatest(F.lit(1), F.ceil(F.col("mass") / F.lit(GROUP_SHINGLES / 2)) - 1).cast("int").alias("parts"))
     group = group.join(parts, "grp").select("doc_id", "cls", "grp", "parts")
-    texts = maybe_in(src.where("doc_id is not null"), "doc_id", filter_of(group, "doc_id")).join(group, "doc_id")
+    texts = maybe_in(src, "doc_id", filter_of(group, "doc_id")).join(group, "doc_id")
 
     def sets(batches):
         schema = pa.schema([("cls", pa.int64()), ("grp", pa.int64()), ("parts", pa.int32()), ("hashes", pa.binary())])
@@ -308,16 +311,20 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
     whole = whole.select("cls", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "hashes")
     links = whole.groupBy("grp", "p", "q").applyInArrow(lambda t: _verify(t, num, den), "a long, b long").checkpoint()
     comp = components(links)
-    named = meta.groupBy("cls").agg(F.min("doc_id").alias("low"))
+    named = meta.groupBy("cls").agg(F.min(F.when(F.col("nul") == 0, F.col("doc_id"))).alias("low"))
     named = named.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     low = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(low, "comp").select("cls", "component_id")
-    out = meta.join(named, "cls")
+    out = meta.join(named, "cls").withColumn("doc_id", F.when(F.col("nul") == 0, F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near duplicates: of each component the smallest doc_id stays (documents without an id, or
-    without words, all stay); repeated rows of that id count once."""
-    stay = link_components(docs, **how).where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(stay, F.col("keep_id") == docs["doc_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    """The documents without near duplicates: of each component the smallest doc_id stays, once if its row is repeated.
+    Documents without an id all stay."""
+    stay = link_components(docs, **how).where("component_id = doc_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    kept = docs.join(stay, stay["keep_id"] == docs["doc_id"], "left_semi")
+    names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    nth = F.row_number().over(Window.partitionBy(names["doc_id"], F.xxhash64(names["text"])).orderBy(F.lit(0)))
+    one = kept.select(*[F.col(c).alias(n) for c, n in names.items()]).withColumn("nth", nth).where("nth = 1")
+    return one.select(*[F.col(n).alias(c) for c, n in names.items()]).unionByName(docs.where(docs["doc_id"].isNull()))

@@ -260,9 +260,13 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     some = hit.select("did", "dkey", "text", "spans").mapInArrow(lambda it: _apply(it, length, schema, give), "cut_did long, cut_key long, cut_text string")
     full = meta.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("did", "dkey").distinct().select("did", "dkey", F.lit("").alias("cut_text"))
     new = some.union(full)
-    x = docs.withColumn("own_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))))).withColumn("own_did", F.coalesce(F.col("doc_id").cast("long"), F.col("own_key")))
+    names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col(names["text"]).cast("string"), F.lit(""))
+    x = docs.select(*[F.col(c).alias(n) for c, n in names.items()]).withColumn("own_key", F.xxhash64(text, F.octet_length(text)))
+    x = x.withColumn("own_did", F.coalesce(F.col(names["doc_id"]).cast("long"), F.col("own_key")))
     x = x.join(new, (F.col("cut_did") == F.col("own_did")) & (F.col("cut_key") == F.col("own_key")), "left")
-    x = x.withColumn("text", F.coalesce("cut_text", "text"))
-    if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return x.select(*docs.columns)
+    x = x.withColumn(names["text"], F.coalesce("cut_text", names["text"]))
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        x = x.withColumn(names["n_chars"], F.when(F.col("cut_text").isNull(), F.col(names["n_chars"])).otherwise(F.char_length("cut_text")).cast(kind))
+    return x.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -308,3 +308,22 @@ def test_pipeline(spark, sf):
     assert out.columns == c.COLUMNS and {r.doc_id for r in out.collect()} == {i for i, (n, x) in near.items() if i == x}
     last = c.run(spark, sf)
     assert last.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() >= out.count() * 0.9
+
+
+def test_null_ids_and_clashing_columns(spark):
+    rng = random.Random(11)
+    t = words(rng, 120)
+    near = t.replace(t.split()[60], "other")
+    rows = [(None, t, 1, "a", 2, 3), (4, near, 1, "a", 2, 3), (9, t, 1, "a", 2, 3), (9, t, 1, "a", 2, 3), (5, words(rng, 50), 1, "a", 2, 3), (None, None, 1, "a", 2, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, keep_id int, own_key string, cut_did int, score int").withColumn("n_chars", F.length("text")).withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.link_components(d).collect()), key=str)
+    assert got == sorted([(None, 4), (4, 4), (9, 4), (9, 4), (5, 5), (None, None)], key=str)
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [4, 5, None, None]
+    cut = suffix_dedup.strip(d)
+    assert cut.columns == d.columns and cut.count() == len(rows) and all(r.score == 3 and r.own_key == "a" for r in cut.collect())
+    assert mixing.mix(d, mixing.Target(repeat=1.5, budget=None)).columns == d.columns
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.clean_only(d, labels).columns == d.columns
+    assert sharding.assign(d).count() == licenses.scanned(d).count() == quality.judged(d, labels).count() == len(rows)
+    assert {r.kind for r in passages.repeated(d).collect()} <= {"copy", "passage"}
