@@ -50,10 +50,11 @@ def trimmed(edges: DataFrame, rounds: int = 100) -> DataFrame:
     left = edges.distinct().checkpoint()
     n = left.count()
     for _ in range(rounds):
-        both = left.select(F.col("src").alias("v")).intersect(left.select(F.col("dst").alias("v")))
-        left = left.join(both.withColumnRenamed("v", "src"), "src", "left_semi").join(both.withColumnRenamed("v", "dst"), "dst", "left_semi").checkpoint()
+        ends = left.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+        both = ends.groupBy("v").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 and i = 1").select("v")
+        left = left.join(both.withColumnRenamed("v", "src"), "src", "left_semi").join(both.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
         was, n = n, left.count()
-        if n == was:
+        if n in (0, was):
             break
     return left
 

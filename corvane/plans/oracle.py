@@ -100,4 +100,20 @@ SQL = {
  SELECT folder, depth, parent, files, chars, (SELECT count(*) FROM g k WHERE k.parent = g.folder) AS folders FROM g""",
     "strict_props": "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k_text FROM events",
     "stable_ids": f"WITH {F} SELECT file_path, {ident('file', 'file_path')} AS id, regexp_replace(file_path, '/[^/]*$', '') AS dir, string_split(file_path, '/')[-1] AS base FROM files",
+    "excluded_files": f"WITH {F} SELECT file_path FROM files WHERE starts_with(file_path, 'src1/') OR starts_with(file_path, 'src2/') OR regexp_matches(file_path, '^src1[^/]*/de/.*$') OR regexp_matches(file_path, '^src[^/]/fr/[^/]*0$')",
+    "unmatched_uses": """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT user_id, day, min(event_id) AS event_id, count(*) AS uses FROM e
+ WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM e p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.day = e.day) GROUP BY user_id, day""",
+    "capped_references": "SELECT l_partkey, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS INT) AS nth FROM lineitem QUALIFY nth <= 10",
+    "page_links": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""",
+    "repeated_links": """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL HAVING count(*) > 1""",
+    "source_context": f"""WITH {F}, x AS (SELECT file_path, string_split_regex(text, '\r?\n') AS ls FROM files), y AS (SELECT *, least(3, len(ls)) AS h FROM x)
+ SELECT file_path, CAST(h AS BIGINT) AS highlight, CAST(number AS BIGINT) AS number, ls[number] AS source FROM y, LATERAL (SELECT unnest(range(greatest(1, h - 1), least(len(ls), h + 1) + 1)) AS number)""",
+    "previews": f"""WITH {F}, x AS (SELECT file_path, rtrim(array_to_string(string_split_regex(text, '\r?\n')[1:2], chr(10))) AS p, trim(string_split_regex(text, '\r?\n')[1]) AS s FROM files),
+ y AS (SELECT file_path, CASE WHEN length(p) > 60 THEN substr(p, 1, 60) || '...' ELSE p END AS preview, CASE WHEN length(s) > 40 THEN substr(s, 1, 40) || '...' ELSE s END AS snippet FROM x)
+ SELECT *, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM y""",
+    "signal_matrix": f"WITH {FIND} SELECT file_path, 'unknown' AS on_destroy, 'no' AS take_until_destroyed, 'no' AS take_until, 'no' AS unsubscribe, 'no' AS cleanup FROM find WHERE category = 'lifecycle'",
+    "labelled_duplicates": f"WITH {BLOCKS} SELECT kind, hash, m.file_path, coalesce('quality ' || quality, m.file_path) AS label FROM members m JOIN files f USING (file_path) LEFT JOIN labels l ON l.doc_id = f.doc_id",
+    "page_counts": "WITH RECURSIVE " + FIND + ", " + BLOCKS.removeprefix(F + ", ") + f", {EDGES}, {SCORES}" + """ SELECT 'findings' AS page, (SELECT count(*) FROM find) AS n UNION ALL SELECT 'lifecycle', (SELECT count(*) FROM find WHERE category = 'lifecycle')
+ UNION ALL SELECT 'cycles', (SELECT count(*) FROM cyc) UNION ALL SELECT 'duplicates', (SELECT count(*) FROM groups) UNION ALL SELECT 'hotspots', (SELECT count(*) FROM scores)""",
+    "categories": f"WITH {FIND} SELECT category, row_number() OVER (ORDER BY category) AS rank FROM (SELECT DISTINCT category FROM find)",
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, snapshots, tree
+from corvane.plans import views
+from corvane.sources import config, reports
 
 LINES, CHARS, STRONG = 8, 8_000, 40
 RULES = {"service-large-ts": "error", "component-missing-spec": "off"}
@@ -236,8 +238,77 @@ def stable_ids(s, d):
     return files(s, d).select("file_path", X.stable_id("file", F.col("file_path")).alias("id"), X.dirname(F.col("file_path")).alias("dir"), X.basename(F.col("file_path")).alias("base"))
 
 
+EXCLUDED = ("src1", "src2/", "src1*/de/**", "src?/fr/*0")
+
+
+def excluded_files(s, d):
+    f = files(s, d).select("file_path")
+    return f.where(config.excluded(F.col("file_path"), EXCLUDED))
+
+
+def unmatched_uses(s, d):
+    """Clicks of a user and day without a purchase, the first of each (uses without their clean-up)."""
+    e = table(s, d, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    use = e.where("event_type = 'click'").groupBy("user_id", "day").agg(F.min("event_id").alias("event_id"), F.count("*").alias("uses"))
+    return use.join(e.where("event_type = 'purchase'").select("user_id", "day").distinct(), ["user_id", "day"], "left_anti")
+
+
+def capped_references(s, d):
+    """Of each part the first 10 order lines by ship date (references kept per method)."""
+    from pyspark.sql import Window
+
+    keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = table(s, d, "lineitem").select("l_partkey", *keys)
+    nth = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*keys))
+    return li.withColumn("nth", nth).where("nth <= 10").select("l_partkey", "l_orderkey", "l_linenumber", "nth")
+
+
+def page_links(s, d):
+    """Distinct link targets of each page, in text order (specifiers of a file)."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return table(s, d, "pages").select("page_id", F.explode(F.array_distinct(links)).alias("target")).where("target <> ''")
+
+
+def repeated_links(s, d):
+    """Links that a page has more than once (duplicate entries of a list)."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return table(s, d, "pages").select("page_id", F.explode(links).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def source_context(s, d):
+    """Line 3 of every document with one line around it; shorter documents clamp to their last line."""
+    f = files(s, d).select("file_path", "text")
+    return reports.source_lines(f, f.select("file_path", F.lit(3).alias("line")), 1).select("file_path", F.col("highlight").cast("long"), F.col("number").cast("long"), "source")
+
+
+def previews(s, d):
+    f = files(s, d)
+    return f.select("file_path", X.clipped(F.col("text"), 2, 60).alias("preview"), X.snippet(F.col("text"), F.lit(1), 40).alias("snippet"), X.html_escaped(X.snippet(F.col("text"), F.lit(1), 40)).alias("escaped"))
+
+
+def signal_matrix(s, d):
+    return views.signal_matrix(findings(s, d)).select("file_path", "on_destroy", *views.COLUMNS)
+
+
+def labelled_duplicates(s, d):
+    """Occurrences with the label of their document, or its path where there is none (left join with a fallback)."""
+    b = blocks(s, d)
+    o = duplicates.occurrences(b, duplicates.repeated_hashes(b)).select("kind", "hash", "file_path")
+    names = files(s, d).select("doc_id", "file_path").join(table(s, d, "labels"), "doc_id").select("file_path", F.concat(F.lit("quality "), "quality").alias("label"))
+    return o.join(names, "file_path", "left").select("kind", "hash", "file_path", F.coalesce("label", "file_path").alias("label"))
+
+
+def page_counts(s, d):
+    return views.page_counts(findings(s, d), cycles(s, d), duplicates.repeated_hashes(blocks(s, d)), scores(s, d))
+
+
+def categories(s, d):
+    return R.number_rows(findings(s, d).select("category").distinct(), [F.col("category")], "rank")
+
+
 NAMES = """line_counts size_findings severity_counts category_pivot code_counts grouped_findings filtered_findings sorted_findings missing_specs
 concern_signals duplicate_groups duplicate_occurrences duplicate_file_stats duplicate_view import_edges import_fans import_components import_cycles
 graph_summary hotspot_scores hotspot_top health brief_tasks brief_areas scan_snapshots scan_deltas scan_code_deltas scan_history folder_tree
-strict_props stable_ids""".split()
+strict_props stable_ids excluded_files unmatched_uses capped_references page_links repeated_links source_context previews signal_matrix
+labelled_duplicates page_counts categories""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
