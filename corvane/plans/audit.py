@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, tree
+from corvane.plans import views
 from corvane.sources import config as C, facts as FACTS, workspace as W
 
 MAX_INJECTIONS, MAX_ROUTE_LINES = 8, 250
@@ -35,6 +36,7 @@ class Audit:
     groups: DataFrame
     occurrences: DataFrame
     hotspots: DataFrame
+    references: DataFrame
 
 
 def _of(facts: DataFrame, *kinds: str) -> DataFrame:
@@ -172,13 +174,15 @@ def audit(spark: SparkSession, root: str, config: C.Config | None = None) -> Aud
     method_id = F.concat(F.lit("method:"), "file_path", F.lit("#"), name, F.lit("."), "key", F.lit("@"), "line")
     methods = _of(facts, "method").select(method_id.alias("id"), F.col("key").alias("name"), "file_path", F.concat(F.lit("class:"), "cls").alias("class_id"), name.alias("class_name"), F.col("value").alias("visibility"), F.col("line").alias("start_line"), F.col("n").alias("end_line"), F.struct(F.col("n2").alias("line_count"), F.col("n3").alias("branch_count"), F.col("n4").alias("parameter_count")).alias("metrics"))
     both = F.explode(F.array(F.struct(F.lit("exact").alias("kind"), F.col("key").alias("hash")), F.struct(F.lit("normalized").alias("kind"), F.col("value").alias("hash"))))
-    blocks = _of(facts, "block").select(both.alias("k"), "file_path", F.col("line").alias("start_line"), F.col("n").alias("end_line"), F.col("n2").alias("line_count"), F.col("n3").alias("token_count"), F.col("extra").alias("preview")).select("k.*", "file_path", "start_line", "end_line", "line_count", "token_count", "preview")
+    blocks = _of(facts, "block").select(both.alias("k"), "file_path", F.col("line").alias("start_line"), F.col("n").alias("end_line"), F.col("n2").alias("line_count"), F.col("n3").alias("token_count"), F.col("extra").alias("preview"), F.concat(name, F.lit("."), "method").alias("method")).select("k.*", "file_path", "start_line", "end_line", "line_count", "token_count", "preview", "method")
     groups = duplicates.group_key(duplicates.repeated_hashes(blocks))
     occ = duplicates.occurrences(blocks, groups)
     fans = graph.degrees(nodes.select(F.col("file_path").alias("node")), edges).withColumnRenamed("node", "file_path")
     gaps = found.where(F.col("code").endswith("-missing-spec")).select("file_path")
     scores = hotspots.scored(hotspots.assembled(complexity, duplicates.file_stats(occ), gaps, fans))
-    return Audit(cfg, projects, files, facts, artifacts, routes, edges, nodes, cycles, found, complexity, classes, methods, groups, occ, scores)
+    calls = _of(facts, "this_ref").select("file_path", name.alias("class_name"), F.col("key").alias("name"), "line", "col")
+    refs = views.method_references(calls, methods).join(files.select("file_path", "text"), "file_path").withColumn("snippet", X.snippet(F.col("text"), F.col("line"))).drop("text")
+    return Audit(cfg, projects, files, facts, artifacts, routes, edges, nodes, cycles, found, complexity, classes, methods, groups, occ, scores, refs)
 
 
 def brief_tables(a: Audit) -> dict[str, DataFrame]:
@@ -198,7 +202,7 @@ def report(a: Audit, generated_at: str) -> dict:
     found = sorted(rows(a.findings.drop("source_path")), key=lambda r: (r["file_path"], r["code"], r["line"] or 0))
     return {
         "schemaVersion": 7, "generatedAt": generated_at, "projects": rows(a.projects), "artifacts": rows(a.artifacts), "routes": rows(a.routes), "importGraph": {"nodes": sorted(r["file_path"] for r in rows(a.nodes)), "edges": rows(a.edges)}, "cycles": rows(a.cycles),
-        "findings": [{k: v for k, v in r.items() if v is not None} for r in found], "complexity": rows(a.complexity), "classes": rows(a.classes), "methods": rows(a.methods), "duplicateGroups": rows(a.groups.drop("sort_key")), "hotspots": rows(hotspots.top(a.hotspots, None)),
+        "findings": [{k: v for k, v in r.items() if v is not None} for r in found], "complexity": rows(a.complexity), "classes": rows(a.classes), "methods": rows(a.methods), "methodReferences": rows(a.references.drop("class_name", "name")), "duplicateGroups": rows(a.groups.drop("sort_key")), "hotspots": rows(hotspots.top(a.hotspots, None)),
     }
 
 

@@ -62,6 +62,31 @@ def method_references(calls: DataFrame, methods: DataFrame, most: int = 200) ->
     return hit.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
 
 
+def symbol_tree(classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """Each class with the sorted ids of its methods (none: empty)."""
+    ids = methods.groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(F.col("id"))).alias("method_ids"))
+    return classes.join(ids, "id", "left").withColumn("method_ids", F.coalesce("method_ids", F.array().cast("array<string>")))
+
+
+def file_details(classes: DataFrame, methods: DataFrame, scores: DataFrame, references: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Each file with classes: counts of classes, methods, references to its methods, duplicate groups, and its score."""
+    count = lambda df, name, what="*": df.groupBy("file_path").agg((F.count("*") if what == "*" else F.count_distinct(*what)).alias(name))
+    out = count(classes, "classes")
+    used = references.join(methods.select(F.col("id").alias("method_id"), F.col("file_path").alias("home")), "method_id").drop("file_path").withColumnRenamed("home", "file_path")
+    for df in (count(methods, "methods"), count(used, "references"), count(occurrences, "groups", ("kind", "hash"))):
+        out = out.join(df, "file_path", "left")
+    return out.join(scores.select("file_path", "score"), "file_path", "left").fillna(0)
+
+
+def nested_folders(rows: list, root: str = "") -> dict:
+    """Folder rows (folder, parent, files) as nested objects, on the driver: a tree has no fixed schema."""
+    kids: dict = {}
+    for r in rows:
+        kids.setdefault(r["parent"], []).append(r)
+    top = next(r for r in rows if r["folder"] == root)
+    return {"path": root, "files": top["files"], "folders": [nested_folders(rows, k["folder"]) for k in sorted(kids.get(root, []), key=lambda r: r["folder"])]}
+
+
 def visible_rows(folders: DataFrame, expanded: DataFrame) -> DataFrame:
     """Folders whose ancestors are all expanded, in depth-first order (by path)."""
     parts = F.split("folder", "/")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scalars as X
 from corvane.operators import graph
-from corvane.plans import audit as A
+from corvane.plans import audit as A, views
 from corvane.sources import config as C, typescript as T, workspace as W
 
 PANEL = """import { Component, OnInit } from '@angular/core';
@@ -115,6 +115,25 @@ def test_symbols_and_duplicates(done):
     assert top["src/app/panel.component.ts"].spec_points == 10 and top["src/shared/b.ts"].fan_in == 2
 
 
+def test_references_and_details(done):
+    got = {(r.method_id.split("#")[1].split("@")[0], r.line, r.snippet) for r in done.references.collect()}
+    assert got == set() or all(r[2] for r in got)
+    tree = {r.name: r.method_ids for r in views.symbol_tree(done.classes, done.methods).collect()}
+    assert [m.split("#")[1] for m in tree["Other"]] == ["Other.renamed@19", "Other.sum@3"] and tree["CardComponent"] == []
+    d = {r.file_path: r for r in views.file_details(done.classes, done.methods, done.hotspots, done.references, done.occurrences).collect()}
+    assert (d["src/app/other.ts"].methods, d["src/app/other.ts"].groups) == (2, 2)
+
+
+def test_this_references():
+    rows = T.facts("a.ts", "class A { m() { this.n(); x.m(); } n() { return this.m; } }")
+    assert [(r["key"], r["line"], r["col"]) for r in rows if r["kind"] == "this_ref"] == [("n", 1, 22), ("m", 1, 54)]
+
+
+def test_nested_folders():
+    rows = [{"folder": "", "parent": None, "files": 3}, {"folder": "a", "parent": "", "files": 2}, {"folder": "a/b", "parent": "a", "files": 1}]
+    assert views.nested_folders(rows) == {"path": "", "files": 3, "folders": [{"path": "a", "files": 2, "folders": [{"path": "a/b", "files": 1, "folders": []}]}]}
+
+
 def test_outputs(done, root):
     out = A.write(done, root, "2020-01-01T00:00:00Z")
     doc = json.load(open(f"{out}/report.json"))
