@@ -19,18 +19,22 @@ links like any other and is never the smallest of its component; a component of
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .sparkutil import components, filter_of, maybe_in, prepare
 from .textnum import chunks, set_key, shingle_sets, text_bytes
 
 #: Shingles of one range of names that a task should count, and of one group that a task should verify.
-RANGE_SHINGLES = 2_000_000
+RANGE_SHINGLES = 1_000_000
 GROUP_SHINGLES = 1_000_000
 #: Shingles a block gathers before it is sent.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 750_000
 NAME_BITS = 48
 _U = np.uint64
 
@@ -62,15 +66,15 @@ def _unpack_names(raw: bytes) -> np.ndarray:
 
 def _blocks(batches, width: int, ranges: int):
     """Per batch of texts: a row for each document (rng spread by doc), then the block's parts by range of names."""
-    import os
-
+    # numbers that a task which runs again gives again
+    blocks = itertools.count(TaskContext.get().partitionId() << 24)
     schema = pa.schema([("rng", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("names", pa.binary()), ("at", pa.binary())])
     bounds = (np.arange(1, ranges, dtype=np.uint64) * _U((1 << NAME_BITS) // ranges))
 
     def flush(sets, keys):
         if not sets:
             return None
-        block = int.from_bytes(os.urandom(7), "little")
+        block = next(blocks)
         names = np.concatenate(sets)
         at = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
         order = np.argsort(names)
@@ -85,7 +89,7 @@ def _blocks(batches, width: int, ranges: int):
     sets: list[np.ndarray] = []
     keys: list[int] = []
     seen: set[int] = set()
-    held, sent = 0, int.from_bytes(os.urandom(3), "little")
+    held, sent = 0, TaskContext.get().partitionId() * 7919
     for b in batches:
         raw, off = text_bytes(b.column(1))
         ids = b.column(0).to_pylist()
@@ -265,23 +269,21 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
 
         for b in batches:
             t = pa.Table.from_batches([b])
-            docs_ = t.filter(pa.compute.is_null(t.column("names")))
+            docs_ = t.filter(pc.is_null(t.column("names")))
             if len(docs_):
                 yield give(2, doc_id=docs_.column("doc_id"), n=docs_.column("n"), cls=docs_.column("cls"), block=docs_.column("block"))
-            t = t.filter(pa.compute.is_valid(t.column("names")))
-            heads = t.filter(pa.compute.less(t.column("rng"), 0))
+            t = t.filter(pc.is_valid(t.column("names")))
+            heads = t.filter(pc.less(t.column("rng"), 0))
             if len(heads):
                 yield give(0, block=heads.column("block"), names=heads.column("names"), at=heads.column("at"))
-            t = t.filter(pa.compute.greater_equal(t.column("rng"), 0))
-            for r in pa.compute.unique(t.column("rng")).to_pylist():
-                kinds.setdefault(r, []).append(t.filter(pa.compute.equal(t.column("rng"), r)))
+            t = t.filter(pc.greater_equal(t.column("rng"), 0))
+            for r in pc.unique(t.column("rng")).to_pylist():
+                kinds.setdefault(r, []).append(t.filter(pc.equal(t.column("rng"), r)))
         for r in list(kinds):
             ans = _count_range(pa.concat_tables(kinds.pop(r)))
             if len(ans):
                 yield give(1, block=ans.column("block"), names=ans.column("names"), at=ans.column("at"), df=ans.column("df"))
 
-    import pyarrow.compute  # noqa: F401  (pa.compute)
-
     spread = F.when(F.col("rng") >= 0, F.col("rng").cast("long")).otherwise(F.col("block"))
     told = sent.repartition(ranges, spread).mapInArrow(reduce, meta_schema).checkpoint()
     meta = told.where("kind = 2").select("doc_id", "n", "cls", F.col("block").alias("nul"))
