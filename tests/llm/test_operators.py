@@ -327,3 +327,8 @@ def test_null_ids_and_clashing_columns(spark):
     assert toxicity.clean_only(d, labels).columns == d.columns
     assert sharding.assign(d).count() == licenses.scanned(d).count() == quality.judged(d, labels).count() == len(rows)
     assert {r.kind for r in passages.repeated(d).collect()} <= {"copy", "passage"}
+
+
+def test_chain_ids_differ():
+    ids = {passages._chain_id(5, 9, a, b) for a in range(60) for b in range(60)}
+    assert len(ids) == 3600
