@@ -122,9 +122,10 @@ def _window_rows(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
-def _repeated(dkey: np.ndarray, lo: np.ndarray, blobs: list[bytes], offs: list[bytes], length: int):
-    """(dkey, start, end) of the stretches of text that windows found twice cover."""
-    _, one = np.unique(np.stack([dkey, lo]), axis=1, return_index=True)
+def _repeated(g: np.ndarray, part: np.ndarray, dkey: np.ndarray, lo: np.ndarray, blobs: list[bytes], offs: list[bytes], length: int):
+    """(dkey, start, end) of the stretches of text that windows found twice cover.  A row that is repeated counts once; the
+    parts of a group that come together are rows of their own."""
+    _, one = np.unique(np.stack([g, part.astype(np.int64), dkey, lo]), axis=1, return_index=True)
     one = np.sort(one)
     size = np.array([len(offs[i]) for i in one.tolist()])
     h = np.frombuffer(b"".join([blobs[i] for i in one.tolist()]), _U)
@@ -145,7 +146,7 @@ def _window_groups(batches, length: int, hold: int = 16 << 20):
     schema = pa.schema([("dkey", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def found(t: pa.Table):
-        cols = _repeated(t.column("dkey").to_numpy(), t.column("lo").to_numpy(), t.column("names").to_pylist(), t.column("offs").to_pylist(), length)
+        cols = _repeated(*(t.column(c).to_numpy() for c in ("g", "part", "dkey", "lo")), t.column("names").to_pylist(), t.column("offs").to_pylist(), length)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     held: list[pa.RecordBatch] = []

@@ -124,6 +124,22 @@ def test_suffix(spark, sf, hard, which):
         assert (r.text or "") == kept
 
 
+def test_suffix_parts_of_a_group_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 4)
+    rng = random.Random(8)
+    passage = words(rng, 45)
+    d = spark.createDataFrame([(i, words(rng, 40) + " " + passage + " " + words(rng, 40)) for i in range(30)], "doc_id long, text string")
+    flags = brute.removed(pairs(d))
+    assert all(sum(f) >= len(passage) for f in flags.values())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removal(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: (sum(f), len(re.findall(b"\1+", bytes(f)))) for i, f in flags.items()}
+
+
 @pytest.mark.parametrize("which", ["table", "hard"])
 def test_bpe(spark, sf, hard, which):
     tokenizers = pytest.importorskip("tokenizers")
