@@ -2,7 +2,8 @@
 
 Fit (driver, bounded): of the labelled rows whose crc32(doc_id as text) mod 5 is not 0, SAMPLE of each label, in hash order.
 Words, and beginnings of words, that toxic texts hold far more often than clean ones are the lexicon; a logistic model over
-the features below weighs them.  Beginnings match exactly, whole words of FUZZY_LEN letters or more also within one edit.
+the features below weighs them.  Beginnings match exactly, whole words of FUZZY_LEN letters or more also within one edit, those with a
+learned beginning too.
 
 Score (executors, no shuffle): the lexicon trie intersected with the Levenshtein automaton of distance 1 is made
 deterministic on the fly and every word of the whole text is read by it; most words leave it after a few letters.  Matches in
@@ -166,8 +167,8 @@ def learn_terms(toxic: list[str], clean: list[str], least: int = 3, ratio: float
         for s, w in strong(cut).items():
             if not any(s[:k] in stems for k in range(4, cut)):
                 stems[s] = w
-    words = {w: x for w, x in strong(None).items() if not any(w[:k] in stems for k in range(4, len(w)))}
-    return words, stems
+    # a beginning only adds exact matches: the words that it covers stay, for their misspellings
+    return strong(None), stems
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05) -> tuple[list[float], float]:

@@ -307,6 +307,25 @@ def test_automaton():
     assert lex.match("worthlas") is None and lex.match("idiotic") == ("idio*", 0) and lex.match("idi") is None
 
 
+def test_toxicity_misspelled_beginnings(spark):
+    rng = random.Random(1)
+    plain = lambda: " ".join(rng.choice(["house", "tree", "river", "stone", "cloud", "green", "bright"]) for _ in range(60))
+    bad = ["blockhead", "numbskull", "nitwit"]
+    toxic, clean = [plain() + " you " + rng.choice(bad) + " " + plain() for _ in range(100)], [plain() for _ in range(300)]
+    stated, stems = toxicity.learn_terms(toxic, clean)
+    assert set(bad) <= set(stated) and stems
+    lex = toxicity.Lexicon(stated, stems)
+    for w, term in [("blokhead", "blockhead"), ("blxckhead", "blockhead"), ("lockhead", "blockhead"), ("nmbskull", "numbskull"), ("xitwit", "nitwit")]:
+        assert lex.match(w) == (term, 1), w
+    assert lex.match("blockheads")[1] == 0
+    rows = [(i, t) for i, t in enumerate(toxic + clean)]
+    labels = [(i, 1, int(i < 100)) for i, _ in rows]
+    rows += [(1000, "what a blokhead you are"), (1001, plain() + " you xitwit " + plain()), (1002, plain())]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.scored(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert (got[1000].predicted, got[1001].predicted, got[1002].predicted) == (1, 1, 0)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty, name, tmp_path):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
