@@ -1,10 +1,10 @@
 """Operator 4 [native]: licence scan by a positional rare-token index.
 
 Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII.  The base looks up four phrases word by
-word.  The method then takes each file's RARE licence words of highest IDF (IDF over all documents), looks them up in the
-postings of the licence templates (word, template, position), intersects the postings by relative position (file position
-less template position) and accepts a template when the IDF weight found at one relative position is MATCH of what the
-template holds of that file's words' kind, and its mandatory key phrase stands where the template has it.
+word.  The method then takes each template's rarest word of its mandatory key phrase (IDF over all documents), looks it up in
+the file's postings (word, position) of licence words, and so gets relative positions (file position less template position);
+where the key phrase stands, the template is scored over all its licence words: it is accepted when the IDF weight found at
+one relative position is MATCH of the whole.  A place without the key phrase can't be accepted, so none is missed.
 
 Only texts that contain a trigger are cut into words; every template and phrase contains one.  No shuffle but for the IDF.
 
@@ -43,7 +43,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: One of these is in every phrase and template.
 TRIGGER = r"license|licensed|permission|redistribut|(?<![0-9a-z\x80-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![0-9a-z\x80-\x{10FFFF}])"
-RARE, MATCH = 8, 0.6
+MATCH = 0.6
 #: Words of a template that say nothing about licences.
 COMMON = frozenset("a and any are as at be by can for form free i in is it may not of on or that the this to under use version with without you".split())
 
@@ -83,12 +83,19 @@ def _stands(key: list[str], start: int, words: Column):
     return lambda o: (o + start >= 0) & (F.slice(words, F.greatest(F.lit(1), o + start + 1), len(key)) == F.array(*map(F.lit, key)))
 
 
-def _share(name: str, total: Column):
-    """The share of a template's IDF weight that was found at a relative position."""
-    return lambda o: F.least(F.lit(1.0), F.aggregate(F.filter(name, lambda a: a["o"] == o), F.lit(0.0), lambda s, a: s + a["x"]) / total)
+def _offsets(word: str, k: int) -> Column:
+    """The relative positions at which a template's k-th word stands."""
+    return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["i"] - k)
 
 
-def scanned(docs: DataFrame, rare: int = RARE, match: float = MATCH) -> DataFrame:
+def _share(post: list[tuple[str, int]], weight: dict[str, float], words: Column):
+    """The share of a template's IDF weight that stands at a relative position."""
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(weight[w]).alias("x")) for w, k in post])
+    total = F.lit(sum(weight[w] for w, _ in post))
+    return lambda o: F.least(F.lit(1.0), F.aggregate(table, F.lit(0.0), lambda s, p: s + F.when(F.get(words, o + p["k"]) == p["w"], p["x"]).otherwise(0.0)) / total)
+
+
+def scanned(docs: DataFrame, match: float = MATCH) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     weight = idf(docs)
     x = worded(docs)
@@ -101,24 +108,16 @@ def scanned(docs: DataFrame, rare: int = RARE, match: float = MATCH) -> DataFram
     place = lambda p, label: F.transform(_places(p, words), lambda i: F.struct(i.alias("i"), F.lit(label).alias("label")))
     base = F.concat(*[place(p, label) for p, label in PHRASES.items()])
     x = once(x, "base", F.when(words.isNotNull(), base).otherwise(F.array().cast("array<struct<i:int,label:string>>")))
-    # the file's rare words
-    by = F.create_map(*[F.lit(v) for w, k in weight.items() for v in (w, k)])
-    ranked = F.sort_array(F.transform(F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda w: F.struct((-F.element_at(by, w)).alias("k"), w.alias("w"))))
-    x = once(x, "rare", F.transform(F.slice(ranked, 1, rare), lambda r: r["w"]))
-    x = once(x, "rare_hits", F.filter("hits", lambda h: F.array_contains(F.col("rare"), h["w"]))).drop("hits")
     found = []
     for label, key, text in TEMPLATES:
-        tw = text.split()
+        tw, kw = text.split(), key.split()
         post = [(w, k) for k, w in enumerate(tw) if w not in COMMON]
-        total = F.lit(sum(weight[w] for w, _ in post))
-        start = next(k for k in range(len(tw)) if tw[k : k + len(key.split())] == key.split())
-        table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(weight[w]).alias("x")) for w, k in post])
-        at = F.flatten(F.transform("rare_hits", lambda h: F.transform(F.filter(table, lambda p: p["w"] == h["w"]), lambda p: F.struct((h["i"] - p["k"]).alias("o"), p["x"].alias("x")))))
-        name = f"t{len(found)}"
-        x = once(x, name, F.when(F.size("rare_hits") > 0, at).otherwise(F.array().cast("array<struct<o:int,x:double>>")))
-        offsets = F.filter(F.array_distinct(F.transform(name, lambda a: a["o"])), _stands(key.split(), start, words))
-        share = F.transform(offsets, _share(name, total))
-        x = once(x, f"s{len(found)}", F.coalesce(F.array_max(share), F.lit(0.0))).drop(name)
+        start = next(k for k in range(len(tw)) if tw[k : k + len(kw)] == kw)
+        # the key phrase's rarest word gives the relative positions
+        at = max((k for k in range(start, start + len(kw)) if tw[k] not in COMMON), key=lambda k: (weight[tw[k]], tw[k]))
+        offsets = _offsets(tw[at], at)
+        share = F.transform(F.filter(offsets, _stands(kw, start, words)), _share(post, weight, words))
+        x = once(x, f"s{len(found)}", F.when(F.size("hits") > 0, F.coalesce(F.array_max(share), F.lit(0.0))).otherwise(0.0))
         found.append((label, F.col(f"s{len(found)}")))
     more = F.array_compact(F.array(*[F.when(s >= match, F.lit(label)) for label, s in found]))
     own = F.transform("base", lambda b: b["label"])

@@ -174,6 +174,42 @@ def test_licenses(spark, sf, hard, which):
             assert r.labels == "cc-by,cc-by-nc"
 
 
+def plain_licenses(texts):
+    """Labels and best share of each text, every template tried at every place."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.low(t))
+    files = [cut(t) for t in texts]
+    df = {w: sum(w in set(f) for f in files) for w in licenses.vocabulary()}
+    idf = {w: np.log((len(files) + 1) / (n + 1)) + 1e-9 for w, n in df.items()}
+    out = []
+    for f in files:
+        labels = {lab for p, lab in PHRASES.items() if any(f[i : i + len(p.split())] == p.split() for i in range(len(f)))}
+        best = 1.0 if labels else 0.0
+        for label, key, text in licenses.TEMPLATES:
+            t, k = text.split(), key.split()
+            s = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            own = [(i, w) for i, w in enumerate(t) if w not in licenses.COMMON]
+            for o in range(-len(t), len(f)):
+                if o + s >= 0 and f[o + s : o + s + len(k)] == k:
+                    share = sum(idf[w] for i, w in own if 0 <= o + i < len(f) and f[o + i] == w) / sum(idf[w] for _, w in own)
+                    best = max(best, min(1.0, share))
+                    labels |= {label} if share >= licenses.MATCH else set()
+        out.append((",".join(sorted(labels)), pytest.approx(best)))
+    return out
+
+
+def test_licenses_of_several_notices(spark):
+    long = [t for _, _, t in licenses.TEMPLATES]
+    rng = random.Random(3)
+    more = " license conditions following provided modify files software documentation published foundation terms compliance subject international "
+    texts = [long[7] + " . " + long[8], " ".join(long), more + long[7], long[8] + more + words(rng, 30) + more + long[1], " ".join(long[1].split()[4:])]
+    texts += [words(rng, 20) for _ in range(60)] + ["the license of the software", "permission is hereby granted to none"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(d).collect()}
+    want = plain_licenses(texts)
+    assert want[0][0] == "bsd,mit"
+    assert [got[i] for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("which", ["table", "hard"])
 def test_quality_base(spark, sf, hard, which):
     d = docs(spark, sf) if which == "table" else hard
