@@ -6,7 +6,8 @@ the file's postings (word, position) of licence words, and so gets relative posi
 where the key phrase stands, the template is scored over all its licence words: it is accepted when the IDF weight found at
 one relative position is MATCH of the whole.  A place without the key phrase can't be accepted, so none is missed.
 
-Only texts that contain a trigger are cut into words; every template and phrase contains one.  No shuffle but for the IDF.
+Only texts that contain a trigger are looked up; every base phrase and every mandatory key phrase contains one.  The IDF
+counts the words of all texts.  No shuffle but for the IDF.
 
 Null and empty texts have no words, no labels and score 0.  Ties in IDF go by the word.  Repeated rows give repeated rows;
 an empty table gives an empty one; other columns are ignored.
@@ -41,8 +42,8 @@ TEMPLATES = (
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: One of these is in every phrase and template.
-TRIGGER = r"license|licensed|permission|redistribut|(?<![0-9a-z\x80-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![0-9a-z\x80-\x{10FFFF}])"
+#: One of these is in every base phrase and in every template's mandatory key phrase.
+TRIGGER = r"creative[\x00-\x2F\x3A-\x60\x7B-\x7F]+commons|license|licensed|permission|redistribut|(?<![0-9a-z\x80-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![0-9a-z\x80-\x{10FFFF}])"
 MATCH = 0.6
 #: Words of a template that say nothing about licences.
 COMMON = frozenset("a and any are as at be by can for form free i in is it may not of on or that the this to under use version with without you".split())
@@ -52,19 +53,23 @@ def vocabulary() -> list[str]:
     return sorted({w for _, _, t in TEMPLATES for w in t.split()} - COMMON)
 
 
+def _low() -> Column:
+    return F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def worded(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, words (null unless the text has a trigger)."""
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _low().alias("low"))
     x = x.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("long"))
-    quick = F.col("low").contains("licens") | F.col("low").contains("permission") | F.col("low").contains("redistribut") | F.col("low").contains("cc")
+    quick = F.col("low").contains("licens") | F.col("low").contains("permission") | F.col("low").contains("redistribut") | F.col("low").contains("cc") | F.col("low").contains("commons")
     return once(x, "words", F.when(quick & F.col("low").rlike(TRIGGER), F.array_remove(F.split("low", SEPARATOR, -1), ""))).drop("low")
 
 
 def idf(docs: DataFrame) -> dict[str, float]:
     """log((documents + 1) / (documents with the word + 1)) of the template words, over all documents; one row a word."""
     names = vocabulary()
-    hits = worded(docs).select(F.explode(F.array_intersect("words", F.array(*map(F.lit, names)))).alias("w")).groupBy("w").count().collect()
+    words = F.split(_low(), SEPARATOR, -1)
+    hits = docs.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, names)))).alias("w")).groupBy("w").count().collect()
     total, df = docs.count(), {r["w"]: r["count"] for r in hits}
     return {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in names}
 

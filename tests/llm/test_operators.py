@@ -210,6 +210,19 @@ def test_licenses_of_several_notices(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_licenses_count_and_match_texts_without_the_word_license(spark):
+    for phrase in [*licenses.PHRASES, *(k for _, k, _ in licenses.TEMPLATES)]:
+        assert re.search(licenses.TRIGGER.replace(r"\x{10FFFF}", "\U0010ffff"), phrase), phrase
+    texts = ["This work: Creative Commons Attribution 4.0 International", "under a Creative-Commons, Attribution 4.0 International", "Permission is hereby granted, free of charge, to any person obtaining"]
+    texts += [f"public work of general software {i}" for i in range(20)] + [f"a person works with source files and documentation {i}" for i in range(20)] + ["the license of the software"] * 5 + ["nothing"] * 20 + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weight = licenses.idf(d)
+    assert weight["software"] == pytest.approx(np.log((len(texts) + 1) / 26)) and weight["source"] == pytest.approx(np.log((len(texts) + 1) / 21))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scanned(d).collect()}
+    want = plain_licenses(texts)
+    assert want[0][0] == want[1][0] == "cc-by" and [got[i] for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("which", ["table", "hard"])
 def test_quality_base(spark, sf, hard, which):
     d = docs(spark, sf) if which == "table" else hard
