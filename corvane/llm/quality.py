@@ -4,14 +4,14 @@ Base measures come from array functions within a row; nothing is exploded or shu
 under 20 words, or with over 30 % of its words in 8-word windows that the text has twice.
 
 Each of METRICS is a measure whose great values speak against a text.  For every stratum (language) and metric a cutoff is
-chosen on labelled good documents of the holdout: from the most lenient level on, a level is accepted while the exact
+chosen on all labelled good documents (levels are fixed values, so nothing else is fitted): from the most lenient level on, a level is accepted while the exact
 binomial (Clopper-Pearson) upper bound of its false rejections is at most ALPHA / metrics, at confidence
 1 - DELTA / (strata * metrics); the first level that fails ends the sequence, so levels need no further correction.  Over all
 metrics no more than ALPHA of the good documents of any stratum are rejected, with probability 1 - DELTA for all strata at
 once.  A stratum with too few labels has no cutoff and keeps what the base rules keep.
 
-Null and empty texts have no words and fail.  A null language is a stratum of its own; strata beyond MAX_STRATA by name share
-one.  Null labels or doc_ids take no part in fitting.  Repeated rows give repeated rows; an empty table gives an empty one.
+Null and empty texts have no words and fail.  A null language is a stratum of its own.  Where there are more than MAX_STRATA,
+those of most documents (ties by name) stay and the rest share one, which is counted and judged like any other.  Null labels or doc_ids take no part in fitting.  Repeated rows give repeated rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ LEVELS = {
     "long_word": [40.0, 25.0, 18.0, 14.0, 12.0, 10.0],
 }
 MAX_STRATA = 200
+#: The common stratum (the others are "null" or begin with "=").
+REST = "rest"
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -100,20 +102,29 @@ def cutoffs(counts: dict[str, tuple[int, dict[tuple[str, float], int]]], alpha:
     return out
 
 
+def pooled(measures: DataFrame) -> DataFrame:
+    """The measured documents with at most MAX_STRATA strata: the smallest ones share REST."""
+    sizes = measures.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA + 1).collect()
+    if len(sizes) <= MAX_STRATA:
+        return measures
+    own = [r["stratum"] for r in sizes[: MAX_STRATA - 1]]
+    return measures.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(REST))
+
+
 def calibrate(measures: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
-    """The cutoffs for measured documents, from counts over all labelled good documents of the holdout (crc32(doc_id as text) mod 5 is 0 or 1)."""
+    """The cutoffs for measured documents of at most MAX_STRATA strata, from counts over all labelled good documents."""
     lab = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("quality")).where("lid is not null and quality is not null")
-    lab = lab.where(F.crc32(F.col("lid").cast("string")) % 5 < 2).groupBy("lid").agg(F.min("quality").alias("quality")).where("quality = 1").select("lid")
+    lab = lab.groupBy("lid").agg(F.min("quality").alias("quality")).where("quality = 1").select("lid")
     x = measures.where("not base_failed").join(lab, F.col("lid") == measures["doc_id"], "left_semi")
     tests = [F.count_if(F.col(m) > level).alias(f"{m}|{k}") for m in METRICS for k, level in enumerate(LEVELS[m])]
-    rows = x.groupBy("stratum").agg(F.count("*").alias("n"), *tests).orderBy("stratum").limit(MAX_STRATA).collect()
+    rows = x.groupBy("stratum").agg(F.count("*").alias("n"), *tests).collect()
     return cutoffs({r["stratum"]: (r["n"], {(m, level): r[f"{m}|{k}"] for m in METRICS for k, level in enumerate(LEVELS[m])}) for r in rows})
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, the base measures, base_failed, kept, and the rules that spoke against a document."""
     prepare(docs.sparkSession)
-    x = cut(measured(docs))  # narrow, measured once
+    x = pooled(cut(measured(docs)))  # narrow, measured once
     cuts = calibrate(x, labels)
     reasons = [F.when((F.col("stratum") == s) & (F.col(m) > level), F.lit(m)) for s, by in cuts.items() for m, level in by.items()]
     why = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")

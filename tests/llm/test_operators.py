@@ -250,6 +250,24 @@ def test_quality_bound():
     assert cuts["many"]["symbol_rate"] == 0.2 and cuts["many"]["long_word"] == 10.0
 
 
+def test_quality_strata_beyond_the_bound_and_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_STRATA", 3)
+    text = " ".join(f"w{k}" for k in range(30))
+    bad = " ".join(f"w{k}###" for k in range(30))  # symbol_rate 3
+    # a and b are small and come first by name, y and z are large, c to f have few documents each
+    langs = ["a"] * 20 + ["b"] * 20 + [x for x in "cdef" for _ in range(700)] + ["y"] * 3000 + ["z"] * 3000
+    rows = [(i, text, lang) for i, lang in enumerate(langs)]
+    labels = [(i, 1) for i, _, _ in rows]
+    extra = [(100_000 + k, bad, lang) for k, lang in enumerate([*"abcdef", "y", "z", None])]
+    d = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judged(d, lab).collect()}
+    assert len(got) == len(rows) + len(extra) and all(got[i].kept for i, _ in labels)
+    # every one is rejected: y and z by cutoffs of their own, the others by the common one's, each needs about 2,300 labels
+    assert [(got[i].base_failed, got[i].kept) for i, _, _ in extra] == [(False, False)] * len(extra)
+    assert set(quality.calibrate(quality.pooled(quality.measured(d)), lab)) == {"=y", "=z", quality.REST}
+
+
 def test_quality_verdicts(spark, sf):
     d, lab = docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.judged(d, lab).collect()
