@@ -327,21 +327,146 @@ def test_hamming(spark):
 
 def test_passages(hard):
     got = passages.repeated(hard).collect()
-    found = {frozenset((r.doc_id, r.other_id)) for r in got}
-    assert {i for p in found for i in p} >= {10, 11, 12, 13} and frozenset((6, 7)) in found
-    assert any({6, 9} == set(p) or {7, 9} == set(p) or {8, 9} == set(p) for p in found)
-    assert not {0, 1, 2, 3, 4, 5} & {i for p in found for i in p}
+    by = {}
+    for r in got:
+        if r.kind == "passage":
+            by.setdefault(r.passage, set()).add(r.doc_id)
+    assert any({10, 11, 12, 13} <= ids for ids in by.values())
+    assert {(r.doc_id, r.other_id) for r in got if r.kind == "copy"} == {(7, 6)}
+    assert any({6, 9} <= ids for ids in by.values())
+    assert not {0, 1, 2, 3, 4, 5} & {r.doc_id for r in got}
+
+
+def edited(rng, ws, every):
+    """ws with a word replaced, left out or put in at about every `every`-th place."""
+    out = []
+    for k, w in enumerate(ws):
+        if k % every == every // 2:
+            out += rng.choice([["edit" + str(rng.randrange(9999))], [], [w, "more" + str(rng.randrange(9999))]])
+        else:
+            out.append(w)
+    return out
+
+
+def plain_passages(docs):
+    """{(i, j)} of texts that share a passage of 50 words at 75 %, by local alignment of all pairs (gains as in extended)."""
+    ids = {}
+    arr = {i: np.array([ids.setdefault(w, len(ids)) for w in re.findall(r"[^\x20\x09-\x0D]+", brute.low(t))], np.int64) for i, t in docs}
+    out = set()
+    names = sorted(arr)
+    for a in names:
+        for b in names:
+            x, y = arr[a], arr[b]
+            if a >= b or min(len(x), len(y)) < 50:
+                continue
+            slope = np.arange(len(y) + 1) * -1.5
+            cell, start = np.zeros(len(y) + 1), np.zeros((2, len(y) + 1), np.int64)
+            hits = np.zeros(len(y) + 1, np.int64)
+            start[1] = np.arange(len(y) + 1)
+            found = False
+            for i in range(len(x)):
+                same = y == x[i]
+                best = np.zeros(len(y) + 1)
+                st = np.stack([np.full(len(y) + 1, i + 1), np.arange(len(y) + 1)])
+                hit = np.zeros(len(y) + 1, np.int64)
+                for cand, s0, h0 in ((np.append(-9.0, cell[:-1] + np.where(same, 1.0, -2.0)), np.concatenate([start[:, :1], start[:, :-1]], axis=1), np.append(0, hits[:-1] + same)), (cell - 1.5, start, hits)):
+                    up = cand > best
+                    best = np.where(up, cand, best)
+                    st, hit = np.where(up, s0, st), np.where(up, h0, hit)
+                run = np.maximum.accumulate(best - slope)
+                src = np.maximum.accumulate(np.where(best - slope >= run, np.arange(len(y) + 1), 0))
+                cell, start, hits = run + slope, st[:, src], hit[src]
+                lx, ly = i + 1 - start[0], np.arange(len(y) + 1) - start[1]
+                if ((np.minimum(lx, ly) >= 50) & (hits >= 0.75 * np.maximum(lx, ly)) & (cell > 0)).any():
+                    found = True
+                    break
+            if found:
+                out.add((a, b))
+    return out
+
+
+def classes(rows):
+    by = {}
+    for r in rows:
+        if r.kind == "passage":
+            by.setdefault(r.passage, set()).add(r.doc_id)
+    return list(by.values())
+
+
+def test_passages_keep_every_member_of_a_fuzzy_passage(spark):
+    rng = random.Random(21)
+    base = words(rng, 80).split()
+    rows = [(i, words(rng, 60) + " " + " ".join(edited(rng, base, 12)) + " " + words(rng, 60)) for i in range(8)]
+    got = classes(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [set(range(8))]
+
+
+def test_passages_of_very_common_seeds(spark, monkeypatch):
+    """Two passages whose phrases stand in many other texts too, seeds beyond SMALL, pieces cut within a seed."""
+    monkeypatch.setattr(passages, "SMALL", 2)
+    rng = random.Random(4)
+    phrases = [words(rng, 12) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        t = " ".join(x for p in rng.sample(phrases, 5) for x in (p, words(rng, 25)))
+        rows.append((i, t))
+    hold = {k: " ".join(x for p in phrases[4 * k : 4 * k + 4] for x in (p, words(rng, 9))) for k in (0, 1)}
+    rows += [(200 + i, words(rng, 40) + " " + " ".join(edited(rng, hold[i % 2].split(), 11)) + " " + words(rng, 30)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    rows = passages._joined_rows.__defaults__
+    monkeypatch.setattr(passages._joined_rows, "__defaults__", (40, True))
+    got = [c & set(range(200, 240)) for c in classes(passages.repeated(d).collect())]
+    monkeypatch.setattr(passages._joined_rows, "__defaults__", rows)
+    assert {i for i in range(200, 240, 2)} in got and {i for i in range(201, 240, 2)} in got
+
+
+def test_passages_recall(spark):
+    """Against local alignment of all pairs, at 0.75 to 0.95."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(24):
+        base = words(rng, rng.choice([60, 80, 120])).split()
+        for k in range(2):
+            rows.append((2 * i + k, words(rng, 30) + " " + " ".join(edited(rng, base, [5, 6, 8, 10, 15, 20][i % 6]) if k else base) + " " + words(rng, 30)))
+    want = plain_passages(rows)
+    assert len(want) >= 18
+    got = classes(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    found = {(a, b) for a, b in want if any({a, b} <= c for c in got)}
+    assert len(found) >= 0.9 * len(want)
+    assert all(a // 2 == b // 2 for c in got for a in c for b in c)
 
 
 def test_chain_and_align():
     a = np.array([0, 10, 20, 30, 12, 300])
     b = np.array([5, 15, 26, 36, 200, 1])
-    best = passages.chain(a, b)[0]
+    best = passages.chains(a, b)[0]
     assert best == [0, 1, 2, 3]
-    x = np.arange(100)
-    y = np.concatenate([x[10:50], [900, 901], x[52:90]])
+    # two seeds far apart are two chains
+    assert sorted(passages.chains(np.array([0, 5000]), np.array([0, 5000]))) == sorted(passages.chain(np.array([0, 5000]), np.array([0, 5000]))) == [[0], [1]]
+    x = np.arange(100).astype("<u4")
+    y = np.concatenate([x[10:50], np.array([900, 901], "<u4"), x[52:90]])
     s = np.array([12, 30, 60]), np.array([2, 20, 50])
-    assert passages.align(x, y, *s)[:4] == (10, 90, 0, 80) and passages.align(x, y, *s)[4] == 78
+    assert passages.align([(x, y, *s)]) == [(10, 90, 0, 80, 78)]
+    # one seed, edits on both sides of it
+    z = x.copy()
+    z[[8, 42, 88]] = 7000
+    assert passages.align([(x, z, np.array([45]), np.array([45]))])[0][4] >= 90
+
+
+def test_in_order():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 5, (50, 12)).astype(np.uint8), rng.integers(0, 5, (50, 12)).astype(np.uint8)
+
+    def lcs(u, v):
+        row = [0] * (len(v) + 1)
+        for p in u:
+            row = [0, *row[1:]]
+            prev = row[:]
+            for j, q in enumerate(v):
+                row[j + 1] = max(prev[j + 1], row[j], prev[j] + (p == q and p > 0))
+        return row[-1]
+
+    assert passages.in_order(a, b).tolist() == [lcs(u, v) for u, v in zip(a.tolist(), b.tolist())]
 
 
 def test_toxicity(spark):
