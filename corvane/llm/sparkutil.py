@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bits of a membership filter: 2,048 bitmaps of 32,768 bits, 8 MB, at any input size.
@@ -11,11 +12,16 @@ FILTER_BITS = 1 << 26
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches (long texts), and a checkpoint folder: the cluster's, or in a local session one of our own."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """Small Arrow batches (long texts) unless the session says otherwise, and a checkpoint folder: the cluster's, or in a local
+    session one of our own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvane-"))
     return spark
 
 
@@ -42,6 +48,26 @@ def maybe_in(df: DataFrame, name: str, flt: DataFrame, hold: bool = True) -> Dat
     return x.where(bit == 1 if hold else F.coalesce(bit, F.lit(0)) == 0).select(*cols)
 
 
+def bits_of(keys: DataFrame, name: str) -> np.ndarray:
+    """The same kind of filter for Python workers, of a column of 64-bit hashes: bit (hash mod FILTER_BITS) of at most 8 MB."""
+    h = keys.select((F.col(name).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("h"))
+    rows = h.groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for r in rows:  # 2,048 rows at most, of 32,768 bits
+        out[r["b"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def only_owners(src: DataFrame, spare: DataFrame) -> DataFrame:
+    """The rows of src without those whose (did, dkey) spare lists (texts that another id stands for)."""
+    pair = F.xxhash64("did", "dkey")
+    spare = spare.select(pair.alias("pair")).distinct().withColumn("gone", F.lit(1))
+    x, flt = src.withColumn("pair", pair), filter_of(spare, "pair")
+    # an anti-join would be moved before the filter, with all texts
+    rest = maybe_in(x, "pair", flt).join(spare, "pair", "left").where("gone is null")
+    return maybe_in(x, "pair", flt, hold=False).union(rest.select(*x.columns)).drop("pair")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest node reachable over the edges, by neighbour minima and pointer jumping.
 

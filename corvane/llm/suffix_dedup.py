@@ -1,17 +1,22 @@
-"""Operator 1: exact substring dedup by prefix doubling over a content-sampled suffix array.
+"""Operator 1: exact substring dedup by distributed prefix doubling.
 
-A string of LENGTH bytes is repeated if it starts at two places, in one document or two.  Ranking every position would
-sort 8 or more bytes for each byte of text, so positions are sampled by content: the anchor of a window of LENGTH bytes is
-its leftmost smallest 64-byte name, and equal windows have equal anchors at equal places in them.  Names come from prefix
-doubling: the name of 2m bytes is made of the names of m bytes at i and i + m.
+A string of LENGTH bytes is repeated if it starts at two places, in one document or two.  Spark ranks (position, name) pairs at
+growing lengths and drops a position as soon as its name is its own; names are 64-bit names of the bytes, made by doubling (the
+name of 2m bytes from the names of m bytes at i and i + m), so that a rank needs no global sort to be the same everywhere.
 
-1. Anchors are sorted by the name of their 64 bytes; those with a name of their own drop out.
-2. The rest are re-ranked by the name of all windows that have this anchor (up to 336 bytes).  Where that name is shared,
-   all of these windows are repeated.
-3. What is left (at the edges of repeats) is re-ranked window by window at LENGTH bytes, beside one member of each shared
-   name, in groups by anchor name; groups that are large are dealt out by window name, which keeps equal windows together.
+Exact pre-filter: ranking every byte position would shuffle over ten times the input.  The anchor of a window of LENGTH bytes
+is its leftmost smallest 64-byte name, and equal windows have equal anchors at equal places in them; so only anchors, each with
+the range of its windows, are ranked.
 
-Copies of whole texts are found by their hash; in steps 1 to 3 a text takes part once.
+1. 64 bytes: the least and greatest place of each anchor name; names of one place drop out (a filter of at most 8 MB).
+2. All bytes of all windows of an anchor (200 to 336): anchors with the same name there are repeated with all their windows.
+   The others, and one of each repeated kind, go on with these bytes.
+3. Rounds of 166, 192, 198 and 200 bytes: a range of windows is cut into WIDTHS, each part is ranked by the bytes that all its
+   windows share.  Parts with a name of their own drop out; parts whose bytes are wholly equal are repeated; the rest, and one
+   of each repeated kind, go to the next round.  At 200 bytes every part is one window.
+
+Every rank is an aggregate over (name) or (name, bytes), combined before its shuffle; no task takes a whole group of equal
+names.  Copies of whole texts are found by their SHA-256; in steps 1 to 3 a text takes part once.
 
 Null and empty texts have no bytes; nothing is removed.  Texts under LENGTH bytes lose nothing.  Repeated rows are copies
 (both lose all).  An empty table gives an empty one; other columns are ignored, ties don't matter.  A null doc_id stays null.
@@ -25,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .sparkutil import cut, filter_of, maybe_in, prepare
+from .sparkutil import FILTER_BITS, bits_of, cut, filter_of, maybe_in, only_owners, prepare
 from .textnum import _MUL, chunks, doubled, leftmost_minima, mix, text_bytes
 
 LENGTH = 200
 GRAM = 64
-#: Rows of one anchor name that one task should take.
-GROUP_ROWS = 4_000
+#: Windows of a part, round by round.
+WIDTHS = (35, 9, 3, 1)
+#: Names that a task knows to be repeated and need not send again, at most.
+KNOWN = 1_000_000
 _U = np.uint64
 
 
@@ -55,14 +62,15 @@ def names(x: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH):
-    """(document, anchor name, name of all its windows, first window, windows - 1), in order, for the documents of a chunk."""
+    """(document, anchor name, name of all its windows, first window, windows - 1, anchor - first window), in order, for the
+    documents of a chunk."""
     gram, full = names(raw, length)
     low = leftmost_minima(gram, length - GRAM + 1)
     count = np.maximum(np.diff(off) - length + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
     if not len(doc):
         z = np.zeros(0, np.int64)
-        return z, z.astype(_U), z.astype(_U), z, z
+        return z, z.astype(_U), z.astype(_U), z, z, z
     at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + off[doc]
     a = low[at]
     first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
@@ -70,102 +78,99 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH):
     lo, hi = at[first], at[last]
     u = mix(full[lo] * _MUL[0] + mix(full[hi]) * _MUL[1] + (a[first] - lo).astype(_U) * _MUL[2] + (hi - lo).astype(_U) * _MUL[5])
     d = doc[first]
-    return d, gram[a[first]], u, lo - off[d], hi - lo
+    return d, gram[a[first]], u, lo - off[d], hi - lo, a[first] - lo
 
 
-def _anchor_rows(batches, length: int):
-    """Rows (g, u, dkey, at, kind): at is 256 * first window + windows - 1.  Of rows of a batch
-    that share u only the first stays in its group (kind 1); the others (kind 2) are known to be repeated and are dealt out evenly."""
-    schema = pa.schema([("g", pa.int64()), ("u", pa.int64()), ("dkey", pa.int64()), ("at", pa.int64()), ("kind", pa.int32())])
+def _batches_of(batches, length: int):
+    """(names, names of all windows, text keys, packed places) of the anchors of each chunk; of equal texts of a batch one."""
     for b in batches:
         raw, off = text_bytes(b.column(0))
         keys = b.column(1).to_numpy()
         fresh = np.zeros(len(keys), bool)
         fresh[np.unique(keys, return_index=True)[1]] = True
-        out = []
         for i, j in chunks(off):
-            d, g, u, lo, more = anchors(raw[off[i] : off[j]], off[i : j + 1] - off[i], length)
+            d, g, u, lo, more, to = anchors(raw[off[i] : off[j]], off[i : j + 1] - off[i], length)
             keep = fresh[i:j][d]
-            out.append((g[keep], u[keep], keys[i:j][d[keep]], lo[keep] * 256 + more[keep]))
-        if not out:
-            continue
-        g, u, dkey, at = (np.concatenate(c) for c in zip(*out))
-        _, one, inv, n = np.unique(u, return_index=True, return_inverse=True, return_counts=True)
-        kind = np.where(n[inv] > 1, 2, 0).astype(np.int32)
-        kind[one] = np.where(n > 1, 1, 0)
+            yield g[keep], u[keep], keys[i:j][d[keep]], (lo[keep] * 256 + more[keep]) * 256 + to[keep]
+
+
+def _gram_rows(batches, length: int):
+    """(g, place) of each anchor."""
+    schema = pa.schema([("g", pa.int64()), ("place", pa.int64())])
+    for g, _, dkey, at in _batches_of(batches, length):
+        place = mix(dkey.view(_U) * _MUL[0] + at.view(_U))
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(place.view(np.int64))], schema=schema)
+
+
+def _anchor_rows(batches, length: int, held: np.ndarray):
+    """(g, u, dkey, at, kind) of the anchors whose name the filter may hold.  Of anchors that share u a task sends two with
+    their names; the others (kind 2) are known to be repeated and dealt out evenly."""
+    schema = pa.schema([("g", pa.int64()), ("u", pa.int64()), ("dkey", pa.int64()), ("at", pa.int64()), ("kind", pa.int32())])
+    known = np.zeros(0, _U)
+    for g, u, dkey, at in _batches_of(batches, length):
+        slot = g & _U(FILTER_BITS - 1)
+        keep = np.flatnonzero((held[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1)
+        g, u, dkey, at = g[keep], u[keep], dkey[keep], at[keep]
+        order = np.argsort(u, kind="stable")
+        new = np.append(True, u[order][1:] != u[order][:-1])[: len(order)]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.arange(len(order)) - start
+        spread = nth > 1
+        if len(known):
+            spread |= known[np.minimum(np.searchsorted(known, u), len(known) - 1)] == u
+        # the anchors of a chunk are places of their own, so two of them show that u is repeated
+        known = np.union1d(known, u[nth == 1])
+        known = known if len(known) <= KNOWN else known[:0]
         alone = mix(dkey.view(_U) * _MUL[0] + at.view(_U))
-        g, u = np.where(kind == 2, alone, g), np.where(kind == 2, alone, u)
-        cols = [g.view(np.int64), u.view(np.int64), dkey, at, kind]
+        g, u = np.where(spread, alone, g), np.where(spread, alone, u)
+        cols = [g.view(np.int64), u.view(np.int64), dkey, at, np.where(spread, 2, 0)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _window_rows(batches, length: int):
-    """Of each listed anchor the names of its windows, by anchor name and part."""
-    schema = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("dkey", pa.int64()), ("lo", pa.int64()), ("names", pa.binary()), ("offs", pa.binary())])
+def _window_bytes(batches, length: int):
+    """(dkey, lo, o1, o2, ctx) of each wanted anchor: ctx are the bytes of its windows, the first of which starts at lo and o2
+    bytes before the anchor, the last one o1 bytes before it."""
+    schema = pa.schema([("dkey", pa.int64()), ("lo", pa.int64()), ("o1", pa.int32()), ("o2", pa.int32()), ("ctx", pa.binary())])
     for b in batches:
-        raw, off = text_bytes(b.column(0))
         rows: list[tuple] = []
-        for i, j in chunks(off):
-            _, full = names(raw[off[i] : off[j]], length)
-            for k in range(i, j):
-                base, dkey = off[k] - off[i], b.column(1)[k].as_py()
-                for w in b.column(2)[k].as_py():
-                    lo, more = w["at"] >> 8, w["at"] & 255
-                    h = full[base + lo : base + lo + more + 1]
-                    if w["parts"] == 1:
-                        rows.append((w["g"], 0, dkey, lo, h.tobytes(), np.arange(len(h), dtype=np.uint8).tobytes()))
-                    else:
-                        part = (mix(h) % _U(w["parts"])).astype(np.int32)
-                        for p in np.unique(part).tolist():
-                            o = np.flatnonzero(part == p)
-                            rows.append((w["g"], p, dkey, lo, h[o].tobytes(), o.astype(np.uint8).tobytes()))
+        for text, dkey, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            raw = text.encode()
+            for at in want:
+                lo, more, to = at >> 16, at >> 8 & 255, at & 255
+                rows.append((dkey, lo, to - more, to, raw[lo : lo + more + length]))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
-def _repeated(g: np.ndarray, part: np.ndarray, dkey: np.ndarray, lo: np.ndarray, blobs: list[bytes], offs: list[bytes], length: int):
-    """(dkey, start, end) of the stretches of text that windows found twice cover.  A row that is repeated counts once; the
-    parts of a group that come together are rows of their own."""
-    _, one = np.unique(np.stack([g, part.astype(np.int64), dkey, lo]), axis=1, return_index=True)
-    one = np.sort(one)
-    size = np.array([len(offs[i]) for i in one.tolist()])
-    h = np.frombuffer(b"".join([blobs[i] for i in one.tolist()]), _U)
-    o = np.frombuffer(b"".join([offs[i] for i in one.tolist()]), np.uint8).astype(np.int64)
-    _, inv, n = np.unique(h, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero(n[inv] > 1)
-    row = np.repeat(np.arange(len(one)), size)[hit]
-    pos = lo[one][row] + o[hit]
-    if not len(hit):
-        return dkey[:0], pos, pos
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)))
-    last = np.append(first[1:], len(hit)) - 1
-    return dkey[one][row[first]], pos[first], pos[last] + length
-
-
-def _window_groups(batches, length: int, hold: int = 16 << 20):
-    """Rows come sorted by (g, part); whole groups are compared as soon as hold bytes of names have come."""
-    schema = pa.schema([("dkey", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-
-    def found(t: pa.Table):
-        cols = _repeated(*(t.column(c).to_numpy() for c in ("g", "part", "dkey", "lo")), t.column("names").to_pylist(), t.column("offs").to_pylist(), length)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
-
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
-        size += b.nbytes
-        if size > hold:
-            t = pa.Table.from_batches(held)
-            g, p = t.column("g").to_numpy(), t.column("part").to_numpy()
-            end = int(np.flatnonzero((g != g[-1]) | (p != p[-1]))[-1]) + 1 if ((g != g[-1]) | (p != p[-1])).any() else 0
-            if end:
-                yield found(t.slice(0, end))
-            held = t.slice(end).combine_chunks().to_batches()
-            size = sum(x.nbytes for x in held) if end else 0
-    if held:
-        yield found(pa.Table.from_batches(held))
+def parts(open_: DataFrame, width: int, length: int) -> DataFrame:
+    """The rows of open_ (dkey, lo, o1, o2, ctx) cut into parts of at most width windows, with kx, the name of the bytes that
+    all windows of a part share, and (fx, fh), the name of all its bytes."""
+    x = open_.withColumn("j", F.explode(F.sequence(F.floor(F.col("o1") / width).cast("int"), F.floor(F.col("o2") / width).cast("int"))))
+    x = x.withColumn("c1", F.greatest(F.col("o1"), F.col("j") * width)).withColumn("c2", F.least(F.col("o2"), F.col("j") * width + width - 1))
+    core = F.substring("ctx", F.col("o2") - F.col("j") * width + 1, F.lit(length - width + 1))
+    own = F.substring("ctx", F.col("o2") - F.col("c2") + 1, F.col("c2") - F.col("c1") + length)
+    x = x.select("dkey", (F.col("lo") + F.col("o2") - F.col("c2")).alias("lo"), F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.xxhash64(core, "j").alias("kx"), own.alias("ctx"))
+    return x.withColumn("fx", F.xxhash64("ctx", "o1", "o2")).withColumn("fh", F.hash("kx", "ctx")).withColumn("place", F.xxhash64("dkey", "lo"))
+
+
+def doubling(open_: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(dkey, s, e): the stretches of open_ whose windows of `length` bytes start at two places of it or more, by rounds of
+    ranking at growing lengths."""
+    spans = None
+    for k, width in enumerate(WIDTHS):
+        x = cut(parts(open_, width, length))
+        kind = cut(x.groupBy("kx", "fx", "fh").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).withColumn("dup", F.col("p0") != F.col("p1")))
+        twice = kind.where("dup").select("kx", "fx", "fh", "p0")
+        hit = maybe_in(x.select("dkey", "lo", "o1", "o2", "kx", "fx", "fh"), "fx", filter_of(twice, "fx")).join(twice, ["kx", "fx", "fh"])
+        hit = hit.select("dkey", F.col("lo").alias("s"), (F.col("lo") + F.col("o2") - F.col("o1") + length).alias("e"))
+        spans = hit if spans is None else spans.union(hit)
+        if width == 1:
+            return spans
+        # names of several kinds, of which some isn't known to be repeated; a few others that pass the filter do no harm
+        going = kind.groupBy("kx").agg(F.min("fx").alias("a"), F.max("fx").alias("b"), F.min(F.col("dup").cast("int")).alias("all_dup")).where("a <> b and all_dup = 0")
+        x = maybe_in(x, "kx", filter_of(going, "kx")).join(twice, ["kx", "fx", "fh"], "left")
+        open_ = x.where("p0 is null or place = p0").select("dkey", "lo", "o1", "o2", "ctx")
+    return spans
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:
@@ -185,27 +190,32 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     if not GRAM < length < 256:
         raise ValueError("a repeated string has 65 to 255 bytes")
     prepare(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
     src = keyed(docs)
     meta = src.select("did", "dkey", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    counts = meta.groupBy("dkey").agg(F.count("*").alias("copies"), F.min("did").alias("own"))
-    meta = cut(meta.join(counts, "dkey"))
-    rows = src.where(F.octet_length("text") >= length).select("text", "dkey").mapInArrow(lambda it: _anchor_rows(it, length), "g long, u long, dkey long, at long, kind int")
-    wu, wg = Window.partitionBy("g", "u"), Window.partitionBy("g")
-    x = rows.repartition("g").withColumns({"d0": F.min("dkey").over(wu), "d1": F.max("dkey").over(wu), "a0": F.min("at").over(wu), "a1": F.max("at").over(wu), "k1": F.max("kind").over(wu)})
-    x = x.withColumn("dup", (F.col("d0") != F.col("d1")) | (F.col("a0") != F.col("a1")) | (F.col("k1") > 0))
-    x = x.withColumns({"classes": F.min("u").over(wg) != F.max("u").over(wg), "all_dup": F.min(F.col("dup").cast("int")).over(wg)})
-    x = x.withColumn("open", F.col("classes") & (F.col("all_dup") == 0) & (~F.col("dup") | (F.col("dkey") == F.col("d0"))))
-    x = x.withColumn("many", F.sum(F.col("open").cast("long")).over(wg))
-    kept = cut(x.where("dup or open").select("g", "dkey", "at", "dup", "open", F.when(F.col("open"), F.greatest(F.lit(1), F.ceil(F.col("many") / GROUP_ROWS))).cast("int").alias("parts")))
-    known = kept.where("dup").select("dkey", F.shiftright("at", 8).alias("s"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + length).alias("e"))
-    todo = kept.where("open").distinct().groupBy("dkey").agg(F.collect_list(F.struct("g", "at", "parts")).alias("want"))
+    counts = meta.groupBy("sha").agg(F.count("*").alias("copies"), F.min("did").alias("own"))
+    meta = cut(meta.join(counts, "sha"))
+    one = only_owners(src.where(F.octet_length("text") >= length), meta.where("copies > 1 and did <> own"))
+    texts = one.select("text", "dkey")
+    # 64 bytes
+    grams = texts.mapInArrow(lambda it: _gram_rows(it, length), "g long, place long")
+    shared = grams.groupBy("g").agg(F.min("place").alias("p0"), F.max("place").alias("p1")).where("p0 <> p1")
+    held = sc.broadcast(bits_of(shared, "g"))
+    # all bytes of all windows
+    rows = texts.mapInArrow(lambda it: _anchor_rows(it, length, held.value), "g long, u long, dkey long, at long, kind int")
+    wu = Window.partitionBy("g", "u")
+    x = rows.withColumns({"d0": F.min("dkey").over(wu), "d1": F.max("dkey").over(wu), "a0": F.min("at").over(wu), "a1": F.max("at").over(wu), "k1": F.max("kind").over(wu)})
+    x = cut(x.select("g", "dkey", "at", ((F.col("d0") != F.col("d1")) | (F.col("a0") != F.col("a1")) | (F.col("k1") > 0)).alias("dup"), ((F.col("dkey") == F.col("d0")) & (F.col("k1") == 0)).alias("first")))
+    lo, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
+    known = x.where("dup").select("dkey", lo.alias("s"), (lo + more + length).alias("e"))
+    alone = x.where("not dup")
+    with_them = maybe_in(x.where("dup and first"), "g", filter_of(alone, "g"))
+    todo = alone.select("dkey", "at").union(with_them.select("dkey", "at")).distinct().groupBy("dkey").agg(F.collect_list("at").alias("want"))
     todo = todo.join(meta.where("did = own").select("dkey", "did").distinct(), "dkey").select("did", F.col("dkey").alias("own_key"), "want").checkpoint()
-    texts = maybe_in(src, "did", filter_of(todo, "did")).join(todo, "did").where("dkey = own_key").select("text", "dkey", "want")
-    wins = texts.mapInArrow(lambda it: _window_rows(it, length), "g long, part int, dkey long, lo long, names binary, offs binary")
-    wins = wins.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(lambda it: _window_groups(it, length), "dkey long, s long, e long")
-    spans = known.union(wins)
-    spans = spans.groupBy("dkey").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return meta, cut(spans)
+    wanted = maybe_in(one, "did", filter_of(todo, "did")).join(todo, "did").where("dkey = own_key").select("text", "dkey", "want")
+    open_ = wanted.mapInArrow(lambda it: _window_bytes(it, length), "dkey long, lo long, o1 int, o2 int, ctx binary")
+    spans = known.union(doubling(open_, length))
+    return meta, cut(spans.groupBy("dkey").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -124,20 +124,20 @@ def test_suffix(spark, sf, hard, which):
         assert (r.text or "") == kept
 
 
-def test_suffix_parts_of_a_group_in_one_task(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 4)
+@pytest.mark.parametrize("widths", [(35, 9, 3, 1), (1,), (100, 2, 1)])
+def test_suffix_common_edges(spark, monkeypatch, widths):
+    """A passage that many texts share, its edges open in each; texts in one partition and in several."""
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", widths)
     rng = random.Random(8)
     passage = words(rng, 45)
-    d = spark.createDataFrame([(i, words(rng, 40) + " " + passage + " " + words(rng, 40)) for i in range(30)], "doc_id long, text string")
-    flags = brute.removed(pairs(d))
-    assert all(sum(f) >= len(passage) for f in flags.values())
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removal(d).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert got == {i: (sum(f), len(re.findall(b"\1+", bytes(f)))) for i, f in flags.items()}
+    rows = [(i, words(rng, 40) + " " + passage + " " + words(rng, 40)) for i in range(30)]
+    rows += [(100 + i, words(rng, 9) + passage[k : k + 210 + 3 * i] + words(rng, 9)) for i, k in enumerate((0, 3, 7, 50, 51))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    flags = brute.removed(rows)
+    want = {i: (sum(f), len(re.findall(b"\1+", bytes(f)))) for i, f in flags.items()}
+    assert all(n >= 200 for n, _ in want.values())
+    for parts in ([1, 7] if len(widths) == 4 else [3]):
+        assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removal(d.repartition(parts)).collect()} == want
 
 
 @pytest.mark.parametrize("which", ["table", "hard"])
