@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.scalars import SEVERITIES, severity_rank
+from corvane.operators.session import checkpointing
 
 
 def over_threshold(files: DataFrame, measure: str, limit: int, code: str, category: str, severity: str = "warning", confidence: str = "high", at_least: bool = False) -> DataFrame:
@@ -52,7 +53,8 @@ def matching(findings: DataFrame, severity: str = "all", category: str = "all",
 
 def order_of(by: str) -> list[Column]:
     path, code = F.col("file_path"), F.col("code")
-    keys = {"severity": [severity_rank(F.col("severity"))], "code": [code], "path": [path]}[by]
+    rank = severity_rank(F.col("severity"))
+    keys = {"severity": [rank], "code": [code], "path": [path], "lifecycle": [rank, code]}[by]
     return [*keys, path, F.col("message")]
 
 
@@ -62,8 +64,10 @@ def ranked(findings: DataFrame, by: str = "severity") -> DataFrame:
 
 
 def number_rows(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """1, 2, ... in the order of keys: rows are dealt by range, numbered within each range, and shifted by the ranges before."""
-    x = df.orderBy(*keys).withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
+    """1, 2, ... in the order of keys: rows are dealt by range, numbered within each range, and shifted by the ranges before.
+    The sorted rows are kept by a checkpoint, as they are read twice and must be dealt alike."""
+    checkpointing(df.sparkSession)
+    x = df.orderBy(*keys).withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()).checkpoint()
     first = x.groupBy("part").agg(F.count("*").alias("n"), F.min("seq").alias("lo"))
     run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = first.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.functions.scalars import dirname, extname
-
-
-def _checkpointing(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+from corvane.operators.session import checkpointing
 
 
 def resolve(imports: DataFrame, nodes: DataFrame, dotted: bool = False) -> DataFrame:
@@ -46,7 +39,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def trimmed(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Edges between nodes that have both predecessors and successors, again and again: what may lie on a cycle."""
-    _checkpointing(edges.sparkSession)
+    checkpointing(edges.sparkSession)
     left = edges.distinct().checkpoint()
     n = left.count()
     for _ in range(rounds):

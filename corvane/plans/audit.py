@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, tree
+from corvane.operators.session import checkpointing
 from corvane.plans import views
 from corvane.sources import config as C, facts as FACTS, workspace as W
 
@@ -47,7 +48,7 @@ def finding(df: DataFrame, severity: str, category: str, confidence: str, code:
     none = F.lit(None)
     return df.select(
         F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(code).alias("code"), message.alias("message"), (F.col(path) if isinstance(path, str) else path).alias("file_path"), F.col("file_path").alias("source_path"),
-        (F.col("line") if line else none).cast("int").alias("line"), (F.col("col") if line else none).cast("int").alias("column"), (measure if measure is not None else none).cast("long").alias("measure"), (limit if limit is not None else none).cast("long").alias("limit"), (detail if detail is not None else none).cast("string").alias("detail"),
+        (F.col("line") if line else none).cast("int").alias("line"), (F.col("col") if line else none).cast("int").alias("column"), (measure if measure is not None else none).cast("long").alias("measure"), (limit if limit is not None else none).cast("long").alias("limit"), (detail if detail is not None else none).cast("string").alias("detail"), (F.col("cls") if line else none).cast("string").alias("cls"),
     )
 
 
@@ -145,11 +146,17 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def audit(spark: SparkSession, root: str, config: C.Config | None = None) -> Audit:
-    """The tables of a workspace.  Facts are kept (one parse); everything else is a plan over them."""
-    graph._checkpointing(spark)
+    """The tables of a workspace folder."""
+    checkpointing(spark)
     cfg = config if config is not None else C.read(os.path.join(root, "corvane.config.json"))
     projects = spark.createDataFrame(W.projects(root), "project string, root string, source_root string")
-    files = W.files(spark, root).checkpoint()
+    return tables(cfg, projects, W.files(spark, root).checkpoint())
+
+
+def tables(cfg: C.Config, projects: DataFrame, files: DataFrame) -> Audit:
+    """The tables of projects (project, root, source_root) and files (file_path, text).  Facts are kept (one parse);
+    everything else is a plan over them."""
+    checkpointing(files.sparkSession)
     roots = projects.where("coalesce(source_root, '') <> ''").withColumn("source_root", F.regexp_replace(X.clean_path(F.col("source_root")), "/+$", ""))
     kept = files.where(~C.excluded(F.col("file_path"), cfg.exclude))
     owned = tree.under(kept.select("file_path"), roots).select("file_path", "project", "source_root")
@@ -185,6 +192,14 @@ def audit(spark: SparkSession, root: str, config: C.Config | None = None) -> Aud
     return Audit(cfg, projects, files, facts, artifacts, routes, edges, nodes, cycles, found, complexity, classes, methods, groups, occ, scores, refs)
 
 
+def summary(a: Audit) -> DataFrame:
+    """One row: projects, and components, services and routes over all projects."""
+    n = a.projects.agg(F.count("*").cast("long").alias("projects"))
+    of = lambda kind, name: F.count_if(F.col("artifact") == kind).cast("long").alias(name)
+    art = a.artifacts.agg(of("component", "components"), of("injectable", "services"))
+    return n.join(F.broadcast(art)).join(F.broadcast(a.routes.agg(F.count("*").cast("long").alias("routes"))))  # three rows of one line each
+
+
 def brief_tables(a: Audit) -> dict[str, DataFrame]:
     """health, tasks and areas of an audit."""
     cyc = brief.cycle_tasks(a.cycles)
@@ -199,7 +214,7 @@ def brief_tables(a: Audit) -> dict[str, DataFrame]:
 def report(a: Audit, generated_at: str) -> dict:
     """The nested report document (driver-side: a report is small by nature)."""
     rows = lambda df: [r.asDict(True) for r in df.collect()]
-    found = sorted(rows(a.findings.drop("source_path")), key=lambda r: (r["file_path"], r["code"], r["line"] or 0))
+    found = sorted(rows(a.findings.drop("source_path", "cls")), key=lambda r: (r["file_path"], r["code"], r["line"] or 0))
     return {
         "schemaVersion": 7, "generatedAt": generated_at, "projects": rows(a.projects), "artifacts": rows(a.artifacts), "routes": rows(a.routes), "importGraph": {"nodes": sorted(r["file_path"] for r in rows(a.nodes)), "edges": rows(a.edges)}, "cycles": rows(a.cycles),
         "findings": [{k: v for k, v in r.items() if v is not None} for r in found], "complexity": rows(a.complexity), "classes": rows(a.classes), "methods": rows(a.methods), "methodReferences": rows(a.references.drop("class_name", "name")), "duplicateGroups": rows(a.groups.drop("sort_key")), "hotspots": rows(hotspots.top(a.hotspots, None)),

@@ -33,11 +33,12 @@ def sign(column: str) -> Column:
 
 
 def signal_matrix(found: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Each lifecycle finding with yes, no or unknown for every sign; whether its file has ngOnDestroy comes from facts."""
+    """Each lifecycle finding with yes, no or unknown for every sign; whether its class (by file and class) has ngOnDestroy comes from
+    facts, which needs the findings' cls."""
     x = found.where((F.col("category") == "lifecycle") | F.col("code").startswith("lifecycle-"))
     if facts is not None:
-        has = facts.where("kind = 'on_destroy'").select("file_path").distinct().withColumn("destroys", F.lit("yes"))
-        x = x.join(has, "file_path", "left").withColumn("on_destroy", F.coalesce("destroys", F.lit("no"))).drop("destroys")
+        has = facts.where("kind = 'on_destroy'").select("file_path", "cls").distinct().withColumn("destroys", F.lit("yes"))
+        x = x.join(has, ["file_path", "cls"], "left").withColumn("on_destroy", F.when(F.col("cls").isNull(), "unknown").otherwise(F.coalesce("destroys", F.lit("no")))).drop("destroys")
     else:
         x = x.withColumn("on_destroy", F.lit("unknown"))
     return x.withColumns({c: sign(c) for c in COLUMNS})
@@ -78,6 +79,15 @@ def file_details(classes: DataFrame, methods: DataFrame, scores: DataFrame, refe
     return out.join(scores.select("file_path", "score"), "file_path", "left").fillna(0)
 
 
+def method_details(methods: DataFrame, references: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Each method with the number of its references and of the duplicate groups its body is in."""
+    used = references.groupBy(F.col("method_id").alias("id")).agg(F.count("*").cast("long").alias("references"))
+    name = F.concat_ws(".", "class_name", "name")
+    blocks = occurrences.groupBy("file_path", F.col("method").alias("full")).agg(F.count_distinct("kind", "hash").cast("long").alias("groups"))
+    x = methods.withColumn("full", name).join(used, "id", "left").join(blocks, ["file_path", "full"], "left").drop("full")
+    return x.fillna(0, ["references", "groups"])
+
+
 def nested_folders(rows: list, root: str = "") -> dict:
     """Folder rows (folder, parent, files) as nested objects, on the driver: a tree has no fixed schema."""
     kids: dict = {}
