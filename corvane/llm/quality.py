@@ -4,14 +4,16 @@ Base measures come from array functions within a row; nothing is exploded or shu
 under 20 words, or with over 30 % of its words in 8-word windows that the text has twice.
 
 Each of METRICS is a measure whose great values speak against a text.  For every stratum (language) and metric a cutoff is
-chosen on all labelled good documents (levels are fixed values, so nothing else is fitted): from the most lenient level on, a level is accepted while the exact
-binomial (Clopper-Pearson) upper bound of its false rejections is at most ALPHA / metrics, at confidence
-1 - DELTA / (strata * metrics); the first level that fails ends the sequence, so levels need no further correction.  Over all
-metrics no more than ALPHA of the good documents of any stratum are rejected, with probability 1 - DELTA for all strata at
-once.  A stratum with too few labels has no cutoff and keeps what the base rules keep.
-
-Null and empty texts have no words and fail.  A null language is a stratum of its own.  Where there are more than MAX_STRATA,
-those of most documents (ties by name) stay and the rest share one, which is counted and judged like any other.  Null labels or doc_ids take no part in fitting.  Repeated rows give repeated rows; an empty table gives an empty one.
+chosen on all labelled good documents (levels are fixed values, so nothing else is fitted): from the most lenient level on, a
+level is accepted while the exact binomial (Clopper-Pearson) upper bound of its false rejections is at most ALPHA / metrics, at
+confidence 1 - DELTA / (strata * metrics); the first level that fails ends the sequence, so levels need no further correction.
+Over all metrics no more than ALPHA of the good documents of any stratum are rejected, with probability 1 - DELTA for all strata
+at once.  Strata with fewer labelled good documents than a level without a single false rejection takes (`least_labels`) are
+pooled into one, REST, which is counted and judged like any other; if REST is too small itself, it has no cutoff and keeps
+what the base rules keep.  Where there are more than MAX_STRATA, those of most documents (ties by name) can stand alone.
+
+Null and empty texts have no words and fail.  A null language is a stratum of its own.  Null labels or doc_ids take no part in
+fitting.  Repeated rows give repeated rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .sparkutil import cut, prepare
 
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA = 0.05, 0.05
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "long_word")
 #: Levels of every metric, from lenient to strict (shares; long_word: characters a word).
 LEVELS = {
@@ -103,7 +105,7 @@ def cutoffs(counts: dict[str, tuple[int, dict[tuple[str, float], int]]], alpha:
 
 
 def pooled(measures: DataFrame) -> DataFrame:
-    """The measured documents with at most MAX_STRATA strata: the smallest ones share REST."""
+    """The measured documents with at most MAX_STRATA strata: the smallest ones are REST."""
     sizes = measures.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA + 1).collect()
     if len(sizes) <= MAX_STRATA:
         return measures
@@ -111,14 +113,28 @@ def pooled(measures: DataFrame) -> DataFrame:
     return measures.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(REST))
 
 
+def least_labels(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """The good documents that a stratum needs for a cutoff that rejects none of them."""
+    share = delta / (max(1, strata) * len(METRICS))
+    return math.ceil(math.log(share) / math.log1p(-alpha / len(METRICS)))
+
+
 def calibrate(measures: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
-    """The cutoffs for measured documents of at most MAX_STRATA strata, from counts over all labelled good documents."""
+    """The cutoffs for measured documents of at most MAX_STRATA strata, from counts over all labelled good documents.  A stratum
+    that stands alone has an entry, be it empty; all others go by REST's."""
     lab = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("quality")).where("lid is not null and quality is not null")
     lab = lab.groupBy("lid").agg(F.min("quality").alias("quality")).where("quality = 1").select("lid")
     x = measures.where("not base_failed").join(lab, F.col("lid") == measures["doc_id"], "left_semi")
-    tests = [F.count_if(F.col(m) > level).alias(f"{m}|{k}") for m in METRICS for k, level in enumerate(LEVELS[m])]
-    rows = x.groupBy("stratum").agg(F.count("*").alias("n"), *tests).collect()
-    return cutoffs({r["stratum"]: (r["n"], {(m, level): r[f"{m}|{k}"] for m in METRICS for k, level in enumerate(LEVELS[m])}) for r in rows})
+    levels = [(m, level) for m in METRICS for level in LEVELS[m]]
+    rows = x.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(m) > level).alias(f"{m}|{level}") for m, level in levels]).collect()
+    least = least_labels(len(rows))
+    counts: dict[str, tuple[int, dict[tuple[str, float], int]]] = {}
+    for r in rows:
+        name = r["stratum"] if r["n"] >= least else REST
+        n, above = counts.get(name, (0, {}))
+        counts[name] = (n + r["n"], {k: above.get(k, 0) + r[f"{k[0]}|{k[1]}"] for k in levels})
+    found = cutoffs(counts)
+    return {name: found.get(name, {}) for name in counts} | {REST: found.get(REST, {})}
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -126,7 +142,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     x = pooled(cut(measured(docs)))  # narrow, measured once
     cuts = calibrate(x, labels)
-    reasons = [F.when((F.col("stratum") == s) & (F.col(m) > level), F.lit(m)) for s, by in cuts.items() for m, level in by.items()]
+    own = [s for s in cuts if s != REST]
+    here = lambda s: F.col("stratum") == s if s != REST else ~F.col("stratum").isin(own) if own else F.lit(True)
+    reasons = [F.when(here(s) & (F.col(m) > level), F.lit(m)) for s, by in cuts.items() for m, level in by.items()]
     why = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
     x = x.withColumn("reasons", why).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("reasons", ",").alias("reasons"))

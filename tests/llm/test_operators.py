@@ -246,7 +246,7 @@ def test_quality_bound():
     assert 0.05 < quality.upper_bound(5, 100, 0.05) < 0.12
     flat = {(m, lv): 0 for m in quality.METRICS for lv in quality.LEVELS[m]}
     assert quality.cutoffs({"few": (50, flat)}) == {}
-    cuts = quality.cutoffs({"many": (100_000, flat | {("symbol_rate", 0.1): 500})})
+    cuts = quality.cutoffs({"many": (100_000, flat | {("symbol_rate", 0.1): 2_000})})
     assert cuts["many"]["symbol_rate"] == 0.2 and cuts["many"]["long_word"] == 10.0
 
 
@@ -268,6 +268,34 @@ def test_quality_strata_beyond_the_bound_and_all_labels(spark, monkeypatch):
     assert set(quality.calibrate(quality.pooled(quality.measured(d)), lab)) == {"=y", "=z", quality.REST}
 
 
+def test_quality_many_strata_share_a_cutoff(spark):
+    """250 strata, each too small for a cutoff, are judged together; bad documents go, the bound holds on labels held out."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(5000):
+        marks = 12 if i % 10 == 9 else 0 if rng.random() > 0.004 else 12
+        rows.append((i, " ".join(f"w{k}" + "#" * (k < marks) for k in range(30)), f"x{i % 250}"))
+        if i < 3000 and i % 10 < 9:
+            labels.append((i, 1))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judged(d, lab).collect()}
+    assert quality.calibrate(quality.pooled(quality.measured(d)), lab)[quality.REST]["symbol_rate"] < 0.4
+    bad = [got[i] for i in range(5000) if i % 10 == 9]
+    assert not any(r.kept or r.base_failed for r in bad) and {r.reasons for r in bad} == {"symbol_rate"}
+    fresh = [got[i].kept for i in range(3000, 5000) if i % 10 < 9]
+    assert fresh.count(False) <= quality.ALPHA * len(fresh)
+
+
+def test_quality_pools_small_strata(spark):
+    good = " ".join(f"w{k}" for k in range(30))
+    rows = [(i, good, "a" if i < 900 else f"s{i % 40}") for i in range(1500)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(1500)], "doc_id long, quality int")
+    cuts = quality.calibrate(quality.pooled(quality.measured(d)), lab)
+    assert set(cuts) == {"=a", quality.REST} and all(len(c) == len(quality.METRICS) for c in cuts.values())
+    n = quality.least_labels(41)
+    assert quality.upper_bound(0, n, quality.DELTA / 41 / 4) <= quality.ALPHA / 4 < quality.upper_bound(0, n - 1, quality.DELTA / 41 / 4)
+
+
 def test_quality_verdicts(spark, sf):
     d, lab = docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.judged(d, lab).collect()
