@@ -33,7 +33,7 @@ from .textnum import chunks, set_key, shingle_sets, text_bytes
 #: Shingles of one range of names that a task should count, and of one group that a task should verify.
 RANGE_SHINGLES = 1_000_000
 GROUP_SHINGLES = 1_000_000
-#: Shingles a block gathers before it is sent.
+#: Shingles a block gathers before it is sent, and bits of a name.
 BLOCK_SHINGLES = 750_000
 NAME_BITS = 48
 _U = np.uint64
@@ -64,14 +64,14 @@ def _unpack_names(raw: bytes) -> np.ndarray:
     return out
 
 
-def _blocks(batches, width: int, ranges: int):
+def _blocks(batches, width: int, ranges: int, most: int, bits: int):
     """Per batch of texts: a row for each document (rng spread by doc), then the block's parts by range of names."""
     # numbers that a task which runs again gives again
     blocks = itertools.count(TaskContext.get().partitionId() << 24)
-    schema = pa.schema([("rng", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("names", pa.binary()), ("at", pa.binary())])
-    bounds = (np.arange(1, ranges, dtype=np.uint64) * _U((1 << NAME_BITS) // ranges))
+    schema = pa.schema([("rng", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("names", pa.binary()), ("at", pa.binary()), ("tkey", pa.int64())])
+    bounds = (np.arange(1, ranges, dtype=np.uint64) * _U((1 << bits) // ranges))
 
-    def flush(sets, keys):
+    def flush(sets, keys, full):
         if not sets:
             return None
         block = next(blocks)
@@ -83,18 +83,19 @@ def _blocks(batches, width: int, ranges: int):
         parts = [(r, a, b) for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         cols = [[r for r, _, _ in parts], [block] * len(parts), [None] * len(parts), [None] * len(parts), [None] * len(parts)]
         cols += [[_pack_names(names[a:b]) for _, a, b in parts], [_pack(at[a:b], "<u2") for _, a, b in parts]]
-        head = [[keys[0] % ranges], [block], [None], [None], [None], [_pack(np.array(keys), "<i8")], [_pack(np.array([len(s) for s in sets]), "<u4")]]
-        return [h + c for h, c in zip([[-1], *head[1:]], cols)]
+        sizes = np.array([full, [len(s) for s in sets]])
+        head = [[-1], [block], [None], [None], [None], [_pack(np.array(keys), "<i8")], [_pack(sizes, "<u4")]]
+        return [[*h, *c, *([None] * (len(cols[0]) + 1 - len(h) - len(c)))] for h, c in zip([*head, [None]], [*cols, []])]
 
     sets: list[np.ndarray] = []
     keys: list[int] = []
+    full: list[int] = []  # sizes of the sets; two shingles of one may have the same 48-bit name
     seen: set[int] = set()
     held, sent = 0, TaskContext.get().partitionId() * 7919
     for b in batches:
         raw, off = text_bytes(b.column(1))
         ids = b.column(0).to_pylist()
         docs: list[tuple] = []
-        nul = b.column(2)
         for i, j in chunks(off):
             for doc, s in zip(ids[i:j], shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)):
                 key = set_key(s)
@@ -102,15 +103,16 @@ def _blocks(batches, width: int, ranges: int):
                 if len(s) and key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sets.append(np.unique(s >> _U(64 - NAME_BITS)))
+                    sets.append(np.unique(s >> _U(64 - bits)))
+                    full.append(len(s))
                     held += len(s)
-        cols = [[(sent + i) % ranges for i in range(len(docs))], nul, [d for d, _, _ in docs], [n for _, n, _ in docs], [k for _, _, k in docs], [None] * len(docs), [None] * len(docs)]
+        cols = [[(sent + i) % ranges for i in range(len(docs))], b.column(2), [d for d, _, _ in docs], [n for _, n, _ in docs], [k for _, _, k in docs], [None] * len(docs), [None] * len(docs), b.column(3)]
         sent += len(docs)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-        if held >= BLOCK_SHINGLES or len(sets) > (1 << 15):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(flush(sets, keys), schema)], schema=schema)
-            sets, keys, seen, held = [], [], set(), 0
-    if (last := flush(sets, keys)) is not None:
+        if held >= most or len(sets) > (1 << 15):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(flush(sets, keys, full), schema)], schema=schema)
+            sets, keys, full, seen, held = [], [], [], set(), 0
+    if (last := flush(sets, keys, full)) is not None:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(last, schema)], schema=schema)
 
 
@@ -144,17 +146,17 @@ def _prefixes(table: pa.Table, num: int, den: int) -> pa.Table:
     head, names, at, df = None, [], [], []
     for kind, nm, a, d in zip(*(table.column(c).to_pylist() for c in ("kind", "names", "at", "df"))):
         if kind == 0:
-            head = (np.frombuffer(nm, "<i8"), np.frombuffer(a, "<u4").astype(np.int64))
+            head = (np.frombuffer(nm, "<i8"), np.frombuffer(a, "<u4").astype(np.int64).reshape(2, -1))
         else:
             names.append(_unpack_names(nm))
             at.append(np.frombuffer(a, "<u2"))
             df.append(np.frombuffer(d, "<u2"))
     if not names:
         return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-    keys, n = head
+    keys, (n, n_names) = head
     names, at, df = np.concatenate(names), np.concatenate(at).astype(np.int64), np.concatenate(df)
     shared = np.bincount(at, minlength=len(n))
-    room = prefix_len(n, num, den) - (n - shared)  # places of the prefix left after the shingles that occur once
+    room = prefix_len(n, num, den) - (n_names - shared)  # places of the prefix left after the shingles that occur once
     keep = room[at] > 0
     names, at, df = names[keep], at[keep], df[keep]
     order = np.lexsort((names, df, at))
@@ -246,21 +248,22 @@ def _verify(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; sets link when den * |both| >= num * |either|."""
+def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, block: int = BLOCK_SHINGLES, bits: int = NAME_BITS) -> DataFrame:
+    """Of every row: doc_id (without one: its text's hash), nul (1: without an id), tkey (its text's hash), n (set size), and
+    comp, the same for rows whose sets links join (with den * |both| >= num * |either|)."""
     spark = prepare(docs.sparkSession)
     src = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     # rows without an id are told apart by their text
-    src = src.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").isNull().cast("long").alias("nul"))
+    src = src.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").isNull().cast("long").alias("nul"), F.xxhash64("text").alias("tkey"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-total // (7 * RANGE_SHINGLES)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = src.mapInArrow(lambda it: _blocks(it, width, ranges), "rng int, block long, doc_id long, n long, cls long, names binary, at binary")
-    meta_schema = "kind int, doc_id long, n long, cls long, block long, names binary, at binary, df binary"
+    sent = src.mapInArrow(lambda it: _blocks(it, width, ranges, block, bits), "rng int, block long, doc_id long, n long, cls long, names binary, at binary, tkey long")
+    meta_schema = "kind int, doc_id long, n long, cls long, block long, names binary, at binary, df binary, tkey long"
 
     def reduce(batches):
         """One partition: ranges of names, headers and document rows."""
         kinds: dict[int, list[pa.RecordBatch]] = {}
-        out = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("at", pa.binary()), ("df", pa.binary())])
+        out = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("at", pa.binary()), ("df", pa.binary()), ("tkey", pa.int64())])
 
         def give(kind, **cols):
             size = len(next(iter(cols.values())))
@@ -271,7 +274,7 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
             t = pa.Table.from_batches([b])
             docs_ = t.filter(pc.is_null(t.column("names")))
             if len(docs_):
-                yield give(2, doc_id=docs_.column("doc_id"), n=docs_.column("n"), cls=docs_.column("cls"), block=docs_.column("block"))
+                yield give(2, doc_id=docs_.column("doc_id"), n=docs_.column("n"), cls=docs_.column("cls"), block=docs_.column("block"), tkey=docs_.column("tkey"))
             t = t.filter(pc.is_valid(t.column("names")))
             heads = t.filter(pc.less(t.column("rng"), 0))
             if len(heads):
@@ -286,7 +289,7 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
 
     spread = F.when(F.col("rng") >= 0, F.col("rng").cast("long")).otherwise(F.col("block"))
     told = sent.repartition(ranges, spread).mapInArrow(reduce, meta_schema).checkpoint()
-    meta = told.where("kind = 2").select("doc_id", "n", "cls", F.col("block").alias("nul"))
+    meta = told.where("kind = 2").select("doc_id", "n", "cls", F.col("block").alias("nul"), "tkey")
     pre = told.where("kind < 2").select("kind", "block", "names", "at", "df").groupBy("block").applyInArrow(lambda t: _prefixes(t, num, den), "cls long, n long, name long")
     pre = pre.groupBy("name", "cls").agg(F.max("n").alias("n")).checkpoint()
     rep = pre.groupBy("name").agg(F.min("cls").alias("b"), F.max("cls").alias("top")).where("b <> top").select("name", "b")
@@ -312,21 +315,33 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4)
     whole = whole.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     whole = whole.select("cls", "grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "hashes")
     links = whole.groupBy("grp", "p", "q").applyInArrow(lambda t: _verify(t, num, den), "a long, b long").checkpoint()
-    comp = components(links)
-    named = meta.groupBy("cls").agg(F.min(F.when(F.col("nul") == 0, F.col("doc_id"))).alias("low"))
-    named = named.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    low = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "comp").select("cls", "component_id")
-    out = meta.join(named, "cls").withColumn("doc_id", F.when(F.col("nul") == 0, F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    comp = components(links).withColumnRenamed("node", "cls")
+    return meta.join(comp, "cls", "left").select("doc_id", "nul", "tkey", "n", F.coalesce("comp", "cls").alias("comp"))
+
+
+def link_components(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    x = linked(docs, **how).withColumn("own", F.when(F.col("nul") == 0, F.col("doc_id")))
+    # rows are combined by component before they meet; documents without shingles are no component's
+    low = x.where("n > 0").groupBy("comp").agg(F.min("own").alias("low"))
+    return x.join(low, "comp", "left").select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("own")).otherwise(F.col("low")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near duplicates: of each component the smallest doc_id stays, once if its row is repeated.
-    Documents without an id all stay."""
-    stay = link_components(docs, **how).where("component_id = doc_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(stay, stay["keep_id"] == docs["doc_id"], "left_semi")
+    """The documents without near duplicates: of each component one row stays, that of the smallest doc_id (of several rows with
+    this id the one of the smallest text hash; rows without an id come last).  Documents without shingles all stay; of a
+    repeated row one stays."""
+    x = linked(docs, **how).where("n > 0")
+    best = x.groupBy("comp").agg(F.min("nul").alias("nul")).join(x, ["comp", "nul"]).groupBy("comp", "nul").agg(F.min("doc_id").alias("doc_id")).join(x, ["comp", "nul", "doc_id"])
+    stay = best.groupBy("comp", "nul", "doc_id").agg(F.min("tkey").alias("tkey")).select(F.col("doc_id").alias("keep_id"), F.col("tkey").alias("keep_key"), F.col("nul").alias("keep_nul"))
     names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
-    nth = F.row_number().over(Window.partitionBy(names["doc_id"], F.xxhash64(names["text"])).orderBy(F.lit(0)))
-    one = kept.select(*[F.col(c).alias(n) for c, n in names.items()]).withColumn("nth", nth).where("nth = 1")
-    return one.select(*[F.col(n).alias(c) for c, n in names.items()]).unionByName(docs.where(docs["doc_id"].isNull()))
+    y = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    text, did = F.col(names["text"]).cast("string"), F.col(names["doc_id"]).cast("long")
+    y = y.withColumns({"row_key": F.xxhash64(text), "row_nul": did.isNull().cast("long")}).withColumn("row_id", F.coalesce(did, "row_key"))
+    bare = F.coalesce(F.translate(text, " \t\n\x0b\x0c\r", ""), F.lit("")) == ""
+    kept = y.join(stay, (F.col("row_id") == F.col("keep_id")) & (F.col("row_key") == F.col("keep_key")) & (F.col("row_nul") == F.col("keep_nul")))
+    # the rest of a repeated row is the same row, or one that differs in other columns: the smallest hash of all stays
+    order = [F.xxhash64(*names.values()), *[F.col(n).cast("string") for n in names.values()]]
+    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("row_id", "row_key", "row_nul").orderBy(*order))).where("nth = 1")
+    out = one.select(*names.values()).unionByName(y.where(bare).select(*names.values()))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -81,6 +81,24 @@ def test_near(spark, sf, hard, which):
     assert kept == sorted(i for i, (n, c) in want.items() if i == c)
 
 
+def test_near_in_small_pieces(spark, sf, monkeypatch):
+    """Blocks, ranges and groups cut small, 48-bit names cut to 20 bits so that shingles share names."""
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", 600)
+    monkeypatch.setattr(ngram_join, "RANGE_SHINGLES", 3_000)
+    d = docs(spark, sf)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(d, block=2_000, bits=20).collect()} == brute.near(pairs(d))
+
+
+def test_keep_one_goes_by_row(spark):
+    rng = random.Random(31)
+    a, b = words(rng, 80), words(rng, 80)
+    near = a.replace(a.split()[40], "other")
+    # id 9 has two texts: a near copy of document 4, and one of its own
+    d = spark.createDataFrame([(4, a, 1), (9, near, 1), (9, b, 1), (9, b, 2), (None, b, 1), (None, words(rng, 70), 1)], "doc_id long, text string, v int")
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()), key=str)
+    assert len(got) == 3 and got[:2] == [(4, a), (9, b)] and got[2][0] is None
+
+
 def test_verify_group_is_exact():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 80).astype(np.uint64)
@@ -429,9 +447,8 @@ def test_passages_keep_every_member_of_a_fuzzy_passage(spark):
     assert got == [set(range(8))]
 
 
-def test_passages_of_very_common_seeds(spark, monkeypatch):
+def test_passages_of_very_common_seeds(spark):
     """Two passages whose phrases stand in many other texts too, seeds beyond SMALL, pieces cut within a seed."""
-    monkeypatch.setattr(passages, "SMALL", 2)
     rng = random.Random(4)
     phrases = [words(rng, 12) for _ in range(8)]
     rows = []
@@ -441,10 +458,7 @@ def test_passages_of_very_common_seeds(spark, monkeypatch):
     hold = {k: " ".join(x for p in phrases[4 * k : 4 * k + 4] for x in (p, words(rng, 9))) for k in (0, 1)}
     rows += [(200 + i, words(rng, 40) + " " + " ".join(edited(rng, hold[i % 2].split(), 11)) + " " + words(rng, 30)) for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    rows = passages._joined_rows.__defaults__
-    monkeypatch.setattr(passages._joined_rows, "__defaults__", (40, True))
-    got = [c & set(range(200, 240)) for c in classes(passages.repeated(d).collect())]
-    monkeypatch.setattr(passages._joined_rows, "__defaults__", rows)
+    got = [c & set(range(200, 240)) for c in classes(passages.repeated(d, small=2, piece=40).collect())]
     assert {i for i in range(200, 240, 2)} in got and {i for i in range(201, 240, 2)} in got
 
 
@@ -574,7 +588,7 @@ def test_null_ids_and_clashing_columns(spark):
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.link_components(d).collect()), key=str)
     assert got == sorted([(None, 4), (4, 4), (9, 4), (9, 4), (5, 5), (None, None)], key=str)
     kept = ngram_join.keep_one(d)
-    assert kept.columns == d.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [4, 5, None, None]
+    assert kept.columns == d.columns and sorted(((r.doc_id, r.text is None) for r in kept.collect()), key=str) == [(4, False), (5, False), (None, True)]
     cut = suffix_dedup.strip(d)
     assert cut.columns == d.columns and cut.count() == len(rows) and all(r.score == 3 and r.own_key == "a" for r in cut.collect())
     assert mixing.mix(d, mixing.Target(repeat=1.5, budget=None)).columns == d.columns
