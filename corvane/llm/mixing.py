@@ -1,7 +1,7 @@
 """Operator 2 [native]: mixing sources to target weights by temperature, as budgeted block permutations.
 
 Token shares p of the sources become weights p^a / sum p^a.  The exponent a is found by bisection: the greatest mixture
-(smallest a in 0..1) whose entropy is at most the target and whose repetition of any source (its tokens wanted over its
+(smallest a in 0..1, 16 candidates at a time) whose entropy is at most the target and whose repetition of any source (its tokens wanted over its
 tokens) is at most the limit.  The weights times the budget are each source's tokens; a source is read in epochs, each a
 permutation of its documents in blocks: a 64-bit hash of (seed, epoch, document) orders them, its high bits number the block.
 Whole epochs take every document.  The last, partial epoch ends at the document that reaches the budget; the place is found
@@ -19,7 +19,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .sparkutil import prepare
 
@@ -48,35 +49,56 @@ def tokens(text: str = "text") -> Column:
     return F.greatest(F.lit(1), gaps).cast("long")
 
 
+def fitted(sums, n_min: float, n_max: float, total: float, target: Target) -> tuple[float, float, float]:
+    """(exponent, sum of (n / n_max)^exponent over the sources, budget in tokens).  sums(exponents) gives for each exponent a
+    that sum and the sum of (n / n_max)^a * log2(n / n_max); as a <= 1, the smallest source is repeated most and the greatest
+    one asks for the largest budget, so that nothing else of the sources is needed."""
+
+    def budget(a: float, norm: float) -> float:
+        return target.budget * total if target.budget is not None else n_max * norm
+
+    def held(a: float, norm: float, logs: float) -> bool:
+        entropy = math.log2(norm) - a * logs / norm
+        low = (n_min / n_max) ** a / norm * budget(a, norm)
+        return (target.entropy is None or entropy <= target.entropy + 1e-12) and low <= target.repeat * n_min * (1 + 1e-12)
+
+    lo, hi = 0.0, 1.0
+    if held(lo, *sums([lo])[0]):
+        hi = lo
+    else:
+        while hi - lo > 2.0**-52:  # 16 parts at a time
+            exps = [lo + (hi - lo) * k / 16 for k in range(1, 16)]
+            first = next((a for a, s in zip(exps, sums(exps)) if held(a, *s)), hi)
+            lo, hi = max([lo, *[a for a in exps if a < first]]), first
+            if lo >= hi:
+                break
+    norm = sums([hi])[0][0]
+    return hi, norm, budget(hi, norm)
+
+
 def weights(sizes: dict, target: Target) -> tuple[dict, float, float]:
     """(weight of each source, exponent, budget in tokens) for the sources' tokens."""
-    total = sum(sizes.values())
-    if not total:
+    if not sum(sizes.values()):
         return {}, 1.0, 0.0
+    n = np.array(list(sizes.values()), float)
+    a, norm, budget = fitted(local_sums(n), n.min(), n.max(), n.sum(), target)
+    return {s: (v / n.max()) ** a / norm for s, v in sizes.items()}, a, budget
 
-    def at(a: float) -> dict:
-        top = max(sizes.values())
-        raw = {s: (n / top) ** a for s, n in sizes.items()}
-        norm = sum(raw.values())
-        return {s: w / norm for s, w in raw.items()}
 
-    def budget(w: dict) -> float:
-        return target.budget * total if target.budget is not None else max(n / w[s] for s, n in sizes.items())
+def local_sums(n: np.ndarray):
+    r = n / n.max()
+    return lambda exps: [(float((r**a).sum()), float((r**a * np.log2(r)).sum())) for a in exps]
 
-    def held(a: float) -> bool:
-        w = at(a)
-        h = -sum(x * math.log2(x) for x in w.values() if x > 0)
-        return (target.entropy is None or h <= target.entropy + 1e-12) and all(w[s] * budget(w) <= target.repeat * n * (1 + 1e-12) for s, n in sizes.items())
 
-    lo, hi = 0.0, 1.0
-    if held(lo):
-        hi = lo
-    else:
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if held(mid) else (mid, hi)
-    w = at(hi)
-    return w, hi, budget(w)
+def table_sums(sizes: DataFrame, n_max: float):
+    """The same sums over a table of sources (src, n), whatever its length: one aggregate for all exponents."""
+    r = F.col("n") / F.lit(float(n_max))
+
+    def of(exps):
+        row = sizes.agg(*[f(F.pow(r, F.lit(float(a)))) for a in exps for f in (F.sum, lambda x: F.sum(x * F.log2(r)))]).first()
+        return list(zip(row[::2], row[1::2]))
+
+    return of
 
 
 def _source() -> Column:
@@ -97,22 +119,23 @@ def _sub(h: Column) -> Column:
 
 
 def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, dict]:
-    """(src, epochs, last, cut) for each source: epochs 0..epochs-1 in whole, epoch `last` up to place `cut`; and the figures."""
-    spark = docs.sparkSession
+    """(src, epochs, cut, weight) for each source: epochs 0..epochs-1 in whole, the next one up to place `cut`; and the figures.
+    Sources stay a table; the driver sees their number, their sums and, if they are PLAN_ROWS at most, their sizes."""
     base = _narrow(docs).checkpoint()
-    sums = base.groupBy("src").agg(F.sum("n_tokens").alias("n"))
-    sizes = {r.src: r.n for r in sums.collect()}  # one row per source
-    w, a, budget = weights(sizes, target)
-    want = {s: w[s] * budget for s in sizes}
-    whole = {s: int(want[s] // n + 1e-9) for s, n in sizes.items()}
-    left = {s: max(0, round(want[s] - whole[s] * n)) for s, n in sizes.items()}
-    rows = [(s, whole[s], left[s]) for s in sorted(sizes)]
-    goal = spark.createDataFrame(rows, "src string, epochs int, left long")
-    small = len(rows) <= PLAN_ROWS
+    sizes = base.groupBy("src").agg(F.sum("n_tokens").alias("n")).checkpoint()
+    all_ = sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    small = all_.k <= PLAN_ROWS
+    if not all_.k:
+        none = F.lit(0)
+        return sizes.select("src", none.alias("epochs"), none.cast("long").alias("cut"), none.cast("double").alias("weight")), {"exponent": 1.0, "budget": 0.0, "small": True}
+    sums = local_sums(np.array([r.n for r in sizes.select("n").orderBy("n").collect()], float)) if small else table_sums(sizes, all_.hi)
+    a, norm, budget = fitted(sums, all_.lo, all_.hi, all_.n, target)
+    weight = F.pow(F.col("n") / F.lit(float(all_.hi)), F.lit(a)) / F.lit(norm)
+    goal = sizes.withColumn("weight", weight).withColumn("want", F.col("weight") * F.lit(budget))
+    goal = goal.withColumn("epochs", F.floor(F.col("want") / F.col("n") + 1e-9).cast("int"))
+    goal = goal.withColumn("left", F.greatest(F.lit(0), F.round(F.col("want") - F.col("epochs") * F.col("n"))).cast("long")).checkpoint()
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    from pyspark.sql import Window
-
-    x = base.join(near(goal.where("left > 0")), "src").withColumn("h", order_key(target.seed, F.col("epochs"), F.col("key")))
+    x = base.join(near(goal.where("left > 0").select("src", "epochs", "left")), "src").withColumn("h", order_key(target.seed, F.col("epochs"), F.col("key")))
 
     def first_over(sums: DataFrame, part: str) -> DataFrame:
         run = Window.partitionBy("src").orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
@@ -125,9 +148,8 @@ def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, dict]:
     b = first_over(y.groupBy("src", "left", _sub(F.col("h")).alias("part")).agg(F.sum("n_tokens").alias("n")), "part")
     y = y.drop("left", "at").join(near(b), "src").where(_sub(F.col("h")) == F.col("at"))
     b = first_over(y.groupBy("src", "left", F.col("h").alias("part")).agg(F.sum("n_tokens").alias("n")), "part")
-    cuts = {r.src: r.at for r in b.select("src", "at").collect()}
-    out = [(s, whole[s], cuts.get(s, -1), w[s]) for s in sorted(sizes)]
-    return spark.createDataFrame(out, "src string, epochs int, cut long, weight double"), {"exponent": a, "budget": budget, "weights": w, "sizes": sizes, "small": small}
+    p = goal.join(b.select("src", F.col("at").alias("cut")), "src", "left").select("src", "epochs", F.coalesce("cut", F.lit(-1)).alias("cut"), "weight").checkpoint()
+    return p, {"exponent": a, "budget": budget, "small": small}
 
 
 def _narrow(docs: DataFrame) -> DataFrame:

@@ -338,6 +338,36 @@ def test_mixing(spark, sf):
     assert whole.columns == d.columns and whole.select("doc_id").distinct().count() == d.count()
 
 
+@pytest.mark.parametrize("target", [mixing.Target(repeat=2.0, budget=1.3), mixing.Target(repeat=1.5, budget=None), mixing.Target(entropy=1.0, repeat=9.0, budget=0.4)])
+@pytest.mark.parametrize("small", [True, False])
+def test_mixing_is_the_plain_one(spark, sf, monkeypatch, target, small):
+    """Against sorting every source as a whole; sources as a table give the same as sources on the driver."""
+    if not small:
+        monkeypatch.setattr(mixing, "PLAN_ROWS", 1)
+    d = docs(spark, sf)
+    rows = mixing._narrow(d)
+    for e in range(7):
+        rows = rows.withColumn(f"h{e}", mixing.order_key(target.seed, F.lit(e), F.col("key")))
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.src, []).append(r)
+    total = {s: sum(r.n_tokens for r in rs) for s, rs in by.items()}
+    w, _, budget = mixing.weights(total, target)
+    want = []
+    for s, rs in by.items():
+        epochs = int(w[s] * budget // total[s] + 1e-9)
+        want += [(r.doc_id, e) for e in range(epochs) for r in rs]
+        left = round(w[s] * budget - epochs * total[s])
+        for r in sorted(rs, key=lambda r: r[f"h{epochs}"]):
+            if left <= 0:
+                break
+            want.append((r.doc_id, epochs))
+            left -= r.n_tokens
+    got = mixing.mixture(d, target).select("doc_id", "epoch", "block", "place", "n_tokens").collect()
+    assert sorted((r.doc_id, r.epoch) for r in got) == sorted(want)
+    assert all(r.block == r.place >> 51 for r in got)
+
+
 def test_tokens(hard):
     for r in hard.select("text", mixing.tokens().alias("n")).collect():
         assert r.n == max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
@@ -357,11 +387,27 @@ def test_sharding(spark, hard):
     assert len(sharding.assign(hard, 100).collect()) == len(hard_texts())
 
 
-def test_hamming(spark):
+def test_sharding_writes_every_row_to_its_shard(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(None, words(rng, 20), i) for i in range(60)] + [(7, words(rng, 15), i) for i in range(20)] + [(8, "same text " * 8, i) for i in range(40)] + [(None, None, 1), (9, "", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumn("key", F.lit("k")).withColumn("part", F.lit(1)).repartition(3)
+    name = sharding.write(d, str(tmp_path / "out"), 2_000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "shard_" and sorted(map(repr, (tuple(r) for r in back.select("doc_id", "text", "shard", "key", "part").collect()))) == sorted(repr((*r, "k", 1)) for r in rows)
+    sizes = {r[name]: r.n for r in back.groupBy(name).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()}
+    assert len(sizes) > 3 and max(sizes.values()) <= 2_000
+    assert {r.shard for r in sharding.assign(d, 2_000).collect()} == {s[1:] for s in sizes}
+
+
+@pytest.mark.parametrize("probes", [1024, 0])
+def test_hamming(spark, monkeypatch, probes):
+    """By rounds alone, by rounds and then blocks, by blocks alone; copies, an outlier, nulls, short vectors."""
+    monkeypatch.setattr(hamming, "PROBES", probes)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 40))
     x[100:260] = x[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0]), (5000, None)]
+    x[400] = -x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0]), (5000, None), (300, x[300].tolist())]
     d = hamming.codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
     got = {}
     for r in hamming.top_k(d, d.where("id % 100 = 0"), 5).orderBy("query_id", "rank").collect():
@@ -369,6 +415,9 @@ def test_hamming(spark):
     bits = x > 0
     want = {q: sorted((int((bits[q] != bits[i]).sum()), i) for i in range(700) if i != q)[:5] for q in range(0, 700, 100)}
     assert got == want
+    if not probes:
+        few = d.where("id < 3")
+        assert hamming.top_k(few, few.where("id = 0"), 5).count() == 2
 
 
 def test_passages(hard):
