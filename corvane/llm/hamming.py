@@ -1,19 +1,25 @@
 """Operator 7: exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are the signs of embeddings.  A code is cut into 16-bit segments, each with a table from segment value to codes.  A
-query probes, in every segment, the values within radius 0, 1, 2, ... of its own; after radius r all codes at Hamming distance
-up to segments * (r + 1) - 1 have been seen, so the search ends when the k-th best verified distance is no more than that.
+Codes are the signs of embeddings, cut into segments of about log2(rows) bits.  Every code is a row for each of its segments,
+keyed by (segment, value).  In round r every open query probes, in each segment, the values at distance r of its own; a joined
+code counts where it is found for the first time (no segment before is within r, none after within r - 1).  After round r all
+codes at Hamming distance up to segments * (r + 1) - 1 have been seen, so a query ends when its k-th best verified distance is no
+more than that; only open queries go on, with their k best so far.  Rows, probes and candidates are joined by shuffle, and the
+best k are cut down before and after it.
 
-Data and queries go in blocks of fixed size; each pair of blocks is a task that returns k rows a query, and the best k of all
-blocks are the answer, ties by the smaller id.  Of equal codes only the k + 1 smallest ids can be in any answer, so groups of
-copies are reduced to these first (a partial top-k before the shuffle).
+Where a round would take over PROBES values a query (few rows in many dimensions, or a query far from everything), the queries
+still open are compared with all codes in blocks of fixed size, each with a multi-index of its own; the answer is the same.
+
+Of equal codes only the k + 1 smallest ids can be in any answer, so groups of copies are reduced to these first.
 
 Null ids or embeddings take no part.  A vector doesn't find itself (its id), but finds copies of itself.  Repeated ids count
-once.  Embeddings of fewer dimensions are filled with zeros (bit 0); null elements too.  With fewer than k others all come.
+once.  Embeddings of fewer dimensions are filled with zeros (bit 0); null elements too.  With fewer than k others all come.  Ties
+go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +30,8 @@ from .sparkutil import prepare
 
 SEGMENT = 16
 DATA_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 10
+#: Values that a query may probe in one round.
+PROBES = 1024
 
 
 def masks(r: int) -> np.ndarray:
@@ -82,13 +90,43 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, distance; data and queries hold (id, bits)."""
     prepare(data.sparkSession)
     size = data.agg(F.count("*").alias("n"), F.max(F.length("bits")).alias("m")).first()
-    n, width = size.n, max(1, -(-(size.m or 1) // SEGMENT)) * SEGMENT
-    nq = max(1, -(-queries.count() // QUERY_BLOCK))
-    nd = max(1, -(-n // DATA_BLOCK))
+    width = max(1, -(-(size.m or 1) // SEGMENT)) * SEGMENT
+    count = max(1, width // min(32, max(8, math.ceil(math.log2(max(2, size.n))))))
+    ends = [width * j // count for j in range(count + 1)]
     packed = lambda d: d.select("id", F.rpad("bits", width, "0").alias("bits"))
-    few = packed(data).withColumn("nth", F.row_number().over(Window.partitionBy("bits").orderBy("id"))).where(F.col("nth") <= k + 1).drop("nth")
+    few = packed(data).withColumn("nth", F.row_number().over(Window.partitionBy("bits").orderBy("id"))).where(F.col("nth") <= k + 1).drop("nth").checkpoint()
+    segs = F.array(*[F.conv(F.substring("bits", s + 1, e - s), 2, 10).cast("long") for s, e in zip(ends, ends[1:])])
+    rows = few.select("id", segs.alias("segs")).select("id", "segs", F.posexplode("segs").alias("seg", "val"))
+    open_ = packed(queries).select(F.col("id").alias("query_id"), segs.alias("own"), "bits").checkpoint()
+    best = open_.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0).alias("distance")).where("false")
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    top = lambda d: d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    r = 0
+    while open_.limit(1).count():
+        masks = [[sum(1 << b for b in c) for c in combinations(range(e - s), r)] if math.comb(e - s, r) <= PROBES else None for s, e in zip(ends, ends[1:])]
+        if None in masks or sum(map(len, masks)) > PROBES:
+            best = best.union(_scanned(few, open_.select(F.col("query_id").alias("id"), "bits"), k))
+            break
+        table = data.sparkSession.createDataFrame([(j, m) for j, ms in enumerate(masks) for m in ms], "seg int, mask long")
+        at = open_.select("query_id", "own", F.posexplode("own").alias("seg", "value")).join(F.broadcast(table), "seg")  # PROBES rows at most
+        at = at.select("query_id", "own", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("val"))
+        far = F.zip_with("own", "segs", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        hit = at.join(rows, ["seg", "val"]).where("query_id <> id").withColumn("far", far)
+        new = hit.where(~F.exists(F.transform("far", lambda d, j: F.when(j < F.col("seg"), d <= r).when(j > F.col("seg"), d < r).otherwise(F.lit(False))), lambda x: x))
+        new = new.select("query_id", F.col("id").alias("vec_id"), F.aggregate("far", F.lit(0), lambda s, d: s + d).alias("distance"))
+        best = top(best.union(top(new).drop("rank"))).drop("rank").checkpoint()
+        ended = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where((F.col("n") == k) & (F.col("kth") <= count * (r + 1) - 1))
+        open_ = open_.join(ended, "query_id", "left_anti").checkpoint()
+        r += 1
+    return top(best).select("query_id", "rank", "vec_id", "distance")
+
+
+def _scanned(few: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, distance of the k best of every query, by blocks of data and queries."""
+    nq = max(1, -(-queries.count() // QUERY_BLOCK))
+    nd = max(1, -(-few.count() // DATA_BLOCK))
     few = few.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(nd)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    ask = packed(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    ask = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -104,7 +142,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     near = few.groupBy("qb", "db").cogroup(ask.groupBy("qb", "db")).applyInArrow(block, "query_id long, vec_id long, distance int")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).drop("nth")
 
 
 def oracle_sql(k: int, dims: int = 64) -> str:
