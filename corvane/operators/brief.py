@@ -8,6 +8,19 @@ from corvane.functions.scalars import clamp, finding_ref, grade, level_rank, sta
 
 #: The order of areas.
 AREAS = ("lifecycle", "importCycles", "oversized", "duplicates", "testGaps", "hotspots")
+#: Titles of lifecycle tasks by code; the path follows in brackets.
+TITLES = {
+    "lifecycle-unmanaged-subscribe": "Add cleanup for long-lived subscription",
+    "lifecycle-fromEvent-subscribe-no-cleanup": "Add cleanup for fromEvent subscription",
+    "lifecycle-broken-destroy-subject": "Fix broken destroy$ cleanup pattern",
+    "lifecycle-subscription-field-not-unsubscribed": "Unsubscribe stored Subscription field",
+    "lifecycle-addEventListener-no-remove": "Remove event listener on destroy",
+    "lifecycle-setInterval-no-clearInterval": "Clear interval on destroy",
+    "lifecycle-requestAnimationFrame-no-cancelAnimationFrame": "Cancel requestAnimationFrame on destroy",
+    "lifecycle-effect-missing-onCleanup": "Add onCleanup() to effect() side-effect",
+    "lifecycle-toSignal-manualCleanup": "Review toSignal manualCleanup usage",
+}
+OTHER_TITLE = "Lifecycle cleanup risk"
 TASK = ["id", "area", "title", "affected_files", "impact", "effort", "refs"]
 
 
@@ -35,9 +48,11 @@ def cycle_tasks(cycles: DataFrame) -> DataFrame:
 
 
 def lifecycle_tasks(findings: DataFrame) -> DataFrame:
-    small = F.col("code").startswith("lifecycle-") & ~F.col("code").isin("lifecycle-unmanaged-subscribe")
+    small = F.col("code").isin(*[c for c in TITLES if c != "lifecycle-unmanaged-subscribe"])
+    titles = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+    title = F.concat(F.coalesce(titles[F.col("code")], F.lit(OTHER_TITLE)), F.lit(" ("), F.col("file_path"), F.lit(")"))
     x = findings.where((F.col("category") == "lifecycle") | F.col("code").startswith("lifecycle-"))
-    return x.select(stable_id("task-lifecycle", _ref()).alias("id"), F.lit("lifecycle").alias("area"), F.concat(F.lit("Clean up on destroy: "), "file_path").alias("title"), F.array("file_path").alias("affected_files"), F.when(F.col("severity").isin("error", "warning"), "high").otherwise("medium").alias("impact"), F.when(small, "small").otherwise("medium").alias("effort"), F.array(_ref()).alias("refs"))
+    return x.select(stable_id("task-lifecycle", _ref()).alias("id"), F.lit("lifecycle").alias("area"), title.alias("title"), F.array("file_path").alias("affected_files"), F.when(F.col("severity").isin("error", "warning"), "high").otherwise("medium").alias("impact"), F.when(small, "small").otherwise("medium").alias("effort"), F.array(_ref()).alias("refs"))
 
 
 def oversize_tasks(findings: DataFrame, kind: str, limit: int) -> DataFrame:

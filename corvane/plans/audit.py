@@ -211,13 +211,19 @@ def brief_tables(a: Audit) -> dict[str, DataFrame]:
     return {"health": brief.health(a.findings, a.cycles, a.groups, a.hotspots), "tasks": tasks, "areas": brief.areas(a.findings, a.cycles, tasks, a.groups, a.hotspots)}
 
 
-def report(a: Audit, generated_at: str) -> dict:
-    """The nested report document (driver-side: a report is small by nature)."""
-    rows = lambda df: [r.asDict(True) for r in df.collect()]
+def report(a: Audit, generated_at: str, root: str = ".") -> dict:
+    """The nested report document.  It is one JSON text by definition, so its rows go through the driver (`rows` streams them);
+    larger reports are the tables themselves."""
+    rows = lambda df: [r.asDict(True) for r in df.toLocalIterator()]
     found = sorted(rows(a.findings.drop("source_path", "cls")), key=lambda r: (r["file_path"], r["code"], r["line"] or 0))
+    folders = rows(tree.folder_counts(a.nodes))
     return {
-        "schemaVersion": 7, "generatedAt": generated_at, "projects": rows(a.projects), "artifacts": rows(a.artifacts), "routes": rows(a.routes), "importGraph": {"nodes": sorted(r["file_path"] for r in rows(a.nodes)), "edges": rows(a.edges)}, "cycles": rows(a.cycles),
-        "findings": [{k: v for k, v in r.items() if v is not None} for r in found], "complexity": rows(a.complexity), "classes": rows(a.classes), "methods": rows(a.methods), "methodReferences": rows(a.references.drop("class_name", "name")), "duplicateGroups": rows(a.groups.drop("sort_key")), "hotspots": rows(hotspots.top(a.hotspots, None)),
+        "schemaVersion": 7, "generatedAt": generated_at, "workspaceRoot": root, "angularJsonPath": f"{root.rstrip('/')}/{W.MANIFEST}",
+        "summary": rows(summary(a))[0], "projects": rows(a.projects), "artifacts": rows(a.artifacts), "routes": rows(a.routes),
+        "projectTree": views.nested_folders(folders) if folders else {"path": "", "files": 0, "folders": []}, "importGraph": {"nodes": sorted(r["file_path"] for r in rows(a.nodes)), "edges": rows(a.edges)}, "cycles": rows(a.cycles),
+        "analyzerCategories": sorted({r["category"] for r in found}), "findings": [{k: v for k, v in r.items() if v is not None} for r in found], "complexity": rows(a.complexity),
+        "symbols": {"classes": rows(a.classes), "methods": rows(a.methods), "methodReferences": rows(a.references.drop("class_name", "name")), "tree": rows(views.symbol_tree(a.classes, a.methods).select("id", "method_ids"))},
+        "duplicateGroups": rows(a.groups.drop("sort_key")), "hotspots": rows(hotspots.top(a.hotspots, None)),
     }
 
 
@@ -226,7 +232,7 @@ def write(a: Audit, root: str, generated_at: str) -> str:
     out = C.output_dir(root, a.config.output_dir)
     os.makedirs(out, exist_ok=True)
     b = {k: [r.asDict(True) for r in df.collect()] for k, df in brief_tables(a).items()}
-    for name, doc in (("report.json", report(a, generated_at)), ("brief.json", {"schemaVersion": 1, **b})):
+    for name, doc in (("report.json", report(a, generated_at, root)), ("brief.json", {"schemaVersion": 1, **b})):
         with open(os.path.join(out, name), "w", encoding="utf-8") as f:
             f.write(json.dumps(doc, indent=2, default=str) + "\n")
     with open(os.path.join(out, "brief.md"), "w", encoding="utf-8") as f:

@@ -43,7 +43,7 @@ paths AS (SELECT node_count, list_transform(nodes, lambda n: 'part/' || n) AS fi
 hot AS (SELECT * FROM scores WHERE score >= 30 ORDER BY score DESC, file_path LIMIT 25),
 raw AS (
  SELECT {ident("task-cycle", "array_to_string(files, '|')")} AS id, 'importCycles' AS area, 'Break import cycle of ' || node_count || ' files' AS title, files, 'high' AS impact, CASE WHEN node_count <= 3 THEN 'medium' ELSE 'large' END AS effort, files[1] || '::import-cycle' AS refs FROM paths
- UNION ALL SELECT {ident("task-lifecycle", "file_path || '::' || code")}, 'lifecycle', 'Clean up on destroy: ' || file_path, [file_path], CASE WHEN severity IN ('error', 'warning') THEN 'high' ELSE 'medium' END, 'medium', file_path || '::' || code FROM find WHERE category = 'lifecycle'
+ UNION ALL SELECT {ident("task-lifecycle", "file_path || '::' || code")}, 'lifecycle', 'Add cleanup for long-lived subscription (' || file_path || ')', [file_path], CASE WHEN severity IN ('error', 'warning') THEN 'high' ELSE 'medium' END, 'medium', file_path || '::' || code FROM find WHERE category = 'lifecycle'
  UNION ALL SELECT {ident("task-oversize", "'component|' || file_path")}, 'oversized', 'Split large component: ' || file_path, [file_path], 'medium', CASE WHEN measure >= 16 THEN 'large' ELSE 'medium' END, file_path || '::' || code FROM find WHERE code = 'component-large-ts'
  UNION ALL SELECT {ident("task-oversize", "'service|' || file_path")}, 'oversized', 'Split large service: ' || file_path, [file_path], 'medium', CASE WHEN measure >= 16000 THEN 'large' ELSE 'medium' END, file_path || '::' || code FROM find WHERE code = 'service-large-ts'
  UNION ALL SELECT {ident("task-dup", "'dup:' || kind || ':' || hash || '|' || kind || '|' || hash")}, 'duplicates', 'Merge ' || kind || ' block of ' || line_count || ' lines in ' || occurrences || ' places', fs,

@@ -87,7 +87,11 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("workspace").option("root", root).load()
 
 
-def projects(root: str, name: str = "angular.json") -> list[tuple[str, str | None, str | None]]:
+#: Fixed value: the workspace manifest.
+MANIFEST = "angular.json"
+
+
+def projects(root: str, name: str = MANIFEST) -> list[tuple[str, str | None, str | None]]:
     """(project, root, source root) of the manifest, by name.  Broken JSON is an error, a missing file too."""
     with open(os.path.join(root, name), encoding="utf-8") as f:
         try:
