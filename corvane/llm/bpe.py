@@ -35,6 +35,16 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _known(d: dict) -> None:
+    """Raises where a vocabulary asks for steps that the codec doesn't take, rather than give other ids."""
+    pre, model = d.get("pre_tokenizer") or {}, d["model"]
+    plain = d.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or (d.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("not a plain byte-level BPE vocabulary")
+    if any(t.get(k) for t in d.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must be taken as they are")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary (the tokenizers library's JSON)."""
 
@@ -43,6 +53,7 @@ class Codec:
 
     def __init__(self, spec: str):
         d = json.loads(spec)
+        _known(d)
         chars, vocab = _byte_chars(), d["model"]["vocab"]
         raw = {t: bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode() for t in vocab}
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}

@@ -345,3 +345,15 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("row_id", "row_key", "row_nul").orderBy(*order))).where("nth = 1")
     out = one.select(*names.values()).unionByName(y.where(bare).select(*names.values()))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+#: DuckDB SQL for link_components: shingle lists, shared shingles of all pairs, reachability.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+g AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s FROM s),
+t AS (SELECT doc_id, n, unnest(s) AS x FROM g),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, n AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS component_id FROM g
+"""

@@ -74,4 +74,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE_SQL, "op7_hamming_top_k": hamming.oracle_sql(10)}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op7_hamming_top_k": hamming.oracle_sql(10)}

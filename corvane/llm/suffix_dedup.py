@@ -281,3 +281,17 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         x = x.withColumn(names["n_chars"], F.when(F.col("cut_text").isNull(), F.col(names["n_chars"])).otherwise(F.char_length("cut_text")).cast(kind))
     return x.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+#: DuckDB SQL for removal: the MD5 of every string of 200 bytes, places of those that occur twice, their runs, what is left.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, p, md5(b[p:p + 199]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM w SEMI JOIN twice USING (h)),
+run AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
+span AS (SELECT r, k, min(p) AS s, max(p) + 200 AS e FROM run GROUP BY r, k),
+gap AS (SELECT r, s, e, lag(e) OVER (PARTITION BY r ORDER BY s) AS f FROM span),
+cut AS (SELECT r, sum(e - s) AS gone, count(*) AS n, string_agg(hex(b[coalesce(f, 1):s - 1]), '' ORDER BY s) || hex(any_value(b)[max(e):]) AS kept FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""

@@ -196,7 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     h = F.xxhash64("lid")
     picked = lab.where("y = 1").orderBy(h, "lid").limit(sample).union(lab.where("y = 0").orderBy(h, "lid").limit(sample))
     have = docs.select(F.col("doc_id").cast("long").alias("lid"), "text").join(F.broadcast(picked), "lid").where("text is not null")
-    rows = have.dropDuplicates(["lid"]).select("y", F.col("text").cast("string").alias("text")).toArrow().to_pylist()
+    # of an id with several texts the one with the smallest hash, so that a rerun fits the same model
+    one = have.select("lid", "y", F.col("text").cast("string").alias("text")).groupBy("lid").agg(F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("r"))
+    rows = one.orderBy("lid").select("r.*").toArrow().to_pylist()
     toxic, clean = [r["text"] for r in rows if r["y"] == 1], [r["text"] for r in rows if r["y"] == 0]
     if not toxic or not clean:
         share = float(bool(toxic))

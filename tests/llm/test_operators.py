@@ -650,3 +650,28 @@ def test_null_ids_and_clashing_columns(spark):
 def test_chain_ids_differ():
     ids = {passages._chain_id(5, 9, a, b) for a in range(60) for b in range(60)}
     assert len(ids) == 3600
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(want.select(*cols).fetchall())
+
+
+def test_bpe_refuses_other_vocabularies():
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        d = json.load(f)
+    bpe.Codec(json.dumps(d))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**d["model"], "byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps({**d, **change}))
