@@ -52,32 +52,70 @@ def trimmed(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return left
 
 
-def _spread(edges: DataFrame, colour: DataFrame, rounds: int) -> DataFrame:
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """(v, c): the greatest colour that reaches each node along edges (src -> dst)."""
-    for _ in range(rounds):
+    while True:
         into = edges.join(colour.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("m"))
         nxt = colour.join(into, "v", "left").select("v", F.greatest("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was")).checkpoint()
         moved = nxt.where("c <> was").limit(1).count()
         colour = nxt.select("v", "c")
         if not moved:
             return colour
-    raise RuntimeError("colours did not settle")
 
 
-def cyclic_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
+def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one predecessor and one successor, by pointer doubling: (v, low, last, tail) of each, where tail is the first
+    other node after its chain (null: the chain is a whole cycle), last the chain's last node, and low the cycle's smallest."""
+    one = F.when(F.col("src") == F.col("dst"), 2).otherwise(1)  # a node that points to itself is no chain's
+    ends = edges.select(F.col("src").alias("v"), one.alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), one))
+    thin = ends.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("v")
+    step = edges.where("src <> dst").join(thin.withColumnRenamed("v", "src"), "src").select(F.col("src").alias("v"), F.col("dst").alias("to"))
+    inside = thin.select(F.col("v").alias("to"), F.lit(True).alias("going"))
+    ptr = step.join(inside, "to", "left").select("v", "to", F.least("v", "to").alias("low"), F.col("v").alias("last"), F.coalesce("going", F.lit(False)).alias("going")).checkpoint()
+    for _ in range(max(1, ptr.count()).bit_length() + 1):
+        nxt = ptr.select(F.col("v").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("last").alias("last2"), F.col("going").alias("going2"))
+        ptr = ptr.where("not going").select("v", "to", "low", "last", "going").union(ptr.where("going").join(nxt, "to").select("v", "to2", F.least("low", "low2"), "last2", "going2")).checkpoint()
+        if not ptr.where("going").limit(1).count():
+            break
+    return ptr.select("v", "low", "last", F.when(~F.col("going"), F.col("to")).alias("tail")), thin
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
     """(node, scc): nodes on cycles with the smallest node of their strongly connected component (self-loops included).
 
-    Forward colouring: after trimming, the greatest node that reaches v is v's colour; the nodes of a colour that reach its
-    root back are that root's component.  They are taken out and the rest goes on.  Every round is checkpointed."""
-    left, done = trimmed(edges), None
+    What can't lie on a cycle is trimmed.  Chains of nodes with one predecessor and one successor become one edge each, by
+    pointer doubling, so that long cycles take rounds by the logarithm of their length.  The rest is coloured forward: the
+    greatest node that reaches v is v's colour; the nodes of a colour that reach its root back are that root's component.  They
+    are taken out and the rest goes on.  Every round is checkpointed."""
+    kind = edges.schema["src"].dataType
+    left = trimmed(edges)
+    if not left.limit(1).count():
+        return edges.select(F.col("src").cast(kind).alias("node"), F.col("src").alias("scc")).where("false")
+    ptr, thin = _chains(left)
+    a, b = thin.withColumnRenamed("v", "src"), thin.withColumnRenamed("v", "dst")
+    enter = left.join(a, "src", "left_anti").join(ptr.select(F.col("v").alias("dst"), "last", "tail"), "dst").select("src", "last", "tail").checkpoint()
+    core = left.join(a, "src", "left_anti").join(b, "dst", "left_anti").select("src", "dst").union(enter.select("src", "tail")).distinct()
+    found = _coloured(trimmed(core))
+    whole = ptr.where("tail is null").select(F.col("v").alias("node"), F.col("low").alias("scc"))
+    if found is None:
+        return whole
+    # a chain belongs to the component that both its ends are in
+    head = enter.join(found.select(F.col("node").alias("src"), F.col("scc").alias("c1")), "src").join(found.select(F.col("node").alias("tail"), F.col("scc").alias("c2")), "tail").where("c1 = c2").select("last", F.col("c1").alias("scc"))
+    all_ = found.union(ptr.where("tail is not null").join(head, "last").select(F.col("v").alias("node"), "scc")).checkpoint()
+    low = all_.groupBy("scc").agg(F.min("node").alias("low"))
+    return all_.join(low, "scc").select("node", F.col("low").alias("scc")).union(whole)
+
+
+def _coloured(left: DataFrame) -> DataFrame | None:
+    done = None
     while left.limit(1).count():
         nodes = left.select(F.col("src").alias("v")).union(left.select("dst")).distinct()
-        colour = _spread(left, nodes.select("v", F.col("v").alias("c")), rounds)
+        colour = _spread(left, nodes.select("v", F.col("v").alias("c")))
         a, b = colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), colour.select(F.col("v").alias("dst"), F.col("c").alias("cd"))
         inner = left.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")).checkpoint()
         back = colour.where("v = c").select("v", "c")
         seen = back
-        for _ in range(rounds):
+        while True:
             nxt = inner.join(back.select(F.col("v").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("v"), "c").distinct().join(seen, ["v", "c"], "left_anti").checkpoint()
             if not nxt.limit(1).count():
                 break
@@ -88,8 +126,7 @@ def cyclic_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
         done = part if done is None else done.union(part)
         gone = seen.select("v")
         left = trimmed(left.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-    kind = edges.schema["src"].dataType
-    return done if done is not None else edges.select(F.col("src").cast(kind).alias("node"), F.col("src").alias("scc")).where("false")
+    return done
 
 
 def cycle_table(components: DataFrame) -> DataFrame:

@@ -204,3 +204,13 @@ def test_components_against_tarjan(spark):
     want = {a: min(b for b in r if a in reach[b]) for a, r in reach.items() if a in r}
     got = {r.node: r.scc for r in graph.cyclic_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
     assert got == want
+
+
+def test_long_cycles(spark):
+    """A cycle of 5,000 nodes, one of 600 with a chord and a tail, two that share a node."""
+    ring = lambda a, n: [(a + i, a + (i + 1) % n) for i in range(n)]
+    edges = ring(0, 5000) + ring(10_000, 600) + [(10_010, 10_300), (10_599, 20_000), (20_000, 20_001)] + ring(30_000, 50) + [(30_000, 30_100), *((30_100 + i, 30_101 + i) for i in range(40)), (30_140, 30_000)]
+    got = {}
+    for r in graph.cyclic_components(spark.createDataFrame(edges, "src long, dst long")).collect():
+        got.setdefault(r.scc, set()).add(r.node)
+    assert got == {0: set(range(5000)), 10_000: set(range(10_000, 10_600)), 30_000: {*range(30_000, 30_050), *range(30_100, 30_141)}}
