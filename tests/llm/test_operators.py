@@ -590,6 +590,27 @@ def test_automaton():
     assert lex.match("worthlas") is None and lex.match("idiotic") == ("idio*", 0) and lex.match("idi") is None
 
 
+def test_automaton_against_edit_distance():
+    rng = random.Random(12)
+    letters = "abcde"
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    terms = {make(rng.randrange(3, 9)): 1.0 + rng.random() for _ in range(40)}
+    lex = toxicity.Lexicon(terms, {})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(1500):
+        w = make(rng.randrange(2, 10))
+        near = [(d, -terms[t], t) for t in terms if (d := distance(w, t)) == 0 or d == 1 and len(t) >= toxicity.FUZZY_LEN]
+        assert lex.match(w) == ((min(near)[2], min(near)[0]) if near else None), w
+
+
 def test_toxicity_misspelled_beginnings(spark):
     rng = random.Random(1)
     plain = lambda: " ".join(rng.choice(["house", "tree", "river", "stone", "cloud", "green", "bright"]) for _ in range(60))
