@@ -43,7 +43,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", without_toxic), ("near_duplicates", without_near_copies), ("suffix_dedup", without_repeats), ("mixing", mixed), ("bpe", encoded)]
-#: Automata, candidate components and merge rounds are no SQL; tests/llm compare the stages with brute force.
+#: Automata, mixing and merge rounds are no SQL.  tests/llm hold near duplicates, repeats, mixing and tokens against plain versions
+#: and SQL, the automaton against edit distance, the toxicity model on held-out rows.
 ORACLE_SQL = None
 
 
