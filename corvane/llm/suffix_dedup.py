@@ -11,7 +11,7 @@ the range of its windows, are ranked.
 1. 64 bytes: the least and greatest place of each anchor name; names of one place drop out (a filter of at most 8 MB).
 2. All bytes of all windows of an anchor (200 to 336): anchors with the same name there are repeated with all their windows.
    The others, and one of each repeated kind, go on with these bytes.
-3. Rounds of 166, 192, 198 and 200 bytes: a range of windows is cut into WIDTHS, each part is ranked by the bytes that all its
+3. Rounds of 178, 197 and 200 bytes: a range of windows is cut into WIDTHS, each part is ranked by the bytes that all its
    windows share.  Parts with a name of their own drop out; parts whose bytes are wholly equal are repeated; the rest, and one
    of each repeated kind, go to the next round.  At 200 bytes every part is one window.
 
@@ -36,7 +36,7 @@ from .textnum import _MUL, chunks, doubled, leftmost_minima, mix, text_bytes
 LENGTH = 200
 GRAM = 64
 #: Windows of a part, round by round.
-WIDTHS = (35, 9, 3, 1)
+WIDTHS = (23, 4, 1)
 #: Names that a task knows to be repeated and need not send again, at most.
 KNOWN = 1_000_000
 _U = np.uint64
@@ -206,6 +206,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     wu = Window.partitionBy("g", "u")
     x = rows.withColumns({"d0": F.min("dkey").over(wu), "d1": F.max("dkey").over(wu), "a0": F.min("at").over(wu), "a1": F.max("at").over(wu), "k1": F.max("kind").over(wu)})
     x = cut(x.select("g", "dkey", "at", ((F.col("d0") != F.col("d1")) | (F.col("a0") != F.col("a1")) | (F.col("k1") > 0)).alias("dup"), ((F.col("dkey") == F.col("d0")) & (F.col("k1") == 0)).alias("first")))
+    held.destroy()  # x is written
     lo, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
     known = x.where("dup").select("dkey", lo.alias("s"), (lo + more + length).alias("e"))
     alone = x.where("not dup")
