@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hamming, licenses, mixing, ngram_join, passages, quality, sharding, suffix_dedup, toxicity
+from . import bpe, clustering, divergence, hamming, licenses, mixing, ngram_join, passages, quality, sharding, suffix_dedup, toxicity
 from .sparkutil import table
 
 
@@ -59,6 +59,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +80,9 @@ QUERIES = {
         op8_bpe,
         op9_repeated_passages,
         op10_toxicity,
+        op11_centroid_clustering,
+        op12_source_divergence,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op7_hamming_top_k": hamming.oracle_sql(10)}
+ORACLE_SQL |= {"op11_centroid_clustering": clustering.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
