@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clustering, divergence, hamming, licenses, mixing, ngram_join, passages, quality, sharding, suffix_dedup, toxicity
+from . import bpe, clustering, divergence, hamming, licenses, lm_score, mixing, ngram_join, passages, quality, sharding, suffix_dedup, toxicity
 from .sparkutil import table
 
 
@@ -67,6 +67,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES = {
         op10_toxicity,
         op11_centroid_clustering,
         op12_source_divergence,
+        op13_lm_score,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op7_hamming_top_k": hamming.oracle_sql(10)}
