@@ -1,9 +1,9 @@
 """Operator 12: how far the sources of a language differ in their terms, from mergeable radix tries.
 
 Terms are runs of the bytes A-Z (lowered), a-z and 0x80 up.  A task counts its documents into byte tries, one a language, with a
-counter a source at each leaf and the number of documents; a trie is sent off, in UTF-8 order, when it has LEAVES leaves.  The
-leaves are dealt out by ranges of (language, term), that is by prefixes, a task merges those of its range (about ROWS) and
-keeps the terms of MIN_DOCS documents.  Kept terms meet their language's sources in blocks of TERMS terms and two tiles of about
+counter a source at each leaf and the number of documents: nodes branch by a byte until a container of CONTAINER leaves is left,
+and containers are sent off, in UTF-8 order, when a task has LEAVES leaves.  These subtrees are dealt out by ranges of prefixes
+(language, term); a task merges those of its range (about ROWS leaves) in a radix trie and keeps the terms of MIN_DOCS documents.  Kept terms meet their language's sources in blocks of TERMS terms and two tiles of about
 TILE sources: a block adds |p - q| for pairs of sources, and lists each source's TOP candidates in the order of terms, so that
 ties stay in it.  A source in which no term of a block occurs has its constant share there, and a block counts differences from
 that; so sources and terms are split at any number, and nothing is broadcast.
@@ -17,19 +17,20 @@ columns are ignored; texts are counted whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .packing import pack, unpack
 from .sparkutil import cut, prepare
 
 MIN_DOCS, TOP, ADDED, UNIT = 30, 50, 5, 1_000_000_000
-#: Leaves that a task holds, rows of a range, terms of a block, sources of a tile.
-LEAVES, ROWS, TERMS, TILE = 200_000, 200_000, 2048, 256
+#: Leaves that a task holds, those of a container and of a range, terms of a block, sources of a tile, subtrees that set the ranges.
+LEAVES, CONTAINER, ROWS, TERMS, TILE, BOUNDS = 300_000, 4096, 400_000, 2048, 256, 100_000
 #: Bytes of terms stay, with A-Z lowered; all others part them.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -91,47 +92,55 @@ class Trie:
             self.add(term, node.counts, node.docs)
 
 
-_LEAVES = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("docs", pa.int64())])
-_SCHEMA = "lang string, term binary, sources array<string>, counts array<long>, docs long"
+_LEAVES = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_RUNS = pa.schema([("range", pa.int64()), ("lang", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("leaves", pa.int64()), ("sources", pa.list_(pa.string())), ("terms", pa.binary()), ("numbers", pa.binary())])
+_LEAVES_DDL = "lang string, term binary, sources array<string>, counts array<long>"
+_RUNS_DDL = "range long, lang string, first binary, last binary, leaves long, sources array<string>, terms binary, numbers binary"
 
 
-def _sent(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
-    """The leaves of a trie in UTF-8 order, as rows."""
-    terms, docs, ends, sources, counts = [], [], [0], [], []
+def burst(terms: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The containers of a burst trie in UTF-8 order: nodes branch by the next byte until at most so many terms are below one."""
+    todo = [(terms, 0)]
+    while todo:
+        own, depth = todo.pop()
+        if len(own) <= most:
+            yield sorted(own)
+            continue
+        kids: dict[bytes, list[bytes]] = {}
+        for t in own:
+            kids.setdefault(t[depth : depth + 1], []).append(t)  # b"" is the term that ends here
+        todo += [(kids[b], depth + 1) for b in sorted(kids, reverse=True)]
 
-    def batch() -> pa.RecordBatch:
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(sources, pa.string()), pa.array(counts, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), *lists, pa.array(docs, pa.int64())], schema=_LEAVES)
 
-    for term, node in trie.walk():
-        terms.append(term)
-        docs.append(node.docs)
-        sources += node.counts.keys()
-        counts += node.counts.values()
-        ends.append(len(sources))
-        if len(terms) == 20_000:
-            yield batch()
-            terms, docs, ends, sources, counts = [], [], [0], [], []
-    if terms:
-        yield batch()
+def _run(lang: str, terms: list[bytes], docs, fan, who, n, sources: list[str], nth: int = -1) -> dict:
+    """A row: a subtree's leaves in UTF-8 order; for each its documents and its counters."""
+    used, who = np.unique(who, return_inverse=True)
+    lengths = np.fromiter(map(len, terms), np.int64, len(terms))
+    return {"range": nth, "lang": lang, "first": terms[0], "last": terms[-1], "leaves": len(terms), "sources": [sources[k] for k in used.tolist()], "terms": b"".join(terms), "numbers": pack(lengths, docs, fan, who, n)}
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tries of the documents (lang, source, text) of a task."""
+    """Subtrees of the tries of a task's documents (lang, source, text)."""
     groups: dict[tuple[str, str], Counter] = {}
     docs: dict[str, Counter] = {}
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, found in docs.items():
-            trie, leaf = Trie(), {}
-            for term, n in found.items():
-                leaf[term] = node = trie.leaf(term)
-                node.docs = n
-            for (own, source), words in groups.items():
-                if own == lang:
-                    for term, n in words.items():
-                        leaf[term].counts[source] = n
-            yield from _sent(lang, trie)
+            runs = list(burst(list(found), CONTAINER)) if found else []
+            terms = [t for r in runs for t in r]
+            place = dict(zip(terms, range(len(terms))))
+            sources = sorted(s for own, s in groups if own == lang)
+            words = [groups[lang, s] for s in sources]
+            at = np.concatenate([np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in words])
+            who = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            n = np.concatenate([np.fromiter(w.values(), np.int64, len(w)) for w in words])
+            sort = np.argsort(at, kind="stable")
+            fan, per_doc = np.bincount(at, minlength=len(terms)), np.fromiter(map(found.__getitem__, terms), np.int64, len(terms))
+            ends, a = np.concatenate([[0], np.cumsum(fan)]), 0
+            for r in runs:
+                own, b = sort[ends[a] : ends[a + len(r)]], a + len(r)
+                yield pa.RecordBatch.from_pylist([_run(lang, r, per_doc[a:b], fan[a:b], who[own], n[own], sources)], schema=_RUNS)
+                a = b
         groups.clear()
         docs.clear()
 
@@ -145,27 +154,79 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sent()
 
 
-def merged(min_docs: int):
+def _terms(raw: bytes, lengths: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
+
+
+def ranged(bounds: list[tuple[bytes, bytes]]):
+    """Gives every subtree its range of (language, term); those that reach over a bound are cut there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The tries of a range of prefixes in one a language, without the terms of few documents."""
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        keys = t.select(["lang", "term"]).append_column("row", pa.array(np.arange(len(t))))
-        total = t.select(["lang", "term", "docs"]).group_by(["lang", "term"]).aggregate([("docs", "sum")])
-        total = total.filter(pc.greater_equal(total.column("docs_sum"), min_docs)).select(["lang", "term"])
-        rows = keys.join(total, ["lang", "term"], join_type="left semi").column("row")
-        tries: dict[str, Trie] = {}
-        for b in t.take(rows).to_batches(max_chunksize=20_000):
-            for lang, term, sources, counts, docs in zip(*(c.to_pylist() for c in b.columns)):
-                tries.setdefault(lang, Trie()).add(term, dict(zip(sources, counts)), docs)
-        for lang in sorted(tries):
-            yield from _sent(lang, tries[lang])
+        for b in batches:
+            for row in b.to_pylist():
+                lang = row["lang"].encode()
+                lo, hi = (bisect_right(bounds, (lang, row[c])) for c in ("first", "last"))
+                if lo == hi:
+                    yield pa.RecordBatch.from_pylist([row | {"range": lo}], schema=_RUNS)
+                    continue
+                lengths, docs, fan, who, n = unpack(row["numbers"])
+                terms = _terms(row["terms"], lengths).to_pylist()
+                ends, a = np.concatenate([[0], np.cumsum(fan.astype(np.int64))]), 0
+                for k in range(lo, hi + 1):
+                    z = bisect_left(terms, bounds[k][1]) if k < hi else len(terms)
+                    if z > a:
+                        own = slice(ends[a], ends[z])
+                        yield pa.RecordBatch.from_pylist([_run(row["lang"], terms[a:z], docs[a:z], fan[a:z], who[own], n[own], row["sources"], k)], schema=_RUNS)
+                    a = z
 
     return run
 
 
+def merged(min_docs: int):
+    def run(t: pa.Table) -> pa.Table:
+        """The tries of a range in one a language, without the terms of few documents."""
+        out, by = [], {}
+        for row in t.to_pylist():
+            by.setdefault(row["lang"], []).append(row)
+        for lang in sorted(by):
+            numbers = [unpack(r["numbers"]) for r in by[lang]]
+            sources = sorted({s for r in by[lang] for s in r["sources"]})
+            place = {s: k for k, s in enumerate(sources)}
+            whole = lambda k: np.concatenate([x[k].astype(np.int64) for x in numbers])
+            code = _terms(b"".join(r["terms"] for r in by[lang]), whole(0)).dictionary_encode()
+            term = code.indices.to_numpy().astype(np.int64)
+            docs = np.bincount(term, whole(1), len(code.dictionary))
+            fan = whole(2)
+            own = np.repeat(term, fan)
+            hold = np.repeat((docs >= min_docs)[term], fan)
+            who = np.concatenate([np.array([place[s] for s in r["sources"]], np.int64)[x[3].astype(np.int64)] for r, x in zip(by[lang], numbers)])
+            key, at = np.unique(own[hold] * len(sources) + who[hold], return_inverse=True)
+            count = np.zeros(len(key), np.int64)
+            np.add.at(count, at, whole(4)[hold])
+            names = code.dictionary.take(pa.array(key // len(sources))).to_pylist()
+            trie = Trie()
+            for name, s, n, d in zip(names, (key % len(sources)).tolist(), count.tolist(), docs[key // len(sources)].tolist()):
+                trie.add(name, {sources[s]: n}, int(d))
+            out += [{"lang": lang, "term": term_, "sources": list(node.counts), "counts": list(node.counts.values())} for term_, node in trie.walk()]
+        return pa.Table.from_pylist(out, schema=_LEAVES)
+
+    return run
+
+
+def _bounds(runs: DataFrame, leaves: int) -> list[tuple[bytes, bytes]]:
+    """Bounds of ranges of about ROWS leaves, from the first terms of at most some BOUNDS subtrees; they only decide the balance."""
+    step = max(1, runs.count() // BOUNDS)
+    some = runs.where(F.pmod(F.xxhash64("lang", "first", "leaves"), F.lit(step)) == 0).select("lang", "first", "leaves").collect()
+    some.sort(key=lambda r: (r.lang.encode(), bytes(r.first)))
+    out, seen, each = [], 0, max(1, sum(r.leaves for r in some) / max(1, leaves / ROWS))
+    for r in some:
+        if seen >= each * (len(out) + 1):
+            out.append((r.lang.encode(), bytes(r.first)))
+        seen += r.leaves
+    return sorted(set(out))
+
+
 def share(count: np.ndarray, size: np.ndarray) -> np.ndarray:
     """1 + floor(UNIT * (count + ADDED) / size), exactly."""
     if size.max(initial=0) >= (1 << 63) // 1000:
@@ -219,11 +280,11 @@ def _block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, term, sources, counts, docs: the terms of at least min_docs documents of a language, with their counters."""
+    """lang, term, sources, counts: the terms of at least min_docs documents of a language, with their counters."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    part = cut(texts.mapInArrow(counted, _SCHEMA))
-    ranges = max(1, -(-part.count() // ROWS))
-    return cut(part.repartitionByRange(ranges, "lang", "term").mapInArrow(merged(min_docs), _SCHEMA))
+    runs = cut(texts.mapInArrow(counted, _RUNS_DDL))
+    bounds = _bounds(runs, runs.agg(F.sum("leaves")).first()[0] or 0)
+    return cut(runs.mapInArrow(ranged(bounds), _RUNS_DDL).groupBy("range").applyInArrow(merged(min_docs), _LEAVES_DDL))
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

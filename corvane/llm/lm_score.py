@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .packing import U, pack, unpack
 from .sparkutil import cut, prepare
 
 ORDER, MASS = 2, 100.0
@@ -36,7 +36,6 @@ BLOCK, PART, FAN, PIECE = 8 << 20, 8 << 20, 512, 512
 #: No word is a space: it names the end, and the beginning as a context.
 END = b" "
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-U = np.uint64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,23 +45,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 64-bit integers, byte planes apart."""
-    head = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
-    planes = [np.ascontiguousarray(np.asarray(a).astype(U).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
-
-
-def unpack(raw: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    out, at = [], 8 * (n + 1)
-    for size in np.frombuffer(raw, np.int64, n, 8).tolist():
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * 8, at).reshape(8, size).T).view(U).reshape(-1))
-        at += size * 8
-    return out
-
-
 class Names:
     """Sorted names with counts: words by (a, b), n-grams by g."""
 

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from corvane.llm import clustering, divergence, lm_score
+from corvane.llm import clustering, divergence, lm_score, packing
 
 from .test_operators import SCHEMA, docs, empty, hard, hard_texts, pairs  # noqa: F401
 
@@ -85,6 +85,13 @@ def test_trie_is_a_dictionary():
     assert all(n.counts == dict(want[t][0]) and n.docs == want[t][1] for t, n in got)
 
 
+def test_containers_are_the_sorted_terms():
+    rng = random.Random(9)
+    terms = list({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))).encode() for _ in range(900)} | {b"a" * 300})
+    got = list(divergence.burst(terms, 20))
+    assert [t for c in got for t in c] == sorted(terms) and max(map(len, got)) <= 20
+
+
 def test_shares_are_exact():
     rng = random.Random(2)
     for size in (1, 7, 10**6, 9 * 10**15):
@@ -113,7 +120,7 @@ def test_divergence_is_sql(spark, sf, monkeypatch):
     d = divergence_rows(spark)
     want = by_duckdb(divergence.ORACLE_SQL, documents=d)
     assert len(want) > 300 and rows_of(divergence.audit(d)) == want
-    for name, size in (("ROWS", 20), ("TERMS", 5), ("TILE", 2), ("LEAVES", 10)):  # many ranges, blocks and tiles
+    for name, size in (("ROWS", 20), ("TERMS", 5), ("TILE", 2)):  # many ranges, blocks and tiles; workers keep the other sizes
         monkeypatch.setattr(divergence, name, size)
     assert rows_of(divergence.audit(d)) == want
 
@@ -187,4 +194,4 @@ def test_scores_hard_rows(spark, hard, empty):  # noqa: F811
 def test_names_survive_packing():
     rng = np.random.default_rng(1)
     a = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 1000)]
-    assert all((x == y).all() and len(x) == len(y) for x, y in zip(a, lm_score.unpack(lm_score.pack(*a))))
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(a, packing.unpack(packing.pack(*a))))
