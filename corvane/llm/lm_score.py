@@ -1,6 +1,6 @@
 """Operator 13: language-model scores of documents by a weighted backoff automaton, learned from all training documents.
 
-Documents are taken in blocks of about BLOCK bytes.  A block names its words (128-bit hashes) and n-grams (64-bit hashes), with
+Documents are dealt by hash into blocks of about BLOCK bytes.  A block names its words (96-bit hashes) and n-grams (48 bits), with
 their counts in its training documents (0 for those of held-out ones), sorted and cut by hash range; the tasks of the ranges add
 the counts of all blocks and give each block the totals of its own names.  Beyond FAN ranges names go through several rounds of
 FAN ranges each, with blocks merged in between, so that the rows stay in proportion to the input and no task holds more than about
@@ -12,7 +12,7 @@ the shorter one, down to the root with its add-one arcs, one of them for unknown
 to right at once, each with a state and a sum; long ones are cut into pieces of PIECE tokens that begin with the order - 1 tokens
 before, after which the state is the same.  `order` is 2 unless asked otherwise: names of longer n-grams are nearly one a token.
 
-Words are exact (a collision of 128 bits aside); a collision of two n-grams' 64 bits adds their counts.  Null and empty texts are
+Words are exact (a collision of 96 bits aside); two n-grams of one name share their counts (of 10^11 n-grams one in 3,000).  Null and empty texts are
 one end token; null ids count as training; repeated rows count and come back each time; without training documents every token is
 unknown and scores 0; an empty table gives an empty result; other columns are ignored; texts are read whole.
 """
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .packing import U, pack, unpack
@@ -32,7 +31,9 @@ from .sparkutil import cut, prepare
 
 ORDER, MASS = 2, 100.0
 #: Bytes of text of a block and of a range of names, ranges of a round, tokens of a piece.
-BLOCK, PART, FAN, PIECE = 8 << 20, 8 << 20, 512, 512
+BLOCK, PART, FAN, PIECE = 16 << 20, 8 << 20, 512, 512
+#: The bits of an n-gram's name.
+NAMED = np.uint64(0xFFFF_FFFF_FFFF_0000)
 #: No word is a space: it names the end, and the beginning as a context.
 END = b" "
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -102,7 +103,7 @@ class Block:
         self.ids, self.order = np.concatenate(rows), order
         counted = np.concatenate([[0], np.repeat(np.array(train, np.int64), np.diff(self.ends))]).astype(np.int64)
         raw = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in ids), U).reshape(-1, 2)
-        a, b = raw[:, 0], raw[:, 1]
+        a, b = raw[:, 0], raw[:, 1] >> U(32)
         sort = np.lexsort((b, a))
         self.rank = np.empty(len(sort), np.int64)  # of each word's id among the sorted names
         self.rank[sort] = np.arange(len(sort))
@@ -117,7 +118,7 @@ class Block:
             before = h
             h = np.zeros(len(self.ids), U)
             h[at] = _mixed(before[at - 1] * U(0x9E3779B97F4A7C15) + a[self.ids[at]] + U(k))
-            key, of = np.unique(h[at], return_inverse=True)
+            key, of = np.unique(h[at] & NAMED, return_inverse=True)
             self.at.append(at)
             self.of.append(of)
             self.key.append((key, np.bincount(of, counted[at], len(key)).astype(U)))
@@ -216,41 +217,15 @@ class Automaton:
         return np.bincount(doc, sums, len(ends) - 1)
 
 
-_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()), ("payload", pa.binary()), ("n", pa.int64())])
-_TOTALS = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("payload", pa.binary()), ("kinds", pa.int64())])
-
-
-def _ddl(s: pa.Schema) -> str:
-    return ", ".join(f"{f.name} { {'int64': 'long', 'bool': 'boolean'}.get(str(f.type), str(f.type)) }" for f in s)
+_TOTALS = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("payload", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64())])
+_DDL = "owner long, part long, payload binary, kinds long, tokens long"
 
 
 def _named(order: int, ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of part -1 are the documents, with the number of their block; the others are the block's names."""
-        block = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        size = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            b = Block([t for _, _, t in held], [not h for _, h, _ in held], order)
-            tokens = np.diff(b.ends).tolist()
-            for k in range(0, len(held), 256):
-                some = held[k : k + 256]
-                n = [0 if h else m for (_, h, _), m in zip(some, tokens[k : k + 256])]
-                rows = [[block] * len(some), [-1] * len(some), [i for i, _, _ in some], [h for _, h, _ in some], [t for _, _, t in some], [None] * len(some), n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ROWS)], schema=_ROWS)
-            for p, raw in b.names.parts(ranges):
-                yield pa.RecordBatch.from_pylist([{"block": block, "part": p, "payload": raw}], schema=_ROWS)
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                held.append(row)
-                size += len(row[2])
-                if size >= BLOCK:
-                    yield from sent()
-                    held, size, block = [], 0, block + 1
-        if held:
-            yield from sent()
+    def run(t: pa.Table) -> pa.Table:
+        """The names of a block."""
+        block = Block(t.column("text").to_pylist(), [not h for h in t.column("held_out").to_pylist()], order)
+        return pa.Table.from_pylist([{"owner": t.column("block")[0].as_py(), "part": p, "payload": raw} for p, raw in block.names.parts(ranges)], schema=_TOTALS)
 
     return run
 
@@ -267,12 +242,12 @@ def _split(ranges: int, groups: int):
     return run
 
 
-def _given(parts: list[Names], rows: list[tuple[int, int]], at: np.ndarray, ag: np.ndarray, words: np.ndarray, grams: np.ndarray, kinds: int) -> pa.Table:
+def _given(parts: list[Names], rows: list[tuple[int, int]], at: np.ndarray, ag: np.ndarray, words: np.ndarray, grams: np.ndarray, sums: tuple[int, int]) -> pa.Table:
     """The totals of each owner's names, in their order."""
     out, i, j = [], 0, 0
     for k, (p, (owner, part)) in enumerate(zip(parts, rows)):
         i2, j2 = i + len(p.a), j + len(p.g)
-        out.append({"owner": owner, "part": part, "payload": pack(words[at[i:i2]], grams[ag[j:j2]]), "kinds": kinds if k == 0 else 0})
+        out.append({"owner": owner, "part": part, "payload": pack(words[at[i:i2]], grams[ag[j:j2]]), "kinds": sums[0] if k == 0 else 0, "tokens": sums[1] if k == 0 else 0})
         i, j = i2, j2
     return pa.Table.from_pylist(out, schema=_TOTALS)
 
@@ -280,7 +255,7 @@ def _given(parts: list[Names], rows: list[tuple[int, int]], at: np.ndarray, ag:
 def _added(t: pa.Table) -> pa.Table:
     parts = [Names.read(x) for x in t.column("payload").to_pylist()]
     names, at, ag = united(parts)
-    return _given(parts, list(zip(t.column("owner").to_pylist(), t.column("part").to_pylist())), at, ag, names.words, names.grams, int((names.words > 0).sum()))
+    return _given(parts, list(zip(t.column("owner").to_pylist(), t.column("part").to_pylist())), at, ag, names.words, names.grams, (int((names.words > 0).sum()), int(names.words.sum())))
 
 
 def _back(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -291,7 +266,7 @@ def _back(left: pa.Table, right: pa.Table) -> pa.Table:
     _, at, ag = united(parts)
     got = right.sort_by("part")
     words, grams = _joined(got.column("payload").to_pylist())
-    return _given(parts, list(zip(left.column("owner").to_pylist(), left.column("part").to_pylist())), at, ag, words, grams, sum(got.column("kinds").to_pylist()))
+    return _given(parts, list(zip(left.column("owner").to_pylist(), left.column("part").to_pylist())), at, ag, words, grams, (sum(got.column("kinds").to_pylist()), sum(got.column("tokens").to_pylist())))
 
 
 def _joined(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -299,15 +274,15 @@ def _joined(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def totals(rows: DataFrame, fan: int, depth: int, rounds: int) -> DataFrame:
-    """owner, part, payload, kinds for rows of (owner, part, payload): part is a range of fan ** depth, of fan ** rounds at the end."""
+    """owner, part, payload, kinds, tokens for rows of (owner, part, payload): part is a range of fan ** depth, of fan ** rounds at the end."""
     if depth == rounds:
-        return rows.select("owner", "part", "payload").groupBy("part").applyInArrow(_added, _ddl(_TOTALS))
+        return rows.select("owner", "part", "payload").groupBy("part").applyInArrow(_added, _DDL)
     groups = fan ** (rounds - depth)
     at = rows.select("owner", "part", "payload", F.pmod(F.xxhash64("owner"), F.lit(groups)).alias("grp"))
-    more = cut(at.groupBy("part", "grp").applyInArrow(_split(fan ** (depth + 1), groups), _ddl(_TOTALS)))
+    more = cut(at.groupBy("part", "grp").applyInArrow(_split(fan ** (depth + 1), groups), _DDL))
     down = totals(more, fan, depth + 1, rounds)
     at = at.withColumn("group", F.col("part") * groups + F.col("grp"))
-    return at.groupBy("group").cogroup(down.withColumnRenamed("owner", "group").groupBy("group")).applyInArrow(_back, _ddl(_TOTALS))
+    return at.groupBy("group").cogroup(down.withColumnRenamed("owner", "group").groupBy("group")).applyInArrow(_back, _DDL)
 
 
 def score(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
@@ -324,10 +299,12 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
     fan = 1
     while fan**rounds < want:
         fan += 1
-    named = cut(x.mapInArrow(_named(order, fan), _ddl(_ROWS)))
-    got = cut(totals(named.where("part >= 0").select(F.col("block").alias("owner"), "part", "payload"), fan, 1, rounds))
-    tokens = int(named.where("part = -1").agg(F.sum("n")).first()[0] or 0)
-    kinds = int(got.agg(F.sum("kinds")).first()[0] or 0)
+    blocks = max(1, -(-size // BLOCK))
+    x = x.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    named = x.groupBy("block").applyInArrow(_named(order, fan), _DDL)
+    got = cut(totals(named if rounds == 1 else cut(named), fan, 1, rounds))
+    whole = got.agg(F.sum("kinds"), F.sum("tokens")).first()
+    kinds, tokens = (int(v or 0) for v in whole)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -338,5 +315,4 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
         out = [left.column("doc_id"), left.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(model)]
         return pa.table(out, names=[c.split()[0] for c in schema.split(", ")])
 
-    left = named.where("part = -1").select("block", "doc_id", "held_out", "text").groupBy("block")
-    return left.cogroup(got.select(F.col("owner").alias("block"), "part", "payload").groupBy("block")).applyInArrow(scored, schema)
+    return x.groupBy("block").cogroup(got.select(F.col("owner").alias("block"), "part", "payload").groupBy("block")).applyInArrow(scored, schema)
