@@ -117,3 +117,8 @@ def folded(text: Column) -> Column:
     """Words and numbers of a text folded to marks, white space to one space: what normalized duplicates share."""
     out = F.regexp_replace(text, r"[0-9]+(\.[0-9]+)?", "<num>")
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+
+
+def locale_key(text: Column) -> Column:
+    """A text that compares as a reader's locale does: letters before case, case before accents' bytes, punctuation first."""
+    return F.collate(text, "UNICODE")

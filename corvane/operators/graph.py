@@ -9,7 +9,12 @@ from corvane.operators.session import checkpointing
 
 
 def resolve(imports: DataFrame, nodes: DataFrame, dotted: bool = False) -> DataFrame:
-    """Edges of relative import specifiers (file_path, spec) to known files, first candidate that exists.
+    """Distinct edges (src, dst) of `resolved`."""
+    return resolved(imports, nodes, dotted).select("src", "dst").distinct()
+
+
+def resolved(imports: DataFrame, nodes: DataFrame, dotted: bool = False) -> DataFrame:
+    """src, spec, dst of relative import specifiers (file_path, spec) to known files, first candidate that exists.
 
     A specifier with an extension is tried as it is, and .js as .ts; one without as .ts, then as /index.ts.  dotted=True also
     tries .ts after an extension that is part of a name."""
@@ -27,7 +32,7 @@ def resolve(imports: DataFrame, nodes: DataFrame, dotted: bool = False) -> DataF
     tried = rel.select("file_path", "spec", F.posexplode(cands).alias("nth", "dst")).where("dst is not null")
     hit = tried.join(nodes.select(F.col("file_path").alias("dst")).distinct(), "dst", "left_semi")
     first = hit.groupBy("file_path", "spec").agg(F.min_by("dst", "nth").alias("dst"))
-    return first.select(F.col("file_path").alias("src"), "dst").distinct()
+    return first.select(F.col("file_path").alias("src"), "spec", "dst")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions import scalars as X
-from corvane.operators import brief, duplicates, findings as R, graph, hotspots, tree
+from corvane.operators import brief, duplicates, findings as R, graph, hotspots, tree, types
 from corvane.operators.session import checkpointing
 from corvane.plans import views
-from corvane.sources import config as C, facts as FACTS, workspace as W
+from corvane.sources import config as C, facts as FACTS, typed, workspace as W
 
 MAX_INJECTIONS, MAX_ROUTE_LINES = 8, 250
 
@@ -37,7 +38,16 @@ class Audit:
     groups: DataFrame
     occurrences: DataFrame
     hotspots: DataFrame
-    references: DataFrame
+    sources: DataFrame
+    paths: tuple
+
+    @cached_property
+    def references(self) -> DataFrame:
+        """Uses of methods, by the types of their receivers; found when they are first asked for, since it takes rounds of joins."""
+        found = types.references(typed.extract(self.sources).checkpoint(), self.nodes, *self.paths)
+        refs = views.capped(found.join(self.methods.select(F.col("id").alias("method_id"), "class_name", "name"), "method_id"))
+        text = self.sources.select("file_path", "text")
+        return refs.join(text, "file_path").withColumn("snippet", X.snippet(F.col("text"), F.col("line"))).drop("text").checkpoint()
 
 
 def _of(facts: DataFrame, *kinds: str) -> DataFrame:
@@ -150,10 +160,10 @@ def audit(spark: SparkSession, root: str, config: C.Config | None = None) -> Aud
     checkpointing(spark)
     cfg = config if config is not None else C.read(os.path.join(root, "corvane.config.json"))
     projects = spark.createDataFrame(W.projects(root), "project string, root string, source_root string")
-    return tables(cfg, projects, W.files(spark, root).checkpoint())
+    return tables(cfg, projects, W.files(spark, root).checkpoint(), C.ts_paths(root))
 
 
-def tables(cfg: C.Config, projects: DataFrame, files: DataFrame) -> Audit:
+def tables(cfg: C.Config, projects: DataFrame, files: DataFrame, paths: tuple = (None, None)) -> Audit:
     """The tables of projects (project, root, source_root) and files (file_path, text).  Facts are kept (one parse);
     everything else is a plan over them."""
     checkpointing(files.sparkSession)
@@ -187,9 +197,7 @@ def tables(cfg: C.Config, projects: DataFrame, files: DataFrame) -> Audit:
     fans = graph.degrees(nodes.select(F.col("file_path").alias("node")), edges).withColumnRenamed("node", "file_path")
     gaps = found.where(F.col("code").endswith("-missing-spec")).select("file_path")
     scores = hotspots.scored(hotspots.assembled(complexity, duplicates.file_stats(occ), gaps, fans))
-    calls = _of(facts, "this_ref").select("file_path", name.alias("class_name"), F.col("key").alias("name"), "line", "col")
-    refs = views.method_references(calls, methods).join(files.select("file_path", "text"), "file_path").withColumn("snippet", X.snippet(F.col("text"), F.col("line"))).drop("text")
-    return Audit(cfg, projects, files, facts, artifacts, routes, edges, nodes, cycles, found, complexity, classes, methods, groups, occ, scores, refs)
+    return Audit(cfg, projects, files, facts, artifacts, routes, edges, nodes, cycles, found, complexity, classes, methods, groups, occ, scores, mine, paths)
 
 
 def summary(a: Audit) -> DataFrame:

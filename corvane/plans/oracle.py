@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import standin, standin_sql
+from corvane.plans import standin, standin_sql, standin_typed
 
 F = """files AS (SELECT doc_id, source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS file_path, text, n_chars,
   CAST(len(string_split_regex(text, '\\r?\\n')) AS BIGINT) AS line_count FROM documents)"""
@@ -119,4 +119,4 @@ SQL = {
  UNION ALL SELECT 'cycles', (SELECT count(*) FROM cyc) UNION ALL SELECT 'duplicates', (SELECT count(*) FROM groups) UNION ALL SELECT 'hotspots', (SELECT count(*) FROM scores)""",
     "categories": f"WITH {FIND} SELECT category, row_number() OVER (ORDER BY category) AS rank FROM (SELECT DISTINCT category FROM find)",
 }
-SQL |= {standin.rule_name(c): standin_sql.rule(c) for c in standin.CODES} | standin_sql.SQL
+SQL |= {standin.rule_name(c): standin_sql.rule(c) for c in standin.CODES} | standin_sql.SQL | standin_typed.SQL

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, snapshots, tree
-from corvane.plans import standin, views
+from corvane.plans import standin, standin_typed, views
 from corvane.sources import config, reports
 
 LINES, CHARS, STRONG = 8, 8_000, 40
@@ -311,5 +311,5 @@ concern_signals duplicate_groups duplicate_occurrences duplicate_file_stats dupl
 graph_summary hotspot_scores hotspot_top health brief_tasks brief_areas scan_snapshots scan_deltas scan_code_deltas scan_history folder_tree
 strict_props stable_ids excluded_files unmatched_uses capped_references page_links repeated_links source_context previews signal_matrix
 labelled_duplicates page_counts categories""".split()
-QUERIES = {name: globals()[name] for name in NAMES} | standin.QUERIES
-NAMES += list(standin.QUERIES)
+QUERIES = {name: globals()[name] for name in NAMES} | standin.QUERIES | standin_typed.QUERIES
+NAMES += [*standin.QUERIES, *standin_typed.QUERIES]

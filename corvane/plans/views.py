@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.scalars import severity_rank
 from corvane.operators import findings as R
@@ -53,14 +53,10 @@ def page_counts(found: DataFrame, cycles: DataFrame, groups: DataFrame, scores:
     return out
 
 
-def method_references(calls: DataFrame, methods: DataFrame, most: int = 200) -> DataFrame:
-    """References by name within a class (this.m() and members of the same class): calls has file_path, class_name, name,
-    line, col.  References through variables need types and are not found.  Of each method the first `most` stay, by place."""
-    from pyspark.sql import Window
-
-    hit = calls.join(methods.select(F.col("id").alias("method_id"), "class_name", "name", "file_path"), ["class_name", "name", "file_path"])
+def capped(references: DataFrame, most: int = 200) -> DataFrame:
+    """Of each method the first `most` references, by place."""
     w = Window.partitionBy("method_id").orderBy("file_path", "line", "col")
-    return hit.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+    return references.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
 
 
 def symbol_tree(classes: DataFrame, methods: DataFrame) -> DataFrame:

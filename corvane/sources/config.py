@@ -52,6 +52,19 @@ def read(path: str) -> Config:
         return Config()
 
 
+def ts_paths(root: str) -> tuple[str | None, dict[str, list[str]] | None]:
+    """baseUrl and paths of a workspace's tsconfig.json (comments and last commas allowed); (None, None) where there are none."""
+    try:
+        with open(os.path.join(root, "tsconfig.json"), encoding="utf-8") as f:
+            bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", f.read(), flags=re.S)
+        got = json.loads(re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", bare)).get("compilerOptions", {})
+    except (OSError, ValueError, AttributeError):
+        return None, None
+    base, paths = (got.get("baseUrl"), got.get("paths")) if isinstance(got, dict) else (None, None)
+    ok = {k: [t for t in v if isinstance(t, str)] for k, v in paths.items() if isinstance(v, list)} if isinstance(paths, dict) else None
+    return base if isinstance(base, str) else None, ok
+
+
 def output_dir(root: str, wanted: str, default: str = ".corvane") -> str:
     """The report folder: inside the workspace and not the workspace itself, else the default."""
     inside = os.path.normpath(os.path.join("/", wanted)) if wanted and not os.path.isabs(wanted) else "/"

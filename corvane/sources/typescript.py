@@ -493,10 +493,6 @@ def facts(path: str, text: str, max_window: int = 200_000) -> list[dict]:
                     last = f.line(m.body[1])
                     put("method", cls=uid, method=m.name, key=m.name, value=vis, line=first, n=last, n2=last - first + 1, n3=f.branches(m.start, m.body[1]), n4=len(f.params(m)))
                     _block(f, c, m, put, uid)
-            own = {m.name for m in c.members if m.kind == "method" and m.body and m.name}
-            for i in range(c.open, c.close):
-                if f.x(i) == "this" and f.x(i + 1) in (".", "?.") and f.x(i + 2) in own:
-                    put("this_ref", cls=uid, key=f.x(i + 2), **dict(zip(("line", "col"), f.place(i + 2))))
         if f.depth[c.open] == 0:
             _lifecycle(f, c, f"{uid}/{k}", put)
     _component(f, put, max_window)

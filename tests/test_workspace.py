@@ -124,10 +124,6 @@ def test_references_and_details(done):
     assert (d["src/app/other.ts"].methods, d["src/app/other.ts"].groups) == (2, 2)
 
 
-def test_this_references():
-    rows = T.facts("a.ts", "class A { m() { this.n(); x.m(); } n() { return this.m; } }")
-    assert [(r["key"], r["line"], r["col"]) for r in rows if r["kind"] == "this_ref"] == [("n", 1, 22), ("m", 1, 54)]
-
 
 def test_nested_folders():
     rows = [{"folder": "", "parent": None, "files": 3}, {"folder": "a", "parent": "", "files": 2}, {"folder": "a/b", "parent": "a", "files": 1}]
