@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, tree, types
 from corvane.operators.session import checkpointing
-from corvane.plans import views
-from corvane.sources import config as C, facts as FACTS, typed, workspace as W
+from corvane.plans import document, views
+from corvane.sources import config as C, facts as FACTS, json_document, typed, workspace as W
 
 MAX_INJECTIONS, MAX_ROUTE_LINES = 8, 250
 
@@ -200,12 +200,7 @@ def tables(cfg: C.Config, projects: DataFrame, files: DataFrame, paths: tuple =
     return Audit(cfg, projects, files, facts, artifacts, routes, edges, nodes, cycles, found, complexity, classes, methods, groups, occ, scores, mine, paths)
 
 
-def summary(a: Audit) -> DataFrame:
-    """One row: projects, and components, services and routes over all projects."""
-    n = a.projects.agg(F.count("*").cast("long").alias("projects"))
-    of = lambda kind, name: F.count_if(F.col("artifact") == kind).cast("long").alias(name)
-    art = a.artifacts.agg(of("component", "components"), of("injectable", "services"))
-    return n.join(F.broadcast(art)).join(F.broadcast(a.routes.agg(F.count("*").cast("long").alias("routes"))))  # three rows of one line each
+summary = document.summary
 
 
 def brief_tables(a: Audit) -> dict[str, DataFrame]:
@@ -219,30 +214,14 @@ def brief_tables(a: Audit) -> dict[str, DataFrame]:
     return {"health": brief.health(a.findings, a.cycles, a.groups, a.hotspots), "tasks": tasks, "areas": brief.areas(a.findings, a.cycles, tasks, a.groups, a.hotspots)}
 
 
-def report(a: Audit, generated_at: str, root: str = ".") -> dict:
-    """The nested report document.  It is one JSON text by definition, so its rows go through the driver (`rows` streams them);
-    larger reports are the tables themselves."""
-    rows = lambda df: [r.asDict(True) for r in df.toLocalIterator()]
-    found = sorted(rows(a.findings.drop("source_path", "cls")), key=lambda r: (r["file_path"], r["code"], r["line"] or 0))
-    folders = rows(tree.folder_counts(a.nodes))
-    return {
-        "schemaVersion": 7, "generatedAt": generated_at, "workspaceRoot": root, "angularJsonPath": f"{root.rstrip('/')}/{W.MANIFEST}",
-        "summary": rows(summary(a))[0], "projects": rows(a.projects), "artifacts": rows(a.artifacts), "routes": rows(a.routes),
-        "projectTree": views.nested_folders(folders) if folders else {"path": "", "files": 0, "folders": []}, "importGraph": {"nodes": sorted(r["file_path"] for r in rows(a.nodes)), "edges": rows(a.edges)}, "cycles": rows(a.cycles),
-        "analyzerCategories": sorted({r["category"] for r in found}), "findings": [{k: v for k, v in r.items() if v is not None} for r in found], "complexity": rows(a.complexity),
-        "symbols": {"classes": rows(a.classes), "methods": rows(a.methods), "methodReferences": rows(a.references.drop("class_name", "name")), "tree": rows(views.symbol_tree(a.classes, a.methods).select("id", "method_ids"))},
-        "duplicateGroups": rows(a.groups.drop("sort_key")), "hotspots": rows(hotspots.top(a.hotspots, None)),
-    }
-
-
 def write(a: Audit, root: str, generated_at: str) -> str:
-    """report.json, brief.json and brief.md in the configured folder inside the workspace."""
+    """report.json, brief.json and brief.md in the configured folder inside the workspace; executors write the report."""
     out = C.output_dir(root, a.config.output_dir)
     os.makedirs(out, exist_ok=True)
     b = {k: [r.asDict(True) for r in df.collect()] for k, df in brief_tables(a).items()}
-    for name, doc in (("report.json", report(a, generated_at, root)), ("brief.json", {"schemaVersion": 1, **b})):
-        with open(os.path.join(out, name), "w", encoding="utf-8") as f:
-            f.write(json.dumps(doc, indent=2, default=str) + "\n")
+    json_document.write(document.report_lines(a, generated_at, root, W.MANIFEST), os.path.join("file://" + os.path.abspath(out), "report.json"))
+    with open(os.path.join(out, "brief.json"), "w", encoding="utf-8") as f:
+        f.write(json.dumps({"schemaVersion": 1, **b}, indent=2, default=str) + "\n")
     with open(os.path.join(out, "brief.md"), "w", encoding="utf-8") as f:
         f.write(markdown(b))
     return out

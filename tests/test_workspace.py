@@ -134,11 +134,28 @@ def test_outputs(spark, done, root):
     out = A.write(done, root, "2020-01-01T00:00:00Z")
     doc = json.load(open(f"{out}/report.json"))
     assert doc["schemaVersion"] == 7 and len(doc["findings"]) == 18 and doc["workspaceRoot"] == root
-    assert doc["summary"] == {"projects": 2, "components": 2, "services": 1, "routes": 3} and doc["analyzerCategories"] == ["architecture", "components", "lifecycle", "services"]
-    assert doc["projectTree"]["folders"][0]["path"] == "src" and {c["name"] for c in doc["symbols"]["classes"]} == {"PanelComponent", "CardComponent", "DataService", "Other"}
+    assert doc["summary"] == {"projects": 2, "components": 2, "services": 1, "routes": 3}
+    assert [c["id"] for c in doc["analyzerCategories"]] == ["projectTree", "components", "services", "routes", "imports", "lifecycle", "duplication", "symbols", "hotspots"] and sum(len(c["findingCodes"]) for c in doc["analyzerCategories"]) == 22
+    assert doc["projectTree"]["projects"][1]["sourceRoots"][0]["rootFolder"]["path"] == "src" and doc["projectTree"]["projects"][0] == {"name": "none", "root": "lib", "sourceRoot": None, "sourceRoots": []}
+    assert {c["name"] for c in doc["symbols"]["classes"]} == {"PanelComponent", "CardComponent", "DataService", "Other"}
     own = reports.checked(reports.documents(spark, f"{out}/report.json")).select("error").first()
     assert own.error is None
-    assert reports.findings(reports.documents(spark, f"{out}/report.json")).count() == 18
+    read = reports.documents(spark, f"{out}/report.json")
+    for narrow in (False, True):  # nothing that was written is lost to either reader
+        back = reports.findings(read, narrow).collect()
+        assert sorted((r.code, r.file_path, r.message) for r in back) == sorted((r.code, r.file_path, r.message) for r in done.findings.collect())
+        assert all(r.file_path and r.why_it_matters and r.metadata != "{}" for r in back if r.code not in ("lifecycle-toSignal-manualCleanup",))
+    panel = {f["code"]: f["metadata"] for f in doc["findings"] if f["filePath"].endswith("panel.component.ts")}
+    assert panel["component-http-calls"] == {"projectName": "shop", "componentFilePath": "src/app/panel.component.ts", "httpPropertyName": "http", "methods": ["get"]}
+    assert panel["lifecycle-addEventListener-no-remove"] | {"line": 0, "column": 0} == {"className": "PanelComponent", "line": 0, "column": 0, "targetText": "window", "eventName": "resize", "handlerText": "this.onResize"}
+    assert [f["category"] for f in doc["findings"]] == sorted((f["category"] for f in doc["findings"]), key=["components", "services", "routes", "architecture", "lifecycle"].index)
+    shop = next(p for p in doc["projects"] if p["name"] == "shop")
+    assert [c["filePath"] for c in shop["components"]] == ["src/app/card.component.ts", "src/app/panel.component.ts"] and [r["path"] for r in shop["routes"]] == ["", "deep", "info"] and shop["directives"] == []
+    app = doc["projectTree"]["projects"][1]["sourceRoots"][0]["rootFolder"]["folders"][0]
+    assert app["path"] == "src/app" and [f["filePath"] for f in app["files"]] == [f"src/app/{n}.ts" for n in ("card.component", "data.service", "other", "panel.component")] and len(app["services"]) == 1 and app["folders"] == []
+    assert [c["methodIds"] for c in app["files"][2]["classes"]] == [["method:src/app/other.ts#Other.renamed@19", "method:src/app/other.ts#Other.sum@3"]]
+    assert [(g["kind"], len(g["occurrences"])) for g in doc["duplicateGroups"]] == [("exact", 2), ("normalized", 3)] and all(o["methodId"].startswith("method:src/app/") for g in doc["duplicateGroups"] for o in g["occurrences"]) and doc["duplicateGroups"][0]["preview"].startswith("{")
+    assert doc["importGraph"]["cycles"] == 1 and doc["hotspotScores"][0]["score"] >= doc["hotspotScores"][-1]["score"] and doc["symbols"]["files"][0] == {"id": "file:src/app/card.component.ts", "filePath": "src/app/card.component.ts"}
     brief = json.load(open(f"{out}/brief.json"))
     assert {a["area"]: a["priority"] for a in brief["areas"]}["lifecycle"] == "P0" and brief["health"][0]["n_cycles"] == 1
     assert open(f"{out}/brief.md").read().startswith("# Brief: ")
