@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+SEVERITIES = ("error", "warning", "info")
+
 
 def snapshot_counts(findings: DataFrame, key: str) -> DataFrame:
     """Of each scan: findings by severity and the number of codes."""
@@ -31,3 +33,44 @@ def newest(history: DataFrame, order: str, tie: str, most: int = 20) -> DataFram
     """What a history keeps: its newest scans, with their recency (1 = latest)."""
     kept = history.orderBy(F.desc(order), F.desc(tie)).limit(most)
     return kept.withColumn("recency", F.row_number().over(Window.orderBy(F.desc(order), F.desc(tie))).cast("long"))
+
+
+def records(found: DataFrame, key: str) -> DataFrame:
+    """One record a scan: findingsTotal, findingsBySeverity, findingsByCategory (category and severity) and findingsByCode as maps.
+
+    Counts are partial before the shuffle; a map has an entry for each code or category of a scan."""
+    codes = found.groupBy(key, "code").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("findingsByCode"))
+    by = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    name = F.coalesce("category", F.lit("unknown")).alias("category")
+    each = found.groupBy(key, name).agg(*by)
+    table = lambda: F.create_map(*[x for s in SEVERITIES for x in (F.lit(s), F.col(s))])
+    cats = each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.struct(*SEVERITIES).alias("v"))))).alias("c"))
+    cats = cats.select(key, F.transform_values("c", lambda _, v: F.create_map(*[x for s in SEVERITIES for x in (F.lit(s), v[s])])).alias("findingsByCategory"))
+    total = each.groupBy(key).agg(*[F.sum(s).alias(s) for s in SEVERITIES]).select(key, sum(F.col(s) for s in SEVERITIES).alias("findingsTotal"), table().alias("findingsBySeverity"))
+    return total.join(cats, key).join(codes, key)
+
+
+def compared(old: DataFrame, new: DataFrame, by: list[str] | None = None, most: int = 12) -> DataFrame:
+    """Pairs of scan records (equal in the columns of `by`) with `delta`, eleven differences, and `topCodeDeltas`, the codes whose
+    counts differ: greatest change first, ties in the order of the old record and then of the new one."""
+    counts = ["duplicatesGroupCount", "hotspotsCount", "findingsTotal"]
+    used = ["id", "summary", "importGraph", *counts, "findingsBySeverity", "findingsByCode"]
+    a, b = (x.select(*(by or []), F.struct(*[c for c in used if c in x.columns]).alias(n)) for x, n in ((old, "from"), (new, "to")))
+    both = a.join(b, by) if by else a.join(F.broadcast(b))  # without keys each side is one record
+    have = [c for c in used if c in old.columns]
+    diff = lambda f: (F.coalesce(F.col(f"to.{f}"), F.lit(0)) - F.coalesce(F.col(f"from.{f}"), F.lit(0))).alias(f.split(".")[-1])
+    parts = [diff(f"summary.{k}") for k in ("projects", "components", "services", "routes") if "summary" in have] + [diff("findingsTotal"), F.struct(*[diff(f"findingsBySeverity.{s}") for s in SEVERITIES]).alias("findingsBySeverity")]
+    parts += [diff(c) for c in counts[:2] if c in have] + [diff(f"importGraph.{k}").alias("import" + k.capitalize()) for k in ("nodes", "edges", "cycles") if "importGraph" in have]
+    none = lambda side: F.coalesce(F.col(f"{side}.findingsByCode"), F.create_map().cast("map<string,double>"))
+    zipped = F.map_entries(F.map_zip_with(none("from"), none("to"), lambda k, x, y: F.struct(F.coalesce(x, F.lit(0)).alias("from"), F.coalesce(y, F.lit(0)).alias("to"))))
+    rows = F.transform(zipped, lambda e, i: F.struct((-F.abs(e["value"]["to"] - e["value"]["from"])).alias("d"), i.alias("i"), F.struct(e["key"].alias("code"), e["value"]["from"].alias("from"), e["value"]["to"].alias("to"), (e["value"]["to"] - e["value"]["from"]).alias("delta")).alias("r")))
+    top = F.transform(F.slice(F.array_sort(F.filter(rows, lambda e: e["d"] != 0)), 1, most), lambda e: e["r"])
+    return both.select(*(by or []), "from", "to", F.struct(*parts).alias("delta"), top.alias("topCodeDeltas"))
+
+
+def picked(history: DataFrame, from_id: str, to_id: str) -> DataFrame:
+    """The comparison of two scans of a history by id; no row where an id is unknown or both are the same."""
+    if not from_id or from_id == to_id:
+        return compared(history.limit(0), history.limit(0))
+    one = lambda i: history.where(F.col("id") == i).limit(1)
+    return compared(one(from_id), one(to_id))

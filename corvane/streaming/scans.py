@@ -17,16 +17,34 @@ def daily_counts(found: DataFrame, lateness: str = "1 day") -> DataFrame:
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "total", *SEVERITIES)
 
 
-def keep(counts: DataFrame, path: str, checkpoint: str, **trigger):
-    """Append finished days to a history table.  A batch writes its own folder, so one that is run again after a failure
-    replaces what it had written."""
+def _states(spark, path: str) -> list[tuple[int, str]]:
+    """The finished states of a history, oldest first."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    top = name(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(top)]
+    return sorted((int(n.split("=")[1]), p.toString()) for n, p in found if n.startswith("state=") and fs.exists(name(p, "_SUCCESS")))
+
+
+def keep(counts: DataFrame, path: str, checkpoint: str, most: int = 20, order: str = "day", tie: str = "day", **trigger):
+    """Keep the newest `most` scans of a stream.  A batch writes the whole kept list as a new state, made of the newest finished
+    state before it; readers take the newest finished one, so a crash while writing leaves the old list in force, a batch that is
+    run again writes the same, and older states go only after the new one stands."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        spark = batch.sparkSession
+        before = [p for n, p in _states(spark, path) if n < epoch]
+        rows = batch.unionByName(spark.read.parquet(before[-1])) if before else batch
+        rows.orderBy(F.desc(order), F.desc(tie)).limit(most).coalesce(1).write.mode("overwrite").parquet(f"{path}/state={epoch}")
+        name = spark._jvm.org.apache.hadoop.fs.Path
+        for old in before[:-1]:  # the last one stays, should this batch be run again
+            name(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name(old), True)
 
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def history(spark, path: str, most: int = 20) -> DataFrame:
     """The newest days of a history."""
-    return newest(spark.read.parquet(path).drop("batch"), "day", "day", most)
+    return newest(spark.read.parquet(_states(spark, path)[-1][1]), "day", "day", most)
