@@ -119,4 +119,14 @@ SQL = {
  UNION ALL SELECT 'cycles', (SELECT count(*) FROM cyc) UNION ALL SELECT 'duplicates', (SELECT count(*) FROM groups) UNION ALL SELECT 'hotspots', (SELECT count(*) FROM scores)""",
     "categories": f"WITH {FIND} SELECT category, row_number() OVER (ORDER BY category) AS rank FROM (SELECT DISTINCT category FROM find)",
 }
+SQL |= {
+    "scan_records": f"WITH {DAYS}, s AS (SELECT *, code[1] AS category FROM scans), t AS (SELECT day, count(*) AS n FROM s GROUP BY day) SELECT day, t.n AS findingsTotal, 'category' AS part, category AS name, {SEV} FROM s JOIN t USING (day) GROUP BY day, t.n, category UNION ALL SELECT day, t.n, 'code', code, count(*), 0, 0 FROM s JOIN t USING (day) GROUP BY day, t.n, code",
+    "scan_comparison": f"""WITH {DAYS}, p AS (SELECT a.day AS base, b.day AS after, b.total - a.total AS total, b.error - a.error AS error, b.warning - a.warning AS warning, b.info - a.info AS info FROM days a JOIN days b ON CAST(b.day AS DATE) = CAST(a.day AS DATE) + 1),
+c AS (SELECT p.base, k.code, (SELECT count(*) FROM scans s WHERE s.day = p.base AND s.code = k.code) AS f, (SELECT count(*) FROM scans s WHERE s.day = p.after AND s.code = k.code) AS t FROM p, (SELECT DISTINCT code FROM scans) k),
+r AS (SELECT base, code || ' ' || f || ' ' || t || ' ' || (t - f) AS x, row_number() OVER (PARTITION BY base ORDER BY abs(t - f) DESC, f = 0, code) AS k FROM c WHERE t <> f)
+SELECT base, total, error, warning, info, coalesce((SELECT string_agg(x, ';' ORDER BY k) FROM r WHERE r.base = p.base AND k <= 12), '') AS codes FROM p""",
+    "report_rows": """WITH d AS (SELECT doc_id AS i, coalesce(text, '')[1:9] AS t FROM documents WHERE doc_id IS NOT NULL)
+SELECT CAST(i AS VARCHAR) AS document, 'class' AS part, 'c' || i AS id, t AS label, CAST(i AS DOUBLE) AS n FROM d WHERE i % 7 <> 0 AND i % 5 <> 0 AND t <> ''
+UNION ALL SELECT CAST(i AS VARCHAR), 'group', 'dup:exact:' || CASE WHEN i % 6 = 0 THEN '' ELSE CAST(i AS VARCHAR) END, 'exact', CASE WHEN i % 3 = 0 THEN 0 ELSE 2 END FROM d WHERE i % 4 <> 0""",
+}
 SQL |= {standin.rule_name(c): standin_sql.rule(c) for c in standin.CODES} | standin_sql.SQL | standin_typed.SQL

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, snapshots, tree
 from corvane.plans import standin, standin_typed, views
-from corvane.sources import config, reports
+from corvane.sources import config, normal, reports
 
 LINES, CHARS, STRONG = 8, 8_000, 40
 RULES = {"service-large-ts": "error", "component-missing-spec": "off"}
@@ -221,6 +221,38 @@ def scan_history(s, d):
     return snapshots.newest(snapshots.snapshot_counts(scans(s, d), "day"), "day", "day", 20).select("day", "total", "recency")
 
 
+def scan_records(s, d):
+    """Snapshot records of all days: counts by category and severity, and by code, as rows."""
+    r = snapshots.records(scans(s, d).withColumn("category", F.substring("code", 1, 1)), "day")
+    cats = r.select("day", "findingsTotal", F.explode("findingsByCategory").alias("name", "v")).select("day", "findingsTotal", F.lit("category").alias("part"), "name", F.col("v.error").alias("error"), F.col("v.warning").alias("warning"), F.col("v.info").alias("info"))
+    codes = r.select("day", "findingsTotal", F.explode("findingsByCode").alias("name", "n")).select("day", "findingsTotal", F.lit("code").alias("part"), "name", F.col("n").alias("error"), F.lit(0).cast("long").alias("warning"), F.lit(0).cast("long").alias("info"))
+    return cats.union(codes)
+
+
+def scan_comparison(s, d):
+    """Every day's record against the day before: differences and the codes that changed most."""
+    r = snapshots.records(scans(s, d).withColumn("category", F.lit("events")), "day").withColumn("then", F.date_format(F.date_add(F.to_date("day"), -1), "yyyy-MM-dd"))
+    pairs = snapshots.compared(r.withColumnRenamed("day", "base").drop("then"), r.withColumnRenamed("then", "base"), ["base"])
+    top = F.transform("topCodeDeltas", lambda c: F.concat_ws(" ", c["code"], c["from"].cast("string"), c["to"].cast("string"), c["delta"].cast("string")))
+    return pairs.select("base", F.col("delta.findingsTotal").alias("total"), *[F.col(f"delta.findingsBySeverity.{x}").alias(x) for x in ("error", "warning", "info")], F.array_join(top, ";").alias("codes"))
+
+
+def report_rows(s, d):
+    """Classes and duplicate groups of reports that documents were made into, some with fields of wrong types."""
+    i = F.col("doc_id")
+    odd = lambda n, good, bad: F.when(i % n == 0, bad).otherwise(good)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    klass = F.concat(F.lit('{"id":'), odd(7, quoted(F.concat(F.lit("c"), i)), F.lit("5")), F.lit(',"name":'), F.to_json(F.struct(F.substring(F.coalesce("text", F.lit("")), 1, 9).alias("t"))), F.lit(',"startLine":'), odd(5, i.cast("string"), F.lit('"x"')), F.lit(',"endLine":9.5,"filePath":"f"}'))
+    klass = F.regexp_replace(klass, r'"name":\{"t":(.*)\},"startLine"', '"name":$1,"startLine"')
+    place = F.concat(F.lit('{"filePath":'), odd(3, F.lit('"p.ts"'), F.lit("null")), F.lit(',"startLine":1,"endLine":'), i.cast("string"), F.lit("}"))
+    group = F.concat(F.lit('{"kind":'), odd(4, F.lit('"exact"'), F.lit('"other"')), F.lit(',"hash":'), odd(6, quoted(i.cast("string")), F.lit("[]")), F.lit(',"occurrences":['), place, F.lit(","), place, F.lit(",7]}"))
+    report = F.concat(F.lit('{"symbols":{"classes":[null,'), klass, F.lit(']},"duplicateGroups":['), group, F.lit("]}"))
+    docs = table(s, d, "documents").where("doc_id is not null").select(i.cast("string").alias("name"), F.try_parse_json(report).alias("doc"))
+    classes = normal.table(docs, "classes").select("document", F.lit("class").alias("part"), "id", F.col("name").alias("label"), F.col("startLine").alias("n"))
+    groups = normal.table(docs, "groups").select("document", F.lit("group").alias("part"), "id", F.col("kind").alias("label"), F.size("occurrences").cast("double").alias("n"))
+    return classes.union(groups)
+
+
 def folder_tree(s, d):
     p = table(s, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("file_path"), F.char_length("html").alias("chars"))
     return tree.folder_counts(p, measures=("chars",))
@@ -308,7 +340,7 @@ def categories(s, d):
 
 NAMES = """line_counts size_findings severity_counts category_pivot code_counts grouped_findings filtered_findings sorted_findings missing_specs
 concern_signals duplicate_groups duplicate_occurrences duplicate_file_stats duplicate_view import_edges import_fans import_components import_cycles
-graph_summary hotspot_scores hotspot_top health brief_tasks brief_areas scan_snapshots scan_deltas scan_code_deltas scan_history folder_tree
+graph_summary hotspot_scores hotspot_top health brief_tasks brief_areas scan_snapshots scan_deltas scan_code_deltas scan_history scan_records scan_comparison report_rows folder_tree
 strict_props stable_ids excluded_files unmatched_uses capped_references page_links repeated_links source_context previews signal_matrix
 labelled_duplicates page_counts categories""".split()
 QUERIES = {name: globals()[name] for name in NAMES} | standin.QUERIES | standin_typed.QUERIES

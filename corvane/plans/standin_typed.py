@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import fnv1a_py
-from corvane.operators import blocks, spans, types
+from corvane.operators import blocks, findings as R, graph, orders, spans, types
 from corvane.operators.session import checkpointing
 from corvane.sources import typed
 from corvane.sources.typescript import exact_block, raw_tokens
@@ -44,12 +44,20 @@ export const later = class Named%d { get it() { return make(); } };
 """
 
 
+STEMS = ("b", "B", "é", "e", "_x", "-x", "Z", "ä")
+ORDERED = "import './%s';\nexport class K%d {\n" + "  // pad\n" * 6 + "  run() { return this.run(); }\n  run() { return this.run(); }\n  Run() { return 1; }\n}\n"
+
+
 def block(c: int) -> str:
     return "{\n  let total = 0;\n" + "".join(f"  total = total + step(values[{k}], weight, offset, {c}) * scale;\n" for k in range(11)) + "  return total;\n}"
 
 
+def stem(i: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, STEMS)), (i % len(STEMS)).cast("int") + 1)
+
+
 def files(spark: SparkSession, sf: str, *folders: str) -> DataFrame:
-    """(file_path, text) of some folders: lib, use, blk, cls."""
+    """(file_path, text) of some folders: lib, use, blk, cls, ord."""
     d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.groupBy("i").agg(F.min("t").alias("t"))
     quoted = F.replace(F.replace(F.replace(F.replace("t", F.lit("\r"), F.lit(" ")), F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("${"), F.lit("\\${"))
@@ -62,6 +70,7 @@ def files(spark: SparkSession, sf: str, *folders: str) -> DataFrame:
         "use": [one("use/u%d.ts", F.concat(F.lit("const note = `"), quoted, F.lit("`;\n"), F.replace(_fmt(USER), F.lit("'../lib/b'"), F.concat(F.lit("'../lib/b"), F.expr("cast(i div 10 as string)"), F.lit("'")))))],
         "blk": [one("blk/f%d.ts", F.element_at(F.array(*kinds), F.expr("cast(i % 4 as int)") + 1))],
         "cls": [one("cls/k%d.ts", _fmt(NESTED))],
+        "ord": [F.struct(F.format_string("ord/%s%d.ts", stem(F.col("i")), "i").alias("file_path"), F.format_string(ORDERED, F.concat(stem(F.col("i") + 3), (F.col("i") + 3).cast("string")), "i").alias("text"))],
     }
     out = d.select(F.explode(F.array_compact(F.array(*[r for f in folders for r in rows[f]]))).alias("f")).select("f.*")
     if "lib" in folders:
@@ -102,6 +111,45 @@ def tree_members(s: SparkSession, d: str) -> DataFrame:
     return x.where("kind = 'member'").drop("base", "of", "steps").join(names, "cls").select("file_path", "class_name", F.col("name").alias("member"), F.col("other").alias("member_kind"), F.col("static").alias("is_static"))
 
 
+def locale_methods(s: SparkSession, d: str) -> DataFrame:
+    """Methods by path, class, name and line as text: letters before case, 10 before 9."""
+    m = typed.extract(files(s, d, "ord")).where("kind = 'member'").select("file_path", F.regexp_extract("cls", "#(.*)@", 1).alias("class_name"), "name", F.col("line").alias("start_line"))
+    return R.number_rows(m, orders.methods(), "rank").select("rank", "file_path", "name", "start_line")
+
+
+def locale_occurrences(s: SparkSession, d: str) -> DataFrame:
+    """Places by path and line as text."""
+    m = typed.extract(files(s, d, "ord")).where("kind = 'member'").select("file_path", F.col("line").alias("start_line"))
+    return R.number_rows(m, orders.occurrences(), "rank").select("rank", "file_path", "start_line")
+
+
+def locale_references(s: SparkSession, d: str) -> DataFrame:
+    """Uses of methods by method, path, line and column as text."""
+    checkpointing(s)
+    f = files(s, d, "ord")
+    refs = types.references(typed.extract(f).checkpoint(), f.select("file_path"))
+    return R.number_rows(refs, orders.references(), "rank").select("rank", "method_id", "file_path", "line", "col")
+
+
+def locale_findings(s: SparkSession, d: str) -> DataFrame:
+    """Rows of files by path and code, ties in the order in which they were found."""
+    x = typed.extract(files(s, d, "ord")).where("kind in ('member', 'ref')").select("file_path", F.col("kind").alias("code"), "ord", "name", "line")
+    return R.number_rows(x, orders.findings(), "rank").select("rank", "file_path", "code", "name", "line")
+
+
+def locale_edges(s: SparkSession, d: str) -> DataFrame:
+    """Import edges by source and target."""
+    f = files(s, d, "ord")
+    specs = typed.extract(f).where("kind = 'import'").select("file_path", "spec")
+    e = graph.resolve(specs, f.select("file_path"))
+    return R.number_rows(e, orders.paths("src", "dst"), "rank").select("rank", "src", "dst")
+
+
+def duplicate_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Groups of repeated blocks, greatest saving first."""
+    return R.number_rows(blocks.repeated(blocks.of(typed.extract(files(s, d, "blk")))), orders.duplicate_candidates(), "rank").select("rank", "id", "occurrences")
+
+
 _DOCS = "d AS (SELECT i, min(t) AS t FROM (SELECT doc_id AS i, replace(coalesce(text, ''), chr(13), ' ') AS t FROM documents WHERE doc_id IS NOT NULL) GROUP BY i)"
 _NOTE = "'const note = `' || replace(replace(replace(t, '\\', '\\\\'), '`', '\\`'), '${', '\\${') || '`;'"
 _TAIL = "chr(10) || replace(replace('" + USER.replace("'", "''") + "', '%d', CAST(i AS VARCHAR)), '../lib/b', '../lib/b' || (i // 10))"
@@ -120,5 +168,18 @@ SELECT 'use/u' || i || '.ts' AS file_path, CAST(nth AS INT) AS nth, CAST(length(
     "tree_members": f"""WITH {_DOCS} SELECT 'cls/k' || i || '.ts' AS file_path, replace(c, '%d', CAST(i AS VARCHAR)) AS class_name, m AS member, k AS member_kind, s AS is_static
 FROM d, (VALUES ('Inner%d', 's', 'field', true), ('Inner%d', 'go', 'method', false), ('', 'deep', 'method', false), ('Named%d', 'it', 'get', false)) x(c, m, k, s)""",
 }
+_STEM = "(" + str(list(STEMS)) + ")[%s %% " + str(len(STEMS)) + " + 1] || (%s)"
+_FILE = f"'ord/' || {_STEM % ('i', 'i')} || '.ts'"
+_KEY = "icu_sort_key(%s, 'en')"
+_N = "row_number() OVER (ORDER BY %s) AS rank"
+_LINES9 = "(VALUES ('run', 9), ('run', 10), ('Run', 11)) m(name, l)"
+SQL |= {
+    "locale_methods": f"WITH {_DOCS}, x AS (SELECT {_FILE} AS file_path, 'K' || i AS c, name, CAST(l AS INT) AS start_line FROM d, {_LINES9}) SELECT {_N % (_KEY % 'file_path || chr(10) || c || chr(10) || name || chr(10) || start_line')}, file_path, name, start_line FROM x",
+    "locale_occurrences": f"WITH {_DOCS}, x AS (SELECT {_FILE} AS file_path, CAST(l AS INT) AS start_line FROM d, {_LINES9}) SELECT {_N % (_KEY % 'file_path || chr(10) || start_line')}, file_path, start_line FROM x",
+    "locale_references": f"WITH {_DOCS}, x AS (SELECT {_FILE} AS file_path, i, CAST(l AS INT) AS line, 23 AS col FROM d, (VALUES (9), (10)) m(l)), y AS (SELECT *, 'method:' || file_path || '#K' || i || '.run@10' AS method_id FROM x) SELECT {_N % (_KEY % 'method_id || chr(10) || file_path || chr(10) || line || chr(10) || col')}, method_id, file_path, line, col FROM y",
+    "locale_findings": f"WITH {_DOCS}, x AS (SELECT {_FILE} AS file_path, code, name, CAST(l AS INT) AS line, o FROM d, (VALUES ('member', 'run', 9, 0), ('member', 'run', 10, 1), ('member', 'Run', 11, 2), ('ref', 'run', 9, 3), ('ref', 'run', 10, 4)) m(code, name, l, o)) SELECT {_N % (_KEY % 'file_path || chr(10) || code' + ', o')}, file_path, code, name, line FROM x",
+    "locale_edges": f"WITH {_DOCS}, f AS (SELECT {_FILE} AS src, 'ord/' || {_STEM % ('(i + 3)', 'i + 3')} || '.ts' AS dst FROM d), e AS (SELECT src, dst FROM f WHERE dst IN (SELECT src FROM f)) SELECT {_N % (_KEY % 'src' + ', ' + _KEY % 'dst')}, src, dst FROM e",
+    "duplicate_candidates": "WITH g AS (" + SQL["block_groups"] + ") SELECT row_number() OVER (ORDER BY line_count * occurrences DESC, icu_sort_key(id, 'en')) AS rank, id, occurrences FROM g",
+}
 NAMES = list(SQL)
 QUERIES = {n: globals()[n] for n in NAMES}

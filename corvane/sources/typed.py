@@ -131,7 +131,7 @@ class Reader:
                     for there, here in names:
                         self.put("export", name=here, spec=spec, other=there)
             if s.kind == "import" and s.extra and s.extra[1]:
-                for there, local in s.extra[0]:
+                for there, local in s.extra[0] or [(None, None)]:
                     self.put("import", name=local, spec=s.extra[1], other=there)
 
     def _declared(self, what: object, scope: Scope) -> Value | None:
