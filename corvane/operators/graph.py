@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from corvane.functions.scalars import dirname, extname
 from corvane.operators.session import checkpointing
 
+#: Edges that one task takes for strongly connected components.
+CORE = 500_000
+
 
 def resolve(imports: DataFrame, nodes: DataFrame, dotted: bool = False) -> DataFrame:
     """Distinct edges (src, dst) of `resolved`."""
@@ -85,17 +91,112 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ptr.select("v", "low", "last", F.when(~F.col("going"), F.col("to")).alias("tail")), thin
 
 
-def cyclic_components(edges: DataFrame) -> DataFrame:
+def _tarjan(src: list, dst: list) -> list[tuple]:
+    """(node, smallest node of its component) of components of two nodes or more."""
+    out: dict = {}
+    for a, b in zip(src, dst):
+        out.setdefault(a, []).append(b)
+    order: dict = {}
+    low: dict = {}
+    held: list = []
+    on: set = set()
+    found = []
+    for root in out:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        held.append(root)
+        on.add(root)
+        work = [(root, iter(out[root]))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    held.append(w)
+                    on.add(w)
+                    work.append((w, iter(out.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], order[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(held.pop())
+                    on.difference_update(part)
+                    if len(part) > 1:
+                        least = min(part)
+                        found += [(x, least) for x in part]
+    return found
+
+
+def _local(edges: DataFrame, part: Column) -> DataFrame:
+    """(node, scc): components of the edges of each part, one task a part."""
+    kind = edges.schema["src"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(t: pa.Table) -> pa.Table:
+        found = _tarjan(t.column("src").to_pylist(), t.column("dst").to_pylist())
+        return pa.table({"node": pa.array([x for x, _ in found], arrow), "scc": pa.array([x for _, x in found], arrow)})
+
+    schema = f"node {kind.simpleString()}, scc {kind.simpleString()}"
+    return edges.select("src", "dst", part.alias("part")).groupBy("part").applyInArrow(lambda t: run(t.drop_columns(["part"])), schema)
+
+
+def cyclic_components(edges: DataFrame, core: int = CORE) -> DataFrame:
     """(node, scc): nodes on cycles with the smallest node of their strongly connected component (self-loops included).
 
-    What can't lie on a cycle is trimmed.  Chains of nodes with one predecessor and one successor become one edge each, by
-    pointer doubling, so that long cycles take rounds by the logarithm of their length.  The rest is coloured forward: the
-    greatest node that reaches v is v's colour; the nodes of a colour that reach its root back are that root's component.  They
-    are taken out and the rest goes on.  Every round is checkpointed."""
+    Up to `core` edges are one task's work, whatever the shape of the graph: the count decides, and no graph that is larger gets
+    there.  A larger graph first loses what can't lie on a cycle, then shrinks in rounds: nodes are dealt out, by neighbourhood of
+    their names and by hash in turn, so that a part has about `core` edges between its own nodes, the components that a part sees
+    become one node each, and what is left is trimmed again.  What won't shrink to one task's size goes on with chains and colours
+    (`_spread_out`)."""
+    checkpointing(edges.sparkSession)
     kind = edges.schema["src"].dataType
-    left = trimmed(edges)
-    if not left.limit(1).count():
-        return edges.select(F.col("src").cast(kind).alias("node"), F.col("src").alias("scc")).where("false")
+    left = edges.where("src <> dst").distinct().checkpoint()
+    loops = edges.where("src = dst").select(F.col("src").cast(kind).alias("node"), F.col("src").alias("scc")).distinct()
+    maps, n, idle = [], left.count(), 0
+    if n > core:
+        left = trimmed(left)
+        n = left.count()
+    while n > core and idle < 2:
+        parts = -(-n // max(1, core))
+        if len(maps) % 2 == idle % 2:  # neighbours by name: cuts of equal numbers of edges
+            cuts = left.stat.approxQuantile("src", [k / parts for k in range(1, parts)], 0.01) if isinstance(kind, NumericType) else None
+            place = (lambda c: F.lit(0) if not cuts else sum(((F.col(c) > x).cast("int") for x in cuts), F.lit(0))) if cuts and len(cuts) <= 200 else lambda c: F.crc32(F.substring_index(F.col(c).cast("string"), "/", -1 - len(maps)).cast("binary")) % parts
+        else:
+            place = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(len(maps))), F.lit(parts))
+        near = left.withColumn("p", place("src")).where(F.col("p") == place("dst"))
+        m = _local(near.select("src", "dst", "p"), F.col("p")).checkpoint()
+        idle = 0 if m.limit(1).count() else idle + 1
+        maps.append(m)
+        a, b = m.select(F.col("node").alias("src"), F.col("scc").alias("s1")), m.select(F.col("node").alias("dst"), F.col("scc").alias("s2"))
+        left = left.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s1", "src").alias("src"), F.coalesce("s2", "dst").alias("dst")).where("src <> dst").distinct()
+        left = trimmed(left)
+        n = left.count()
+    found = _local(left, F.lit(0)) if n <= core else _spread_out(left)
+    for m in reversed(maps):
+        up = found.select(F.col("node").alias("scc"), F.col("scc").alias("top"))
+        inner = m.join(up, "scc", "left").select("node", F.coalesce("top", "scc").alias("scc"))
+        found = inner.unionByName(found.join(m.select("node"), "node", "left_anti"))
+    if maps:
+        found = found.checkpoint()
+        low = found.groupBy("scc").agg(F.min("node").alias("low"))
+        found = found.join(low, "scc").select("node", F.col("low").alias("scc"))
+    found = found.checkpoint()
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def _spread_out(left: DataFrame) -> DataFrame:
+    """(node, scc) of a graph that is too large for a task.
+
+    Chains of nodes with one predecessor and one successor become one edge each, by pointer doubling.  The rest is coloured
+    forward: the greatest node that reaches v is v's colour; the nodes of a colour that reach its root back are that root's
+    component.  They are taken out and the rest goes on.  Every round is checkpointed; rounds follow the graph's diameter."""
     ptr, thin = _chains(left)
     a, b = thin.withColumnRenamed("v", "src"), thin.withColumnRenamed("v", "dst")
     enter = left.join(a, "src", "left_anti").join(ptr.select(F.col("v").alias("dst"), "last", "tail"), "dst").select("src", "last", "tail").checkpoint()

@@ -233,7 +233,7 @@ def scan_comparison(s, d):
     """Every day's record against the day before: differences and the codes that changed most."""
     r = snapshots.records(scans(s, d).withColumn("category", F.lit("events")), "day").withColumn("then", F.date_format(F.date_add(F.to_date("day"), -1), "yyyy-MM-dd"))
     pairs = snapshots.compared(r.withColumnRenamed("day", "base").drop("then"), r.withColumnRenamed("then", "base"), ["base"])
-    top = F.transform("topCodeDeltas", lambda c: F.concat_ws(" ", c["code"], c["from"].cast("string"), c["to"].cast("string"), c["delta"].cast("string")))
+    top = F.transform("topCodeDeltas", lambda c: F.concat_ws(" ", c["code"], *[c[k].cast("long").cast("string") for k in ("from", "to", "delta")]))
     return pairs.select("base", F.col("delta.findingsTotal").alias("total"), *[F.col(f"delta.findingsBySeverity.{x}").alias(x) for x in ("error", "warning", "info")], F.array_join(top, ";").alias("codes"))
 
 
