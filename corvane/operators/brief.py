@@ -58,9 +58,10 @@ def lifecycle_tasks(findings: DataFrame) -> DataFrame:
 def oversize_tasks(findings: DataFrame, kind: str, limit: int) -> DataFrame:
     """One task a file with findings of excess size; measure is the line count of the source file."""
     x = findings.where(F.col("code").isin(f"{kind}-large-ts", f"{kind}-large-template"))
-    x = x.groupBy("file_path").agg(F.max(F.when(F.col("code") == f"{kind}-large-ts", F.col("measure"))).alias("lines"), F.array_sort(F.collect_set(_ref())).alias("refs"))
+    x = x.groupBy("file_path").agg(F.max(F.when(F.col("code") == f"{kind}-large-ts", F.col("measure"))).alias("lines"), F.array_sort(F.collect_set(_ref())).alias("refs"), F.max(F.col("template") if "template" in findings.columns else F.lit(None).cast("string")).alias("template"))
+    files = F.array_sort(F.array_distinct(F.array_compact(F.array("file_path", "template"))))
     large = F.coalesce(F.col("lines") >= 2 * limit, F.lit(False))
-    return x.select(stable_id("task-oversize", F.lit(kind), F.col("file_path")).alias("id"), F.lit("oversized").alias("area"), F.concat(F.lit(f"Split large {kind}: "), "file_path").alias("title"), F.array("file_path").alias("affected_files"), F.lit("medium").alias("impact"), F.when(large, "large").otherwise("medium").alias("effort"), "refs")
+    return x.select(stable_id("task-oversize", F.lit(kind), F.col("file_path")).alias("id"), F.lit("oversized").alias("area"), F.concat(F.lit(f"Split large {kind}: "), "file_path").alias("title"), files.alias("affected_files"), F.lit("medium").alias("impact"), F.when(large, "large").otherwise("medium").alias("effort"), "refs")
 
 
 def duplicate_tasks(groups: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import os
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.functions import scalars as X
 from corvane.operators import brief, duplicates, findings as R, graph, hotspots, tree, types
 from corvane.operators.session import checkpointing
-from corvane.plans import document, views
+from corvane.plans import brief_document, document, views
 from corvane.sources import config as C, facts as FACTS, json_document, typed, workspace as W
 
-MAX_INJECTIONS, MAX_ROUTE_LINES = 8, 250
+MAX_INJECTIONS, MAX_ROUTE_LINES, SHOWN = 8, 250, 10
 
 
 @dataclass
@@ -206,7 +206,8 @@ summary = document.summary
 def brief_tables(a: Audit) -> dict[str, DataFrame]:
     """health, tasks and areas of an audit."""
     cyc = brief.cycle_tasks(a.cycles)
-    src = a.findings.withColumn("file_path", F.col("source_path"))
+    external = (F.col("code") == "component-large-template") & (F.col("detail") == "external")
+    src = a.findings.withColumn("template", F.when(external, F.col("file_path"))).withColumn("file_path", F.col("source_path"))
     t = a.config.thresholds
     gaps = a.findings.withColumn("expected", F.col("detail"))
     parts = [cyc, brief.lifecycle_tasks(a.findings), brief.oversize_tasks(src, "component", t["componentTsLines"]), brief.oversize_tasks(src, "service", t["serviceTsLines"]), brief.duplicate_tasks(a.groups, a.occurrences), brief.gap_tasks(gaps), brief.hotspot_tasks(a.hotspots)]
@@ -218,26 +219,29 @@ def write(a: Audit, root: str, generated_at: str) -> str:
     """report.json, brief.json and brief.md in the configured folder inside the workspace; executors write the report."""
     out = C.output_dir(root, a.config.output_dir)
     os.makedirs(out, exist_ok=True)
-    b = {k: [r.asDict(True) for r in df.collect()] for k, df in brief_tables(a).items()}
-    json_document.write(document.report_lines(a, generated_at, root, W.MANIFEST), os.path.join("file://" + os.path.abspath(out), "report.json"))
-    with open(os.path.join(out, "brief.json"), "w", encoding="utf-8") as f:
-        f.write(json.dumps({"schemaVersion": 1, **b}, indent=2, default=str) + "\n")
+    t = brief_tables(a)
+    place = "file://" + os.path.abspath(out)
+    json_document.write(document.report_lines(a, generated_at, root, W.MANIFEST), f"{place}/report.json")
+    json_document.write(brief_document.brief_lines(a, t, generated_at, root), f"{place}/brief.json")
+    rows = lambda df: [r.asDict(True) for r in df.collect()]
+    page = {"health": rows(t["health"]), "areas": rows(t["areas"]), "tasks": rows(brief_document.first_tasks(t["tasks"], SHOWN))}  # one row, six, SHOWN an area
     with open(os.path.join(out, "brief.md"), "w", encoding="utf-8") as f:
-        f.write(markdown(b))
+        f.write(markdown(page))
     return out
 
 
-def markdown(b: dict, most: int = 10, files: int = 3) -> str:
+def markdown(b: dict, files: int = 3) -> str:
+    """A page of a brief: its areas by priority, each with its first tasks."""
     h = b["health"][0]
     lines = [f"# Brief: {h['score']}/100 ({h['grade']})", ""]
-    rank = {"high": 3, "large": 3, "medium": 2}
     for area in sorted(b["areas"], key=lambda a: (a["priority"], brief.AREAS.index(a["area"]))):
-        mine = sorted((t for t in b["tasks"] if t["area"] == area["area"]), key=lambda t: (-rank.get(t["impact"], 1), rank.get(t["effort"], 1), t["title"], t["id"]))
-        lines += [f"## {area['area']} ({area['priority']}): {len(mine)} tasks", ""]
-        for t in mine[:most]:
+        mine = sorted((t for t in b["tasks"] if t["area"] == area["area"]), key=lambda t: t["nth"])
+        lines += [f"## {area['area']} ({area['priority']}): {area['tasks']} tasks", ""]
+        for t in mine:
             more = len(t["affected_files"]) - files
-            lines.append(f"- {t['title']} [{t['impact']}/{t['effort']}]: {', '.join(t['affected_files'][:files])}" + (f" +{more} more" if more > 0 else ""))
-        if len(mine) > most:
-            lines.append(f"_...and {len(mine) - most} more._")
+            safe = re.sub(r"\r?\n", " ", t["title"]).strip()
+            lines.append(f"- {safe} [{t['impact']}/{t['effort']}]: {', '.join(t['affected_files'][:files])}" + (f" +{more} more" if more > 0 else ""))
+        if area["tasks"] > len(mine):
+            lines.append(f"_...and {area['tasks'] - len(mine)} more._")
         lines.append("")
     return "\n".join(lines)

@@ -157,7 +157,15 @@ def test_outputs(spark, done, root):
     assert [(g["kind"], len(g["occurrences"])) for g in doc["duplicateGroups"]] == [("exact", 2), ("normalized", 3)] and all(o["methodId"].startswith("method:src/app/") for g in doc["duplicateGroups"] for o in g["occurrences"]) and doc["duplicateGroups"][0]["preview"].startswith("{")
     assert doc["importGraph"]["cycles"] == 1 and doc["hotspotScores"][0]["score"] >= doc["hotspotScores"][-1]["score"] and doc["symbols"]["files"][0] == {"id": "file:src/app/card.component.ts", "filePath": "src/app/card.component.ts"}
     brief = json.load(open(f"{out}/brief.json"))
-    assert {a["area"]: a["priority"] for a in brief["areas"]}["lifecycle"] == "P0" and brief["health"][0]["n_cycles"] == 1
+    assert {a["id"]: a["priority"] for a in brief["priorityAreas"]}["lifecycle"] == "P0" and brief["priorityAreas"][1]["stats"] == {"cycles": 1, "files": 3}
+    tracks = {t["areaId"]: t for t in brief["tracks"]}
+    assert list(tracks) == [a["id"] for a in brief["priorityAreas"]] and brief["summary"]["findings"]["total"] == 18 and brief["health"]["grade"] in "ABCDF"
+    dup = next(t for t in tracks["duplicates"]["tasks"] if "normalized" in t["title"])
+    assert dup["description"].split("Occurrences:\n")[1] == "\n".join(f"- src/app/{p}" for p in ("data.service.ts:7-22", "other.ts:19-34", "other.ts:3-18")) and dup["evidence"]["duplicateGroupIds"][0].startswith("dup:normalized:")
+    rank = {"high": 0, "medium": 1, "low": 2, "small": 0, "large": 2}
+    keys = [(rank[t["impact"]], rank[t["effort"]], t["title"]) for t in tracks["lifecycle"]["tasks"]]
+    assert keys == sorted(keys) and all(t["description"] and t["affectedFiles"] for k in tracks.values() for t in k["tasks"])
+    assert "TS: " in tracks["oversized"]["tasks"][0]["description"] and tracks["import-cycles"]["tasks"][0]["description"].startswith("Files:\n- src/shared/b.ts")
     assert open(f"{out}/brief.md").read().startswith("# Brief: ")
 
 
