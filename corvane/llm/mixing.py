@@ -50,30 +50,49 @@ def tokens(text: str = "text") -> Column:
 
 
 def fitted(sums, n_min: float, n_max: float, total: float, target: Target) -> tuple[float, float, float]:
-    """(exponent, sum of (n / n_max)^exponent over the sources, budget in tokens).  sums(exponents) gives for each exponent a
-    that sum and the sum of (n / n_max)^a * log2(n / n_max); as a <= 1, the smallest source is repeated most and the greatest
-    one asks for the largest budget, so that nothing else of the sources is needed."""
+    """(exponent, sum of (n / n_max)^exponent over the sources, budget in tokens): the least exponent that meets the target.
+    sums(exponents) gives for each exponent a that sum and the sum of (n / n_max)^a * log2(n / n_max).
+
+    Up to 1 the smallest source is repeated most, beyond it the greatest one; both are looked at, so nothing else of the sources is
+    needed.  Entropy falls as the exponent grows, without end but for sources of equal size; repetition is least at 1.  A target
+    that no exponent meets raises."""
 
     def budget(a: float, norm: float) -> float:
-        return target.budget * total if target.budget is not None else n_max * norm
+        return target.budget * total if target.budget is not None else max(n_max * norm, n_min * norm / max((n_min / n_max) ** a, 1e-300))
 
-    def held(a: float, norm: float, logs: float) -> bool:
-        entropy = math.log2(norm) - a * logs / norm
-        low = (n_min / n_max) ** a / norm * budget(a, norm)
-        return (target.entropy is None or entropy <= target.entropy + 1e-12) and low <= target.repeat * n_min * (1 + 1e-12)
+    def even(a: float, norm: float, logs: float) -> bool:
+        return target.entropy is None or math.log2(norm) - a * logs / norm <= target.entropy + 1e-12
 
-    lo, hi = 0.0, 1.0
-    if held(lo, *sums([lo])[0]):
-        hi = lo
-    else:
-        while hi - lo > 2.0**-52:  # 16 parts at a time
+    def seldom(a: float, norm: float, _: float) -> bool:
+        own = budget(a, norm) / norm / (target.repeat * (1 + 1e-12))
+        return (n_min / n_max) ** a * own <= n_min and own <= n_max
+
+    def least(lo: float, hi: float, held) -> float:
+        """The least exponent that holds, where lo doesn't and hi does."""
+        while hi - lo > 2.0**-52 * max(1.0, hi):  # 16 parts at a time
             exps = [lo + (hi - lo) * k / 16 for k in range(1, 16)]
             first = next((a for a, s in zip(exps, sums(exps)) if held(a, *s)), hi)
             lo, hi = max([lo, *[a for a in exps if a < first]]), first
             if lo >= hi:
                 break
-    norm = sums([hi])[0][0]
-    return hi, norm, budget(hi, norm)
+        return hi
+
+    zero, one = sums([0.0, 1.0])
+    if not seldom(1.0, *one):
+        raise ValueError(f"no exponent keeps every source to {target.repeat} passes: the budget is {budget(1.0, one[0]) / total:.3g} times the corpus")
+    both = lambda a, *s: even(a, *s) and seldom(a, *s)
+    if even(1.0, *one):
+        a = 0.0 if both(0.0, *zero) else least(0.0, 1.0, both)
+    else:
+        steps = [2.0**k for k in range(1, 13)]
+        top = next((a for a, s in zip(steps, sums(steps)) if even(a, *s)), None)
+        if top is None:
+            raise ValueError(f"no exponent brings the entropy to {target.entropy} bits: several sources are the largest")
+        a = least(top / 2, top, even)
+        if not seldom(a, *sums([a])[0]):
+            raise ValueError(f"an entropy of {target.entropy} bits needs more than {target.repeat} passes over a source")
+    norm = sums([a])[0][0]
+    return a, norm, budget(a, norm)
 
 
 def weights(sizes: dict, target: Target) -> tuple[dict, float, float]:
@@ -171,12 +190,13 @@ def _taken(x: DataFrame, p: DataFrame, info: dict, seed: int) -> DataFrame:
 
 
 def mixture(docs: DataFrame, target: Target = Target()) -> DataFrame:
-    """doc_id, source, n_tokens, weight (of the source), epoch, block and place of each document taken, once per epoch.
+    """doc_id, source, n_tokens, weight (of the source), exponent, epoch, block and place of each document taken, once per epoch.
 
     To read the mixture: epochs in turn, blocks of all sources in turn, by place within a block."""
     prepare(docs.sparkSession)
     p, info = plan(docs, target)
-    return _taken(_narrow(docs), p, info, target.seed).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "place")
+    x = _taken(_narrow(docs), p, info, target.seed).withColumn("exponent", F.lit(info["exponent"]))
+    return x.select("doc_id", "source", "n_tokens", "weight", "exponent", "epoch", "block", "place")
 
 
 def mix(docs: DataFrame, target: Target) -> DataFrame:

@@ -125,6 +125,7 @@ def calibrate(measures: DataFrame, labels: DataFrame) -> dict[str, dict[str, flo
     lab = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("quality")).where("lid is not null and quality is not null")
     lab = lab.groupBy("lid").agg(F.min("quality").alias("quality")).where("quality = 1").select("lid")
     x = measures.where("not base_failed").join(lab, F.col("lid") == measures["doc_id"], "left_semi")
+    x = x.dropDuplicates(["doc_id", "stratum", *METRICS])  # a label is one trial, however often its row is repeated
     levels = [(m, level) for m in METRICS for level in LEVELS[m]]
     rows = x.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(m) > level).alias(f"{m}|{level}") for m, level in levels]).collect()
     least = least_labels(len(rows))

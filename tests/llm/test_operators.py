@@ -314,6 +314,13 @@ def test_quality_pools_small_strata(spark):
     assert quality.upper_bound(0, n, quality.DELTA / 41 / 4) <= quality.ALPHA / 4 < quality.upper_bound(0, n - 1, quality.DELTA / 41 / 4)
 
 
+def test_quality_counts_a_label_once(spark):
+    good = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(1, good, "a")] * 900 + [(i, good, "b") for i in range(2, 20)], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1) for i in range(1, 20)], "doc_id long, quality int")
+    assert quality.calibrate(quality.pooled(quality.measured(d)), lab) == {quality.REST: {}}
+
+
 def test_quality_verdicts(spark, sf):
     d, lab = docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.judged(d, lab).collect()
@@ -327,6 +334,11 @@ def test_mixing(spark, sf):
     h = lambda w: -sum(x * np.log2(x) for x in w.values())
     w, _, _ = mixing.weights(sizes, mixing.Target(entropy=1.2, repeat=1e9))
     assert h(w) == pytest.approx(1.2, abs=1e-6)
+    w, a, _ = mixing.weights({"a": 10, "b": 10, "c": 10, "d": 40}, mixing.Target(entropy=0.5))
+    assert a > 1 and h(w) == pytest.approx(0.5, abs=1e-9)  # beyond the sources' own shares
+    for sizes_, target in (({"a": 5, "b": 5}, mixing.Target(entropy=0.5)), (sizes, mixing.Target(repeat=2.0, budget=3.0)), ({"a": 10, "b": 11, "c": 10}, mixing.Target(entropy=0.01, repeat=1.5))):
+        with pytest.raises(ValueError):
+            mixing.weights(sizes_, target)
     d = docs(spark, sf)
     m = mixing.mixture(d, mixing.Target(repeat=2.0, budget=1.0)).cache()
     total = d.select(F.sum(mixing.tokens())).first()[0]
@@ -530,10 +542,13 @@ def test_passages_recall(spark):
 def test_chain_and_align():
     a = np.array([0, 10, 20, 30, 12, 300])
     b = np.array([5, 15, 26, 36, 200, 1])
-    best = passages.chains(a, b)[0]
+    best = passages.chain(a, b)[0]
     assert best == [0, 1, 2, 3]
     # two seeds far apart are two chains
-    assert sorted(passages.chains(np.array([0, 5000]), np.array([0, 5000]))) == sorted(passages.chain(np.array([0, 5000]), np.array([0, 5000]))) == [[0], [1]]
+    assert sorted(passages.chain(np.array([0, 5000]), np.array([0, 5000]))) == [[0], [1]]
+    # what a chain has gained carries it over a gap, on one diagonal or not
+    d = np.array([*range(0, 30, 5), 100, 105, 110])
+    assert passages.chain(d, d + 7) == passages.chain(d, d + np.array([7] * 8 + [8])) == [list(range(9))]
     x = np.arange(100).astype("<u4")
     y = np.concatenate([x[10:50], np.array([900, 901], "<u4"), x[52:90]])
     s = np.array([12, 30, 60]), np.array([2, 20, 50])
