@@ -87,11 +87,16 @@ def code_counts(findings: DataFrame) -> DataFrame:
 
 
 def grouped(findings: DataFrame, sample: int | None = None) -> DataFrame:
-    """severity -> code -> findings, for tree views: severities in rank order, paths and messages sorted within a code."""
-    items = F.array_sort(F.collect_list(F.struct("file_path", "message")))
-    out = findings.groupBy("severity", "code").agg(F.count("*").cast("long").alias("n"), items.alias("items"))
-    out = out.withColumn("severity_rank", severity_rank(F.col("severity")))
-    return out.withColumn("items", F.slice("items", 1, sample)) if sample else out
+    """severity -> code -> findings, for tree views: severities in rank order, paths and messages sorted within a code.  With a
+    sample only its rows of a code are gathered."""
+    key = ["severity", "code"]
+    few = findings
+    if sample:
+        w = Window.partitionBy(*key).orderBy("file_path", "message")
+        few = findings.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample)
+    items = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("file_path", "message"))).alias("items"))
+    out = findings.groupBy(*key).agg(F.count("*").cast("long").alias("n")).join(items, key)
+    return out.select(*key, "n", "items", severity_rank(F.col("severity")).alias("severity_rank"))
 
 
 def without_partner(files: DataFrame, partners: DataFrame, key: str) -> DataFrame:

@@ -85,12 +85,12 @@ def method_details(methods: DataFrame, references: DataFrame, occurrences: DataF
 
 
 def nested_folders(rows: list, root: str = "") -> dict:
-    """Folder rows (folder, parent, files) as nested objects, on the driver: a tree has no fixed schema."""
-    kids: dict = {}
-    for r in rows:
-        kids.setdefault(r["parent"], []).append(r)
-    top = next(r for r in rows if r["folder"] == root)
-    return {"path": root, "files": top["files"], "folders": [nested_folders(rows, k["folder"]) for k in sorted(kids.get(root, []), key=lambda r: r["folder"])]}
+    """Folder rows (folder, parent, files) as nested objects, on the driver, for small trees; reports nest by lines instead."""
+    made = {r["folder"]: {"path": r["folder"], "files": r["files"], "folders": []} for r in rows}
+    for r in sorted(rows, key=lambda r: r["folder"]):
+        if r["folder"] != root and r["parent"] in made:
+            made[r["parent"]]["folders"].append(made[r["folder"]])
+    return made[root]
 
 
 def visible_rows(folders: DataFrame, expanded: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""A workspace as a Spark data source: one row a file, folders of builds and tools left out, links not followed.
+"""A workspace as tables: one row a file, folders of builds and tools left out, links not followed.  `files` lists level by level on
+executors; the data source deals out the folders under the root.
 
     spark.dataSource.register(WorkspaceSource)
     spark.read.format("workspace").option("root", "/path").load()
@@ -8,13 +9,19 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corvane.operators.session import checkpointing
+
 #: Folder names that are never entered.
 SKIPPED = frozenset(["node_modules", "dist", ".angular", ".git", "coverage", ".corvane", "out-tsc"])
 SCHEMA = "file_path string, text string"
+SUFFIXES = (".ts", ".html", ".css", ".scss", ".json")
 
 
 def walk(root: str):
@@ -35,29 +42,92 @@ def walk(root: str):
                 yield path, e.stat(follow_symlinks=False).st_size
 
 
-class Part(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def entries(root: str, folder: str) -> list[tuple[str, bool, int]]:
+    """(path, whether it is a folder, bytes) of a folder's entries that count; an unreadable folder has none."""
+    out = []
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            for e in found:
+                path = f"{folder}/{e.name}" if folder else e.name
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in SKIPPED:
+                        out.append((path, True, 0))
+                elif e.is_file(follow_symlinks=False):
+                    out.append((path, False, e.stat(follow_symlinks=False).st_size))
+    except OSError:
+        return []
+    return out
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """file_path, size: the same files as `walk`, one level of folders a round.  Tasks list the folders of a level, the driver only
+    learns whether there are more; rounds follow the depth of the tree, not its size."""
+    checkpointing(spark)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                rows = entries(root, folder)
+                for k in range(0, len(rows), 10_000):  # a folder of any width
+                    some = rows[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.bool_(), pa.int64()))], names=["path", "folder", "size"])
+
+    level, found = spark.range(1).select(F.lit("").alias("folder")), []
+    n = 1
+    while n:
+        dealt = level.repartition(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "folder") if n > 1 else level
+        here = dealt.mapInArrow(scan, "path string, folder boolean, size long").checkpoint()
+        found.append(here.where("not folder").select(F.col("path").alias("file_path"), "size"))
+        level = here.where("folder").select(F.col("path").alias("folder"))
+        n = level.count()
+    return reduce(DataFrame.union, found)
+
+
+def texts(files: DataFrame, root: str, suffixes: tuple[str, ...] = SUFFIXES, part_bytes: int = 4 << 20) -> DataFrame:
+    """file_path and text; text is null where the suffix isn't of interest.  Files are dealt out so that a task reads about
+    part_bytes; a file that is gone or unreadable has no row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[str] = []
+        held: list[str | None] = []
+        size = 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                text = None
+                if path.endswith(suffixes):
+                    try:
+                        with open(os.path.join(root, path), encoding="utf-8", errors="replace", newline="") as f:
+                            text = f.read()
+                    except OSError:
+                        continue
+                paths.append(path)
+                held.append(text)
+                size += len(text or "")
+                if size >= part_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.string())], names=["file_path", "text"])
+                    paths, held, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.string())], names=["file_path", "text"])
+
+    bytes_ = files.agg(F.sum(F.col("size") + 1024)).first()[0] or 0
+    return files.select("file_path").repartition(max(1, -(-bytes_ // part_bytes)), "file_path").mapInArrow(read, SCHEMA)
 
 
 class WorkspaceReader(DataSourceReader):
-    """Partitions hold files of about part_bytes together; texts are read where the partition runs."""
+    """For `spark.read.format("workspace")`: folders under the root, one partition each, listed and read where they run."""
 
-    def __init__(self, root: str, suffixes: tuple[str, ...], part_bytes: int):
-        self.root, self.suffixes, self.part_bytes = root, suffixes, part_bytes
+    def __init__(self, root: str, suffixes: tuple[str, ...]):
+        self.root, self.suffixes = root, suffixes
 
     def partitions(self):
-        parts, held, size = [], [], 0
-        for path, n in walk(self.root):
-            held.append(path)
-            size += n + 1024
-            if size >= self.part_bytes:
-                parts.append(Part(held))
-                held, size = [], 0
-        return parts + [Part(held)] if held or not parts else parts
+        return [Folder(path) for path, folder, _ in entries(self.root, "") if folder] + [Folder("")]
 
     def read(self, partition):
-        for path in partition.paths:
+        if partition.path:
+            found = (os.path.join(partition.path, p) for p, _ in walk(os.path.join(self.root, partition.path)))
+        else:
+            found = (p for p, folder, _ in entries(self.root, "") if not folder)
+        for path in found:
             text = None
             if path.endswith(self.suffixes):
                 try:
@@ -68,6 +138,11 @@ class WorkspaceReader(DataSourceReader):
             yield path, text
 
 
+class Folder(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
 class WorkspaceSource(DataSource):
     @classmethod
     def name(cls):
@@ -78,13 +153,12 @@ class WorkspaceSource(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return WorkspaceReader(o["root"], tuple(o.get("suffixes", ".ts,.html,.css,.scss,.json").split(",")), int(o.get("partbytes", 4 << 20)))
+        return WorkspaceReader(o["root"], tuple(o["suffixes"].split(",")) if "suffixes" in o else SUFFIXES)
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """file_path and text of all files; text is null where the suffix isn't of interest."""
-    spark.dataSource.register(WorkspaceSource)
-    return spark.read.format("workspace").option("root", root).load()
+    """file_path and text of all files of a workspace, in a folder that all executors see."""
+    return texts(listed(spark, root), root)
 
 
 #: Fixed value: the workspace manifest.

@@ -125,6 +125,38 @@ def test_references_and_details(done):
 
 
 
+def test_listing(spark, tmp_path):
+    """Deep, wide, skipped, linked and unreadable folders: the same files as one walk."""
+    top = tmp_path / "w"
+    deep = top.joinpath(*["d"] * 25)
+    deep.mkdir(parents=True)
+    (deep / "x.ts").write_text("deep")
+    for k in range(300):
+        (top / f"f{k % 7}").mkdir(exist_ok=True)
+        (top / f"f{k % 7}" / f"é{k}.ts").write_text(str(k))
+    for name in ("node_modules/a.ts", "dist/b.ts", "f1/.git/c"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("")
+    (top / "link").symlink_to(top / "f1")
+    (top / "f1" / "file.bin").write_bytes(b"\xff")
+    (top / "f2" / "bad.ts").write_bytes(b"a\xffb\r\n")
+    want = {p: n for p, n in W.walk(str(top))}
+    assert {r.file_path: r["size"] for r in W.listed(spark, str(top)).collect()} == want and len(want) == 303
+    got = {r.file_path: r.text for r in W.files(spark, str(top)).collect()}
+    assert set(got) == set(want) and got["f1/file.bin"] is None and got["f2/bad.ts"] == "a\ufffdb\r\n" and got["/".join(["d"] * 25) + "/x.ts"] == "deep"
+    spark.dataSource.register(W.WorkspaceSource)
+    assert {r.file_path: r.text for r in spark.read.format("workspace").option("root", str(top)).load().collect()} == got
+    assert W.listed(spark, str(tmp_path / "gone")).count() == 0
+
+
+def test_wide_and_deep_folders():
+    chain = [{"folder": "/".join(["a"] * n), "parent": "/".join(["a"] * (n - 1)) if n else None, "files": n} for n in range(1500)]
+    node = views.nested_folders(chain)
+    for n in range(1499):
+        (node,) = node["folders"]
+    assert node["files"] == 1499
+
+
 def test_nested_folders():
     rows = [{"folder": "", "parent": None, "files": 3}, {"folder": "a", "parent": "", "files": 2}, {"folder": "a/b", "parent": "a", "files": 1}]
     assert views.nested_folders(rows) == {"path": "", "files": 3, "folders": [{"path": "a", "files": 2, "folders": [{"path": "a/b", "files": 1, "folders": []}]}]}
