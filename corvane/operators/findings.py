@@ -36,8 +36,9 @@ def override(findings: DataFrame, rules: dict[str, str]) -> DataFrame:
     return findings.where(F.coalesce(rule, F.lit("")) != "off").withColumn("severity", F.coalesce(rule, "severity"))
 
 
-def matching(findings: DataFrame, severity: str = "all", category: str = "all", code: str = "", text: str = "") -> DataFrame:
-    """Equal severity and category, and case-insensitive substrings of the code and of message, path and reason."""
+def matching(findings: DataFrame, severity: str = "all", category: str = "all", code: str = "", text: str = "", in_code: bool = False) -> DataFrame:
+    """Equal severity and category, and case-insensitive substrings of the code and of message, path and reason (in_code: of code,
+    message and path, as in the lifecycle view)."""
     out = findings
     if severity != "all":
         out = out.where(F.col("severity") == severity)
@@ -46,7 +47,7 @@ def matching(findings: DataFrame, severity: str = "all", category: str = "all",
     if code.strip():
         out = out.where(F.lower("code").contains(code.strip().lower()))
     if text.strip():
-        parts = [F.coalesce(c, F.lit("")) for c in ("message", "file_path", "why_it_matters") if c in findings.columns]
+        parts = [F.coalesce(c, F.lit("")) for c in (("code", "message", "file_path") if in_code else ("message", "file_path", "why_it_matters")) if c in findings.columns]
         out = out.where(F.lower(F.concat_ws("\n", *parts)).contains(text.strip().lower()))
     return out
 

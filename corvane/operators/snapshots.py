@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.operators.findings import number_rows
+
 SEVERITIES = ("error", "warning", "info")
 
 
@@ -17,9 +19,11 @@ def snapshot_codes(findings: DataFrame, key: str) -> DataFrame:
 
 
 def consecutive(counts: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    """Each scan beside the one before: deltas of all measures.  counts has a row a scan."""
-    w = Window.orderBy(key)
-    return counts.select(key, *[(F.col(m) - F.lag(m).over(w)).alias(f"{m}_delta") for m in measures], F.lag(key).over(w).alias("base")).where("base is not null")
+    """Each scan beside the one before: deltas of all measures.  counts has a row a scan; scans are numbered by ranges of a sort and
+    joined with the number before, so no task holds them all."""
+    x = number_rows(counts.select(key, *measures), [F.col(key)], "nth")
+    before = x.select((F.col("nth") + 1).alias("nth"), F.col(key).alias("base"), *[F.col(m).alias(f"before_{m}") for m in measures])
+    return x.join(before, "nth").select(key, *[(F.col(m) - F.col(f"before_{m}")).alias(f"{m}_delta") for m in measures], "base")
 
 
 def code_deltas(old: DataFrame, new: DataFrame, most: int | None = 12) -> DataFrame:

@@ -270,6 +270,12 @@ def ts_lifecycle_view(s, d):
     return R.number_rows(x, R.order_of("lifecycle"), "rank").select("rank", "code", "file_path")
 
 
+def ts_lifecycle_search(s, d):
+    """Lifecycle findings whose code, message or path holds a text, here one that only codes hold."""
+    x = R.matching(audit_of(s, d).findings, category="lifecycle", text=" No-ClearInterval ", in_code=True)
+    return x.select("code", "file_path")
+
+
 def ts_symbol_order(s, d):
     """Methods in the order of path, class, name and line, the line as text."""
     m = audit_of(s, d).methods.where(F.col("file_path").rlike("^app/[cu]"))

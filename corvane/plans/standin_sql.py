@@ -108,6 +108,7 @@ SQL = {
     "ts_lifecycle_view": OPEN["life"] + " SELECT row_number() OVER (ORDER BY code, file_path) AS rank, code, file_path FROM life WHERE severity = 'warning' AND contains(file_path, 'app/l1')",
     "ts_symbol_order": OPEN["methods"] + " SELECT row_number() OVER (ORDER BY file_path, class_name, name) AS rank, file_path, name FROM methods WHERE file_path LIKE 'app/c%' OR file_path LIKE 'app/u%'",
     "ts_reference_order": OPEN["d"] + " SELECT row_number() OVER (ORDER BY c) AS rank, c AS file_path, 'C' || i || '.m' AS method FROM x",
+    "ts_lifecycle_search": OPEN["rules"] + " SELECT code, file_path FROM found WHERE category = 'lifecycle' AND code = 'lifecycle-setInterval-no-clearInterval'",
     "ts_finding_order": OPEN["rules"] + " SELECT row_number() OVER (ORDER BY file_path || chr(10) || code) AS rank, file_path, code FROM found WHERE category = 'components'",
     "ts_occurrence_order": OPEN["blocks"] + " SELECT row_number() OVER (ORDER BY file_path) AS rank, file_path, 2::BIGINT AS start_line FROM members WHERE kind = 'normalized'",
     "ts_occurrence_total": OPEN["blocks"] + " SELECT count(*) AS groups, CAST(coalesce(sum(occurrences), 0) AS BIGINT) AS occurrences FROM groups",

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.scalars import fnv1a_py
-from corvane.operators import blocks, findings as R, graph, orders, spans, types
+from corvane.operators import blocks, duplicates, findings as R, graph, orders, spans, types
 from corvane.operators.session import checkpointing
+from corvane.plans import views
 from corvane.sources import typed
 from corvane.sources.typescript import exact_block, raw_tokens
 
@@ -87,6 +88,19 @@ def typed_references(s: SparkSession, d: str) -> DataFrame:
     return types.references(typed.extract(f).checkpoint(), f.select("file_path"))
 
 
+def method_drilldown(s: SparkSession, d: str) -> DataFrame:
+    """Each method with the places that use it and the repeated blocks in it."""
+    checkpointing(s)
+    f = files(s, d, "lib", "use", "blk")
+    x = typed.extract(f).checkpoint()
+    end = F.when(F.col("file_path").startswith("blk/"), F.lit(99)).otherwise(F.col("line"))
+    m = x.where("kind = 'member' and other in ('method', 'get')").select(F.concat(F.lit("method:"), F.regexp_replace("cls", r"@\d+$", ""), F.lit("."), F.col("name"), F.lit("@"), F.col("line")).alias("id"), "file_path", F.col("line").alias("start_line"), end.alias("end_line"))
+    b = blocks.of(x)
+    out = views.drilldown(m, types.references(x, f.select("file_path")), duplicates.occurrences(b, blocks.repeated(b)))
+    places = F.array_join(F.transform("references", lambda r: F.concat_ws(":", r["file_path"], r["line"].cast("string"), r["col"].cast("string"))), " ")
+    return out.select("id", places.alias("places"), F.array_join("groups", " ").alias("groups"))
+
+
 def block_groups(s: SparkSession, d: str) -> DataFrame:
     """Repeated blocks of functions, arrows, accessors and constructors."""
     found = blocks.repeated(blocks.of(typed.extract(files(s, d, "blk"))))
@@ -181,5 +195,10 @@ SQL |= {
     "locale_edges": f"WITH {_DOCS}, f AS (SELECT {_FILE} AS src, 'ord/' || {_STEM % ('(i + 3)', 'i + 3')} || '.ts' AS dst FROM d), e AS (SELECT src, dst FROM f WHERE dst IN (SELECT src FROM f)) SELECT {_N % (_KEY % 'src' + ', ' + _KEY % 'dst')}, src, dst FROM e",
     "duplicate_candidates": "WITH g AS (" + SQL["block_groups"] + ") SELECT row_number() OVER (ORDER BY line_count * occurrences DESC, icu_sort_key(id, 'en')) AS rank, id, occurrences FROM g",
 }
+SQL["method_drilldown"] = f"""WITH {_DOCS}, n AS (SELECT i, 2 + length(t) - length(replace(t, chr(10), '')) AS b FROM d),
+m AS (SELECT 'method:lib/a' || i || '.ts#' || replace(m, '%d', CAST(i AS VARCHAR)) AS id, '' AS groups FROM d, (VALUES ('Base%d.id@2'), ('Svc%d.load@6'), ('Kid%d.run@9')) x(m)
+  UNION ALL SELECT 'method:use/u' || i || '.ts#Use' || i || '.go@' || (b + 4), '' FROM n
+  UNION ALL SELECT 'method:blk/f' || i || '.ts#F' || i || '.v@1', string_agg(g.id, ' ' ORDER BY g.id) FROM d JOIN ({SQL["block_groups"]}) g ON g.id IN ('dup:normalized:{_SHAPE}', 'dup:exact:' || CASE i % 5 {_HASHES} END) WHERE i % 4 = 2 GROUP BY i)
+SELECT m.id, coalesce(string_agg(r.file_path || ':' || r.line || ':' || r.col, ' ' ORDER BY r.file_path, r.line, r.col), '') AS places, m.groups FROM m LEFT JOIN ({SQL["typed_references"]}) r ON r.method_id = m.id GROUP BY m.id, m.groups"""
 NAMES = list(SQL)
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -84,6 +84,18 @@ def method_details(methods: DataFrame, references: DataFrame, occurrences: DataF
     return x.fillna(0, ["references", "groups"])
 
 
+def drilldown(methods: DataFrame, references: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Each method (id, file_path, start_line, end_line) with its references by place and the groups of repeated blocks that it
+    holds, as lists; references are capped before, so a list is bounded by the cap or by the method's own lines."""
+    used = capped(references).groupBy(F.col("method_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("file_path", "line", "col"))).alias("references"))
+    blocks = occurrences.select("file_path", "kind", "hash", F.col("start_line").alias("at"))
+    held = methods.select("id", "file_path", "start_line", "end_line").join(blocks, "file_path").where("at between start_line and end_line")
+    held = held.groupBy("id").agg(F.array_sort(F.collect_set(F.concat_ws(":", F.lit("dup"), "kind", "hash"))).alias("groups"))
+    out = methods.join(used, "id", "left").join(held, "id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("references", F.coalesce("references", F.array().cast("array<struct<file_path:string,line:int,col:int>>"))).withColumn("groups", F.coalesce("groups", none))
+
+
 def nested_folders(rows: list, root: str = "") -> dict:
     """Folder rows (folder, parent, files) as nested objects, on the driver, for small trees; reports nest by lines instead."""
     made = {r["folder"]: {"path": r["folder"], "files": r["files"], "folders": []} for r in rows}
