@@ -12,7 +12,7 @@ from corvane.functions.scalars import fnv1a_py
 from corvane.operators import blocks, duplicates, findings as R, graph, orders, spans, types
 from corvane.operators.session import checkpointing
 from corvane.plans import views
-from corvane.sources import typed
+from corvane.sources import facts, typed
 from corvane.sources.typescript import exact_block, raw_tokens
 
 
@@ -45,6 +45,30 @@ export const later = class Named%d { get it() { return make(); } };
 """
 
 
+CALLED = "const table = [{ path: 'a%d' }, { path: 'b', children: [{ path: 'c%d' }] }];\nexport const app = RouterModule.forRoot(table);\nprovideRouter([{ path: 'p%d' }]);\nother([{ path: 'no' }]);\n"
+BRANCHES = """export class B%d {
+  m(a: number) {
+    for (const x of [1]) {}
+    for (let i = 0; i < 1; i++) {}
+    while (a) {}
+    do {} while (a);
+    switch (a) { case 1: break; case 2: break; default: }
+    try {} catch (e) {}
+    return a ? 1 : 2;
+  }
+}
+"""
+FIELDS = """export class W%d {
+  start() {
+    this.sub = this.a$.subscribe();
+    this.sub = this.b$.subscribe();
+    this.kept = this.c$.subscribe();
+    this.timer = setInterval(() => {}, 5);
+    this.timer = setInterval(() => {}, 9);
+  }
+  ngOnDestroy() { this.kept.unsubscribe(); }
+}
+"""
 STEMS = ("b", "B", "é", "e", "_x", "-x", "Z", "ä")
 ORDERED = "import './%s';\nexport class K%d {\n" + "  // pad\n" * 6 + "  run() { return this.run(); }\n  run() { return this.run(); }\n  Run() { return 1; }\n}\n"
 
@@ -58,7 +82,7 @@ def stem(i: Column) -> Column:
 
 
 def files(spark: SparkSession, sf: str, *folders: str) -> DataFrame:
-    """(file_path, text) of some folders: lib, use, blk, cls, ord."""
+    """(file_path, text) of some folders: lib, use, blk, cls, shp, ord."""
     d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.groupBy("i").agg(F.min("t").alias("t"))
     quoted = F.replace(F.replace(F.replace(F.replace("t", F.lit("\r"), F.lit(" ")), F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("${"), F.lit("\\${"))
@@ -71,6 +95,7 @@ def files(spark: SparkSession, sf: str, *folders: str) -> DataFrame:
         "use": [one("use/u%d.ts", F.concat(F.lit("const note = `"), quoted, F.lit("`;\n"), F.replace(_fmt(USER), F.lit("'../lib/b'"), F.concat(F.lit("'../lib/b"), F.expr("cast(i div 10 as string)"), F.lit("'")))))],
         "blk": [one("blk/f%d.ts", F.element_at(F.array(*kinds), F.expr("cast(i % 4 as int)") + 1))],
         "cls": [one("cls/k%d.ts", _fmt(NESTED))],
+        "shp": [one("shp/r%d.routes.ts", _fmt(CALLED)), one("shp/b%d.ts", _fmt(BRANCHES)), one("shp/w%d.ts", _fmt(FIELDS))],
         "ord": [F.struct(F.format_string("ord/%s%d.ts", stem(F.col("i")), "i").alias("file_path"), F.format_string(ORDERED, F.concat(stem(F.col("i") + 3), (F.col("i") + 3).cast("string")), "i").alias("text"))],
     }
     out = d.select(F.explode(F.array_compact(F.array(*[r for f in folders for r in rows[f]]))).alias("f")).select("f.*")
@@ -164,6 +189,26 @@ def duplicate_candidates(s: SparkSession, d: str) -> DataFrame:
     return R.number_rows(blocks.repeated(blocks.of(typed.extract(files(s, d, "blk")))), orders.duplicate_candidates(), "rank").select("rank", "id", "occurrences")
 
 
+def route_calls(s: SparkSession, d: str) -> DataFrame:
+    """Routes of arrays that are passed to a router, by name or as they are."""
+    x = facts.extract(files(s, d, "shp").where("file_path like '%.routes.ts'"))
+    return x.where("kind = 'route'").select("file_path", F.col("key").alias("path"))
+
+
+def branch_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Branches of loops, cases, catches and conditionals, of a method and of its file."""
+    x = facts.extract(files(s, d, "shp").where("file_path like 'shp/b%'"))
+    return x.where("kind in ('method', 'complexity')").select("file_path", "kind", F.when(F.col("kind") == "method", F.col("n3")).otherwise(F.col("n5")).alias("branches"))
+
+
+def first_per_field(s: SparkSession, d: str) -> DataFrame:
+    """A subscription field without its clean-up is reported once, at its first place; timers at each."""
+    from corvane.plans import audit
+
+    found = audit.lifecycle_findings(facts.extract(files(s, d, "shp").where("file_path like 'shp/w%'")))
+    return found.select("file_path", "code", F.col("detail").alias("field"), "line")
+
+
 _DOCS = "d AS (SELECT i, min(t) AS t FROM (SELECT doc_id AS i, replace(coalesce(text, ''), chr(13), ' ') AS t FROM documents WHERE doc_id IS NOT NULL) GROUP BY i)"
 _NOTE = "'const note = `' || replace(replace(replace(t, '\\', '\\\\'), '`', '\\`'), '${', '\\${') || '`;'"
 _TAIL = "chr(10) || replace(replace('" + USER.replace("'", "''") + "', '%d', CAST(i AS VARCHAR)), '../lib/b', '../lib/b' || (i // 10))"
@@ -195,6 +240,11 @@ SQL |= {
     "locale_edges": f"WITH {_DOCS}, f AS (SELECT {_FILE} AS src, 'ord/' || {_STEM % ('(i + 3)', 'i + 3')} || '.ts' AS dst FROM d), e AS (SELECT src, dst FROM f WHERE dst IN (SELECT src FROM f)) SELECT {_N % (_KEY % 'src' + ', ' + _KEY % 'dst')}, src, dst FROM e",
     "duplicate_candidates": "WITH g AS (" + SQL["block_groups"] + ") SELECT row_number() OVER (ORDER BY line_count * occurrences DESC, icu_sort_key(id, 'en')) AS rank, id, occurrences FROM g",
 }
+SQL |= {
+    "route_calls": f"WITH {_DOCS} SELECT 'shp/r' || i || '.routes.ts' AS file_path, unnest(['a' || i, 'b', 'c' || i, 'p' || i]) AS path FROM d",
+    "branch_kinds": f"WITH {_DOCS} SELECT 'shp/b' || i || '.ts' AS file_path, unnest(['method', 'complexity']) AS kind, CAST(9 AS BIGINT) AS branches FROM d",
+    "first_per_field": f"WITH {_DOCS} SELECT 'shp/w' || i || '.ts' AS file_path, c AS code, f AS field, CAST(l AS INT) AS line FROM d, (VALUES ('lifecycle-subscription-field-not-unsubscribed', 'sub', 3), ('lifecycle-setInterval-no-clearInterval', 'timer', 6), ('lifecycle-setInterval-no-clearInterval', 'timer', 7)) x(c, f, l)",
+}
 SQL["method_drilldown"] = f"""WITH {_DOCS}, n AS (SELECT i, 2 + length(t) - length(replace(t, chr(10), '')) AS b FROM d),
 m AS (SELECT 'method:lib/a' || i || '.ts#' || replace(m, '%d', CAST(i AS VARCHAR)) AS id, '' AS groups FROM d, (VALUES ('Base%d.id@2'), ('Svc%d.load@6'), ('Kid%d.run@9')) x(m)
   UNION ALL SELECT 'method:use/u' || i || '.ts#Use' || i || '.go@' || (b + 4), '' FROM n
