@@ -2,7 +2,7 @@
 
 Terms are runs of the bytes A-Z (lowered), a-z and 0x80 up.  A task counts its documents into byte tries, one a language, with a
 counter a source at each leaf and the number of documents: nodes branch by a byte until a container of CONTAINER leaves is left,
-and containers are sent off, in UTF-8 order, when a task has LEAVES leaves.  These subtrees are dealt out by ranges of prefixes
+and containers are sent off, in UTF-8 order, when a task has LEAVES leaves or COUNTERS counters.  These subtrees are dealt out by ranges of prefixes
 (language, term); a task merges those of its range (about ROWS leaves) in a radix trie and keeps the terms of MIN_DOCS documents.  Kept terms meet their language's sources in blocks of TERMS terms and two tiles of about
 TILE sources: a block adds |p - q| for pairs of sources, and lists each source's TOP candidates in the order of terms, so that
 ties stay in it.  A source in which no term of a block occurs has its constant share there, and a block counts differences from
@@ -29,8 +29,9 @@ from .packing import pack, unpack
 from .sparkutil import cut, prepare
 
 MIN_DOCS, TOP, ADDED, UNIT = 30, 50, 5, 1_000_000_000
-#: Leaves that a task holds, those of a container and of a range, terms of a block, sources of a tile, subtrees that set the ranges.
-LEAVES, CONTAINER, ROWS, TERMS, TILE, BOUNDS = 300_000, 4096, 400_000, 2048, 256, 100_000
+#: Leaves and counters that a task holds, leaves of a container and of a range, terms of a block, sources of a tile, subtrees that set
+#: the ranges.
+LEAVES, COUNTERS, CONTAINER, ROWS, TERMS, TILE, BOUNDS = 300_000, 1_500_000, 4096, 400_000, 2048, 256, 100_000
 #: Bytes of terms stay, with A-Z lowered; all others part them.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -123,6 +124,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subtrees of the tries of a task's documents (lang, source, text)."""
     groups: dict[tuple[str, str], Counter] = {}
     docs: dict[str, Counter] = {}
+    leaves = counters = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, found in docs.items():
@@ -147,10 +149,14 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3))):
             words = text.translate(FOLD).split()
-            groups.setdefault((lang, source), Counter()).update(words)
-            docs.setdefault(lang, Counter()).update(set(words))
-            if sum(map(len, docs.values())) >= LEAVES:
+            own, every = groups.setdefault((lang, source), Counter()), docs.setdefault(lang, Counter())
+            counters, leaves = counters - len(own), leaves - len(every)
+            own.update(words)
+            every.update(set(words))
+            counters, leaves = counters + len(own), leaves + len(every)
+            if leaves >= LEAVES or counters >= COUNTERS:
                 yield from sent()
+                leaves = counters = 0
     yield from sent()
 
 

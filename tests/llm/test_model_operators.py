@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import clustering, divergence, lm_score, packing
@@ -92,6 +93,33 @@ def test_containers_are_the_sorted_terms():
     assert [t for c in got for t in c] == sorted(terms) and max(map(len, got)) <= 20
 
 
+def test_subtrees_add_up(monkeypatch):
+    """However often a task sends, the counters and documents of its subtrees are those of its documents."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", ""]), rng.choice("stu"), " ".join(rng.choice(["ab", "Ab", "b1c", "é", "zz"]) for _ in range(rng.randrange(9)))) for _ in range(80)]
+    want, in_docs = Counter(), Counter()
+    for lang, source, text in rows:
+        found = [w.lower() for w in re.findall("[A-Za-zé]+", text)]
+        want.update((lang, source, w) for w in found)
+        in_docs.update((lang, w) for w in set(found))
+    for leaves, counters in ((10**6, 10**6), (3, 10**6), (10**6, 4)):
+        monkeypatch.setattr(divergence, "LEAVES", leaves)
+        monkeypatch.setattr(divergence, "COUNTERS", counters)
+        got, docs_, n = Counter(), Counter(), 0
+        batch = pa.RecordBatch.from_arrays([pa.array([r[k].encode() if k == 2 else r[k] for r in rows]) for k in range(3)], names=["lang", "source", "text"])
+        for run in (r for b in divergence.counted(iter([batch])) for r in b.to_pylist()):
+            lengths, docs_of, fan, who, count = (x.astype(int).tolist() for x in packing.unpack(run["numbers"]))
+            terms = [t.decode() for t in divergence._terms(run["terms"], np.array(lengths)).to_pylist()]
+            assert terms == sorted(terms, key=str.encode) and run["first"].decode() == terms[0] and run["last"].decode() == terms[-1]
+            at, n = 0, n + 1
+            for t, d, f in zip(terms, docs_of, fan):
+                docs_[run["lang"], t] += d
+                for k in range(at, at + f):
+                    got[run["lang"], run["sources"][who[k]], t] += count[k]
+                at += f
+        assert got == want and docs_ == in_docs and (n > 10) == (min(leaves, counters) < 10)
+
+
 def test_shares_are_exact():
     rng = random.Random(2)
     for size in (1, 7, 10**6, 9 * 10**15):
