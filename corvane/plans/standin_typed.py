@@ -103,7 +103,7 @@ def files(spark: SparkSession, sf: str, *folders: str) -> DataFrame:
         line = F.when(F.expr("i % 2 = 1"), _fmt("export * from '../c%d';")).otherwise(_fmt("export { Svc%d as Alias%d } from '../a%d';"))
         index = d.select(F.expr("i div 10").alias("g"), line.alias("line")).groupBy("g").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))  # ten lines at most
         out = out.union(index.select(F.format_string("lib/b%d/index.ts", "g"), "text"))
-    return out
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_path")  # parsing costs more than moving the texts, which come in few row groups
 
 
 def typed_references(s: SparkSession, d: str) -> DataFrame:
