@@ -1,6 +1,7 @@
 """Operator 10: toxicity by Levenshtein automata over a learned lexicon trie, with context windows.
 
-Fit (driver, bounded): of the labelled rows whose crc32(doc_id as text) mod 5 is not 0, SAMPLE of each label, in hash order.
+Fit (driver, bounded): of the labelled rows whose crc32(doc_id as text) mod 5 is not 0, SAMPLE of each label, in hash order, as
+long as their texts together stay within SAMPLE_BYTES a label; a text of more than a hundredth of that is not fitted on.
 Words, and beginnings of words, that toxic texts hold far more often than clean ones are the lexicon; a logistic model over
 the features below weighs them.  Beginnings match exactly, whole words of FUZZY_LEN letters or more also within one edit, those with a
 learned beginning too.
@@ -22,16 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .sparkutil import prepare
 
 #: Texts of each label that are fitted on, at most.
 SAMPLE = 3_000
+#: Bytes of the texts of each label that are fitted on, at most.
+SAMPLE_BYTES = 64_000_000
 #: Words on each side that a context window has.
 WINDOW = 6
 FUZZY_LEN = 5
-WORD = re.compile(r"[^\W\d_]+")
+#: A word starts with a letter and may hold digits, and between letters or digits the signs that stand for letters in disguise.
+WORD = re.compile(r"[^\W\d_][^\W_]*(?:[@$*!][^\W_]+)*")
 #: Marks and words that set a passage apart as someone else's.
 MARKS = frozenset("\"'“”„‘’«»")
 REPORT = frozenset(["said", "says", "wrote", "quoted", "called", "reported", "claimed", "tweeted", "posted", "sagte", "schrieb", "dijo", "escribió", "dit", "écrit"])
@@ -198,7 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     have = docs.select(F.col("doc_id").cast("long").alias("lid"), "text").join(F.broadcast(picked), "lid").where("text is not null")
     # of an id with several texts the one with the smallest hash, so that a rerun fits the same model
     one = have.select("lid", "y", F.col("text").cast("string").alias("text")).groupBy("lid").agg(F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("r"))
-    rows = one.orderBy("lid").select("r.*").toArrow().to_pylist()
+    one = one.select("lid", "r.*").withColumn("size", F.octet_length("text")).where(F.col("size") <= SAMPLE_BYTES // 100)
+    # at most 2 * sample rows
+    so_far = F.sum("size").over(Window.partitionBy("y").orderBy(h, "lid"))
+    one = one.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
+    rows = one.orderBy("lid").select("y", "text").toArrow().to_pylist()
     toxic, clean = [r["text"] for r in rows if r["y"] == 1], [r["text"] for r in rows if r["y"] == 0]
     if not toxic or not clean:
         share = float(bool(toxic))

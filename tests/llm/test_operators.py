@@ -605,6 +605,22 @@ def test_automaton():
     assert lex.match("worthlas") is None and lex.match("idiotic") == ("idio*", 0) and lex.match("idi") is None
 
 
+def test_toxicity_words_in_disguise(spark):
+    """Digits and signs in the place of letters: the tokeniser leaves the word whole, the automaton counts one edit."""
+    lex = toxicity.Lexicon({"stupid": 2.0, "idiot": 2.0, "worthless": 2.0}, {})
+    for w in ("st0pid", "stup1d", "idi0t", "w0rthless", "st*pid", "idi@t", "$tupid", "5tupid", "worthle$s"):
+        assert lex.features(f"what a {w}, they are")[1] > 0, w
+    assert lex.features("stupid")[0] > 0 and lex.features("stupid! idiot*")[0] == np.log1p(2)
+    assert toxicity.WORD.findall("a1b 12 c_d e** f!g") == ["a1b", "c", "d", "e", "f!g"]
+    rng = random.Random(3)
+    plain = lambda: " ".join(rng.choice(["house", "tree", "river", "stone", "cloud"]) for _ in range(40))
+    rows = [(i, plain() + (" you idiot " + plain() if i % 2 else "")) for i in range(200)] + [(900, "you idi0t " + plain()), (901, plain() + " 1d 2d"), (903, "tree " * 200_000)]
+    labels = [(i, i % 2) for i in range(200)] + [(903, 0)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(d, lab).collect()}
+    assert (got[900], got[901], got[903]) == (1, 0, 0)
+
+
 def test_automaton_against_edit_distance():
     rng = random.Random(12)
     letters = "abcde"
