@@ -552,13 +552,57 @@ def test_chain_and_align():
     x = np.arange(100).astype("<u4")
     y = np.concatenate([x[10:50], np.array([900, 901], "<u4"), x[52:90]])
     s = np.array([12, 30, 60]), np.array([2, 20, 50])
-    assert passages.align([(x, y, *s)]) == [(10, 90, 0, 80, 78)]
+    assert passages.align([(x, y, *s)]) == [(10, 90, 0, 80, 78, False)]
     # one seed, edits on both sides of it
     z = x.copy()
     z[[8, 42, 88]] = 7000
     assert passages.align([(x, z, np.array([45]), np.array([45]))])[0][4] >= 90
 
 
+def test_extended_says_where_it_still_gains():
+    x = np.arange(300).astype("<u4")
+    y = np.concatenate([x[:20], np.arange(900, 1100).astype("<u4")])
+    got = passages.extended([x, y, x[:40], x], [x, x, x, np.delete(x, [30, 44])], 2).tolist()
+    assert got == [[48, 48, 48, 1], [20, 20, 20, 0], [40, 40, 40, 0], [48, 46, 46, 1]]
+    assert passages.extended([x], [np.delete(x, [30, 44])], 2, 4 * passages.REACH).tolist() == [[192, 190, 190, 1]]
+    assert passages.apart([0, 1, 2, 3], np.array([0, 30, 60, 90]), np.array([60, 90, 120, 150])) == [[0, 1], [2, 3]]
+
+
+def test_passages_within_a_text(spark):
+    rng = random.Random(31)
+    base, unit, line = words(rng, 80), words(rng, 60), words(rng, 9)
+    fuzzy = " ".join(edited(rng, base.split(), 14))
+    rows = [
+        (1, " ".join([words(rng, 30), base, words(rng, 40), fuzzy, words(rng, 20)])),  # twice in one text
+        (2, " ".join([words(rng, 30), *[unit] * 4, words(rng, 30)])),  # one after the other
+        (3, " ".join([words(rng, 200)])),
+        (4, " ".join([words(rng, 40), *[line] * 60])),  # a short line over and over
+        (5, " ".join([words(rng, 40), line, words(rng, 50), line])),  # too short
+    ]
+    got = passages.repeated(spark.createDataFrame(rows + rows[:1], "doc_id long, text string")).collect()
+    at = {i: sorted((r.start_word, r.end_word) for r in got if r.doc_id == i and r.passage) for i in range(1, 6)}
+    assert len(at[1]) == 2 and abs(at[1][0][0] - 30) <= 2 and abs(at[1][0][1] - 110) <= 2 and abs(at[1][1][0] - 150) <= 2
+    assert at[2][0][0] <= 32 and at[2][-1][1] >= 268 and all(a[1] <= b[0] for a, b in zip(at[2], at[2][1:]))
+    assert not at[3] and not at[5]
+    assert at[4][0][0] <= 42 and at[4][-1][1] >= 40 + 9 * 60 - 3
+    assert {r.passage for r in got if r.doc_id == 1} != {r.passage for r in got if r.doc_id == 2}
+    assert all(r.other_id == r.doc_id and r.kind == "passage" for r in got)
+
+
+def test_passages_reach_as_far_as_they_gain(spark):
+    """Long passages of which most seeds are edited away: the ends go on beyond REACH."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6):
+        base = words(rng, 400).split()
+        thin = [w if k % 5 else "edit" + str(rng.randrange(10**6)) for k, w in enumerate(base)]
+        thin[200:230] = base[200:230]  # the only words in a row
+        rows += [(2 * i, words(rng, 60) + " " + " ".join(base)), (2 * i + 1, " ".join(thin) + " " + words(rng, 80))]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wide = [r for r in got if r.end_word - r.start_word >= 380]
+    assert len({r.doc_id for r in wide}) >= 10 and all(r.other_id // 2 == r.doc_id // 2 for r in got)
+
+
 def test_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 5, (50, 12)).astype(np.uint8), rng.integers(0, 5, (50, 12)).astype(np.uint8)
