@@ -552,7 +552,7 @@ def test_chain_and_align():
     x = np.arange(100).astype("<u4")
     y = np.concatenate([x[10:50], np.array([900, 901], "<u4"), x[52:90]])
     s = np.array([12, 30, 60]), np.array([2, 20, 50])
-    assert passages.align([(x, y, *s)]) == [(10, 90, 0, 80, 78, False)]
+    assert passages.align([(x, y, *s)]) == [(10, 90, 0, 80, 78, 0)]
     # one seed, edits on both sides of it
     z = x.copy()
     z[[8, 42, 88]] = 7000
