@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -523,6 +525,70 @@ def test_passages_of_very_common_seeds(spark):
     assert {i for i in range(200, 240, 2)} in got and {i for i in range(201, 240, 2)} in got
 
 
+def test_passages_of_seeds_whose_first_places_differ(spark):
+    """Two texts share a passage of which every seed also stands in many texts that agree no further: no first place is a partner."""
+    rng = np.random.default_rng(31)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 1_000_000, n)]
+    passage = words(64)
+    rows = [(k, " ".join([*words(20), *passage, *words(20)])) for k in (500, 501)]
+    for k in range(60):  # each holds all seeds, two or three in a row, in 13 words that stand alone
+        parts = [[*words(16), *passage[i : i + 13]] for i in range(k % 3, 52, 4)]
+        rows.append((k, " ".join([w for p in rng.permutation(len(parts)) for w in parts[p]] + words(20))))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({"small": 2}, {"small": 2, "piece": 40}):
+        assert {500, 501} in [c & {500, 501} for c in classes(passages.repeated(d, **sizes).collect())], sizes
+
+
+def test_common_seeds_join_beyond_first_places():
+    """Of twelve places of a seed with the same seeds beside, only the fifth and the tenth agree; so do places in two pieces."""
+    rng = np.random.default_rng(34)
+    ctx = rng.integers(1, 256, (12, 2 * passages.SIDE)).astype(np.uint8)
+    ctx[9] = ctx[4]
+    g, beside, dkey, at = np.full(12, 5), np.full(12, 3, np.int32), np.arange(1, 13), np.full(12, 30, np.int32)
+    a, b = passages.joined(g, beside, beside, dkey, at, ctx, 8)[:2]
+    assert (a.tolist(), b.tolist()) == ([4], [9])
+    rows = pa.RecordBatch.from_arrays([pa.array(g), pa.array(beside), pa.array(beside), pa.array(dkey), pa.array(at), pa.array([c.tobytes() for c in ctx], pa.binary())], schema=passages._SEED)
+    got = pa.Table.from_batches(list(passages._joined_rows([rows[:7]], 2, 100)) + list(passages._joined_rows([rows[7:]], 2, 100)))
+    rim = got.filter(pa.compute.is_valid(got["g"])).select([*passages._SEED.names, "piece"])
+    one, two = rim["piece"][0], rim["piece"][-1]
+    rim = rim.append_column("one", pa.array([one.as_py()] * len(rim))).append_column("two", pa.array([two.as_py()] * len(rim)))
+    assert one != two and [r for t in passages._crossed_rows(rim.combine_chunks().to_batches()) for r in t.to_pylist()] == [{"x": 5, "y": 10, "p": 30, "q": 30}]
+
+
+def test_leaders_miss_no_partner():
+    """Every row agrees with a leader that it is joined with, and no two leaders agree, in small groups and in large ones."""
+    rng = np.random.default_rng(32)
+    kinds = rng.integers(1, 40, (60, 2 * passages.SIDE)).astype(np.uint8)
+    ctx = kinds[rng.integers(0, 60, 900)].copy()
+    edit = rng.random(ctx.shape) < 0.25
+    ctx[edit] = rng.integers(0, 256, edit.sum())
+    group = np.sort(np.append(np.zeros(500, np.int64), rng.integers(1, 30, 400)))
+    dkey, at = rng.integers(0, 300, 900), rng.integers(0, 400, 900).astype(np.int32)
+    lead, a, b = passages.leaders(group, ctx, dkey, at)
+    side = passages.SIDE
+    half = lambda u, v: max(int(passages.in_order(u[None, k : k + side], v[None, k : k + side])[0]) for k in (0, side))
+    want = {}
+    heads: dict[int, list[int]] = {}
+    for k in range(900):
+        mine = heads.setdefault(int(group[k]), [])
+        hit = [h for h in mine if (dkey[h] != dkey[k] or abs(int(at[h]) - int(at[k])) >= passages.MIN_WORDS) and half(ctx[h], ctx[k]) >= passages.AGREE]
+        for h in hit:
+            want.setdefault((int(dkey[h]), k), h)
+        if not hit:
+            mine.append(k)
+    assert sorted(lead.tolist()) == sorted(h for m in heads.values() for h in m)
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted((h, k) for (_, k), h in want.items())
+
+
+def test_places_of_one_text_try_further_ones():
+    """The nearest place before in the same text disagrees, the one before that agrees."""
+    rng = np.random.default_rng(33)
+    ctx = rng.integers(1, 256, (3, 2 * passages.SIDE)).astype(np.uint8)
+    ctx[2] = ctx[0]
+    a, b = passages.within(np.array([True, False, False]), np.full(3, 7), np.array([0, 100, 200], np.int32), ctx)
+    assert (a.tolist(), b.tolist()) == ([0], [2])
+
+
 def test_passages_recall(spark):
     """Against local alignment of all pairs, at 0.75 to 0.95."""
     rng = random.Random(9)
