@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -539,6 +540,18 @@ def test_passages_of_seeds_whose_first_places_differ(spark):
         assert {500, 501} in [c & {500, 501} for c in classes(passages.repeated(d, **sizes).collect())], sizes
 
 
+def test_workers_hold_small_chunks():
+    """The arrays over a batch of texts stay small beside the executor's heap (71 MB in chunks of 2 MB)."""
+    rng = random.Random(35)
+    batch = pa.RecordBatch.from_arrays([pa.array([words(rng, 800) for _ in range(256)]), pa.array(range(256), pa.int64())], names=["text", "dkey"])
+    for rows in (suffix_dedup._gram_rows([batch], 200), passages._seed_keys([batch])):
+        tracemalloc.start()
+        assert sum(len(b) for b in rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40_000_000, peak
+
+
 def test_common_seeds_join_beyond_first_places():
     """Of twelve places of a seed with the same seeds beside, only the fifth and the tenth agree; so do places in two pieces."""
     rng = np.random.default_rng(34)
