@@ -11,7 +11,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, hamming, licenses, mixing, ngram_join, passages, quality, queries, sharding, suffix_dedup, toxicity
+from corvane.llm import bpe, hamming, licenses, mixing, ngram_join, passages, quality, queries, sharding, sparkutil, suffix_dedup, toxicity
 from corvane.llm.sparkutil import components, prepare
 
 from . import brute
@@ -647,6 +647,45 @@ def test_extended_says_where_it_still_gains():
     assert passages.apart([0, 1, 2, 3], np.array([0, 30, 60, 90]), np.array([60, 90, 120, 150])) == [[0, 1], [2, 3]]
 
 
+def test_extended_counts_all_words_of_a_long_reach():
+    x = np.arange(7000).astype("<u4")
+    reach = 128 * passages.REACH
+    assert passages.extended([x], [x], 2, reach).tolist() == [[reach, reach, reach, 1]]
+
+
+def test_chains_are_aligned_together_whatever_the_batches_hold(monkeypatch):
+    """All chains of a task go through one table, in batches of 10 rows or in one."""
+    rng = np.random.default_rng(36)
+    rows = []
+    for c in range(300):
+        x = rng.integers(0, 1 << 32, 120, dtype=np.uint64).astype("<u4")
+        y = x.copy()
+        y[rng.random(120) < 0.1] = 7
+        y[50:55] = x[50:55]
+        rows += [{"cid": c, "side": k, "key": 9 + k, "start": 3, "words": w.tobytes(), "at": np.array([53], "<i4").tobytes()} for k, w in enumerate((x, y))]
+    t = pa.Table.from_pylist(rows, schema=pa.schema([("cid", pa.int64()), ("side", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("at", pa.binary())]))
+    calls = []
+    real = passages.align
+    monkeypatch.setattr(passages, "align", lambda chained, reach: calls.append(len(chained)) or real(chained, reach))
+    few, all_ = ([r for b in passages._aligned(t.to_batches(max_chunksize=n), passages.REACH) for r in b.to_pylist()] for n in (10, 600))
+    assert few == all_ and len(few) > 200 and calls == [300, 300]
+
+
+def test_only_owners_in_one_pass(spark, monkeypatch):
+    """With the keys of all rows the same rows as without, and no text is shuffled; filters that hold some rows by chance."""
+    monkeypatch.setattr(sparkutil, "FILTER_BITS", 64)
+    sparkutil.prepare(spark)
+    src = spark.range(300).select(F.col("id").alias("did"), (F.col("id") * 7).alias("dkey"), F.concat(F.lit("text "), "id").alias("text"))
+    spare = src.where("did % 11 = 3").drop("text")
+    want = sorted(r.did for r in src.where("did % 11 <> 3").collect())
+    assert sorted(r.did for r in sparkutil.only_owners(src, spare).collect()) == want
+    got = sparkutil.only_owners(src, spare, src)
+    assert got.columns == src.columns and sorted(r.did for r in got.collect()) == want
+    assert "hashpartitioning(pair" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sparkutil, "KEYS", 0)
+    assert sorted(r.did for r in sparkutil.only_owners(src, spare, src).collect()) == want
+
+
 def test_passages_within_a_text(spark):
     rng = random.Random(31)
     base, unit, line = words(rng, 80), words(rng, 60), words(rng, 9)
