@@ -83,9 +83,9 @@ def stem(i: Column) -> Column:
 
 def files(spark: SparkSession, sf: str, *folders: str) -> DataFrame:
     """(file_path, text) of some folders: lib, use, blk, cls, shp, ord."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("i"), F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")).alias("t"))
     d = d.groupBy("i").agg(F.min("t").alias("t"))
-    quoted = F.replace(F.replace(F.replace(F.replace("t", F.lit("\r"), F.lit(" ")), F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("${"), F.lit("\\${"))
+    quoted = F.replace(F.replace(F.replace("t", F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`")), F.lit("${"), F.lit("\\${"))
     body = F.element_at(F.array(*[F.lit(block(c)) for c in range(5)]), F.expr("cast(i % 5 as int)") + 1)
     kinds = [F.concat(_fmt("export function f%d(values, weight, offset, scale) "), body, F.lit("\n")), F.concat(_fmt("export const f%d = (values, weight, offset, scale) => "), body, F.lit(";\n"))]
     kinds += [F.concat(_fmt("export class F%d { get v() "), body, F.lit(" }\n")), F.concat(_fmt("export class F%d { constructor() "), body, F.lit(" }\n"))]
@@ -135,9 +135,12 @@ def block_groups(s: SparkSession, d: str) -> DataFrame:
 def statement_spans(s: SparkSession, d: str) -> DataFrame:
     """The statements around three places of each user: in its template, in its method, and past its end."""
     f = files(s, d, "use").checkpoint() if checkpointing(s) is None else None
-    n = F.size(F.split(F.substring_index("text", "`;\nimport", 1), "\n", -1))
+    lines = F.split("text", "\n", -1)
+    n = F.size(lines) - 1 - USER.count("\n")  # lines up to the template's end, whatever its text holds
     i = F.regexp_extract("file_path", r"(\d+)", 1).cast("long")
-    at = F.array(F.struct((n + 1 - F.ceil(n / 2)).cast("int").alias("line"), (i % 7 + 1).cast("int").alias("column")), F.struct((n + 6).cast("int").alias("line"), F.lit(9).alias("column")), F.struct(F.lit(1 << 30).alias("line"), F.lit(1 << 30).alias("column")))
+    middle = (n + 1 - F.ceil(n / 2)).cast("int")
+    column = F.when(middle == n, F.least(i % 7 + 1, F.length(F.element_at(lines, middle)) - 1)).otherwise(i % 7 + 1)  # no further than the closing quote
+    at = F.array(F.struct(middle.alias("line"), column.cast("int").alias("column")), F.struct((n + 6).cast("int").alias("line"), F.lit(9).alias("column")), F.struct(F.lit(1 << 30).alias("line"), F.lit(1 << 30).alias("column")))
     places = f.select("file_path", F.posexplode(at).alias("nth", "p")).select("file_path", "nth", "p.line", "p.column")
     found = spans.statements(f, typed.extract(f), places)
     return places.join(found, ["file_path", "line", "column"]).select("file_path", "nth", F.length("statement").alias("size"), F.md5("statement").alias("digest"))
