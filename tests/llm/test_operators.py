@@ -889,3 +889,40 @@ def test_bpe_refuses_other_vocabularies():
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**d["model"], "byte_fallback": True}}):
         with pytest.raises(ValueError):
             bpe.Codec(json.dumps({**d, **change}))
+
+
+def test_common_seeds_join_whatever_has_joined():
+    """Every place of a common seed joins all leaders that it agrees with, before it and after it, whatever it has joined besides,
+    in one piece and in two."""
+    rng = np.random.default_rng(36)
+    half = lambda u, v: max(int(passages.in_order(u[None, k : k + passages.SIDE], v[None, k : k + passages.SIDE])[0]) for k in (0, passages.SIDE))
+    for n, kinds, edits in ((40, 5, 0.3), (300, 90, 0.22)):
+        ctx = rng.integers(1, 40, (kinds, 2 * passages.SIDE)).astype(np.uint8)[rng.integers(0, kinds, n)]
+        edit = rng.random(ctx.shape) < edits
+        ctx[edit] = rng.integers(1, 256, edit.sum())
+        g, n1, p1, dkey, at = np.full(n, 5), rng.integers(1, 4, n).astype(np.int32), rng.integers(1, 4, n).astype(np.int32), np.arange(1, n + 1), np.full(n, 30, np.int32)
+        agree = {(i, j) for j in range(n) for i in range(j) if half(ctx[i], ctx[j]) >= passages.AGREE}
+        missing = lambda pairs, lead: [p for p in agree - {(min(p), max(p)) for p in pairs} if lead & set(p)]
+        a, b, lead = passages.joined(g, n1, p1, dkey, at, ctx, 8)
+        assert len(agree) > n / 4 and not missing(zip(a.tolist(), b.tolist()), set(lead.tolist()))
+        assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+        rows = pa.RecordBatch.from_arrays([pa.array(g), pa.array(n1), pa.array(p1), pa.array(dkey), pa.array(at), pa.array([c.tobytes() for c in ctx], pa.binary())], schema=passages._SEED)
+        got = pa.Table.from_batches([r for part in (rows[: n // 3], rows[n // 3 :]) for r in passages._joined_rows([part], 8, 1000)])
+        rim = got.filter(pa.compute.is_valid(got["g"])).select([*passages._SEED.names, "piece", "stands"])
+        one, two = rim["piece"][0].as_py(), rim["piece"][-1].as_py()
+        rim = rim.append_column("one", pa.array([one] * len(rim))).append_column("two", pa.array([two] * len(rim)))
+        edges = [(r["x"] - 1, r["y"] - 1) for t in [got.filter(pa.compute.is_valid(got["x"])).select(passages._EDGE.names)] for r in t.to_pylist()]
+        edges += [(r["x"] - 1, r["y"] - 1) for t in passages._crossed_rows(rim.combine_chunks().to_batches()) for r in t.to_pylist()]
+        assert one != two and not missing(edges, {r["dkey"] - 1 for r in rim.to_pylist() if r["stands"]})
+
+
+def test_pieces_hold_whole_seeds():
+    """A seed of fewer places than a piece is never cut, and parts of others end pieces."""
+    rng = np.random.default_rng(37)
+    g, part = np.repeat([1, 2, 3, 3], [50, 30, 25, 25]), np.repeat([-1, -1, 0, 1], [50, 30, 25, 25]).astype(np.int32)
+    ctx = rng.integers(1, 256, (len(g), 2 * passages.SIDE)).astype(np.uint8)
+    cols = [pa.array(g), *[pa.array(np.zeros(len(g), np.int32))] * 2, pa.array(np.arange(len(g))), pa.array(np.full(len(g), 9, np.int32)), pa.array([c.tobytes() for c in ctx], pa.binary())]
+    rows = pa.RecordBatch.from_arrays([*cols, pa.array(part)], schema=pa.schema([*passages._SEED, ("part", pa.int32())]))
+    got = pa.Table.from_batches(list(passages._joined_rows([rows[i : i + 7] for i in range(0, len(g), 7)], 8, 40)))
+    rim = got.filter(pa.compute.is_valid(got["g"]))
+    assert set(rim["g"].to_pylist()) == {3} and sorted(rim.group_by("piece").aggregate([("g", "count")])["g_count"].to_pylist()) == [25, 25]
